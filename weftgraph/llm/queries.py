@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import documents
+from weftgraph.llm.media import wav_column, wav_fingerprints
+from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.sharding import shard_records
 
 
@@ -21,6 +23,30 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op3_sharding": op3_sharding}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition rules and cross-document line frequency per source."""
+    out = quality_rules(documents(spark, sf_dir), "doc_id", "text", "source")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_share")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as 8-bit WAV, read back and fingerprinted; feature is the digest of the time-coded pairs."""
+    media = wav_column(documents(spark, sf_dir), "text", ["doc_id"])
+    out = wav_fingerprints(media, "media", ["doc_id", "n_bytes"])
+    coded = F.zip_with("fp_times", "fp_codes", lambda t, c: F.concat_ws(":", t, c))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        F.sha2(F.array_join(coded, ","), 256).alias("feature"),
+        F.size("fp_codes").alias("n_pairs"),
+    )
+
+
+QUERIES = {"op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media}
 
 ORACLES: dict[str, str] = {}
