@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import documents
+from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.media import wav_column, wav_fingerprints
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.sharding import shard_records
@@ -47,6 +48,30 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a smaller document holds are dropped; the digest is of the kept text."""
+    out = drop_lines(documents(spark, sf_dir), "doc_id", "text", ["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op8_line_dedup": op8_line_dedup}
+
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents
+        ), keyed AS (
+            SELECT doc_id, pos, line,
+                translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ), firsts AS (
+            SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key
+        ), judged AS (
+            SELECT doc_id, pos, line, coalesce(doc_id > first_doc, false) AS dropped FROM keyed LEFT JOIN firsts USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
+}
