@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.bpe import decode_column, encode_column
 from weftgraph.llm.common import documents
 from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.media import wav_column, wav_fingerprints
+from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.sharding import shard_records
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return pack_documents(documents(spark, sf_dir), "doc_id", "text", tokenizer_path())
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight equal shards by doc_id; sizes and checksums are taken before rows move, so texts are never shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -54,7 +68,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op8_line_dedup": op8_line_dedup}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    ids = encode_column(documents(spark, sf_dir), "text", ["doc_id"], tokenizer_path())
+    counted = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "ids")
+    out = decode_column(counted, "ids", ["doc_id", "n_tokens", "ids_sha256"], tokenizer_path())
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op8_line_dedup": op8_line_dedup, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
