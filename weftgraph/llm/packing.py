@@ -91,7 +91,8 @@ def pack(pieces: DataFrame, tasks: int, capacity: int = 1024, open_bins: int = O
     numbers depend on the input's rows only, so a lost task repeats them. An empty table gives no rows.
     """
     schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    doc = pieces.columns[0]
+    names = pieces.columns
+    doc = names[0]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(capacity, open_bins)
@@ -100,7 +101,7 @@ def pack(pieces: DataFrame, tasks: int, capacity: int = 1024, open_bins: int = O
                 continue
             base = batch.column("__task")[0].as_py() << 40
             put = [bins.place(n) for n in batch.column("length").to_pylist()]
-            cols = [batch.column(c) for c in pieces.columns]
+            cols = [batch.column(c) for c in names]
             cols += [pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
