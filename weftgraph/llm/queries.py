@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm import langid, toxicity
 from weftgraph.llm.bpe import decode_column, encode_column
 from weftgraph.llm.common import documents
 from weftgraph.llm.lines import drop_lines
@@ -62,6 +63,21 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learnt from the rows that are not held out, predicted for all."""
+    docs = documents(spark, sf_dir)
+    out = langid.predict_language(docs, "doc_id", "text", langid.train(docs, "doc_id", "text", "lang"), ["doc_id"])
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity learnt from the labelled rows that are not held out, scored for all."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic")
+    out = toxicity.score_toxicity(docs, "text", model, ["doc_id"])
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a smaller document holds are dropped; the digest is of the kept text."""
     out = drop_lines(documents(spark, sf_dir), "doc_id", "text", ["doc_id"])
@@ -76,7 +92,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op8_line_dedup": op8_line_dedup, "op10_bpe": op10_bpe}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
