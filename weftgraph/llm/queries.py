@@ -10,6 +10,7 @@ from weftgraph.llm.bpe import decode_column, encode_column
 from weftgraph.llm.common import documents
 from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.media import wav_column, wav_fingerprints
+from weftgraph.llm.minhash import near_duplicates
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.sharding import shard_records
@@ -78,6 +79,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with similar sets of four-word shingles; the smallest document of each is kept."""
+    out = near_duplicates(documents(spark, sf_dir), "doc_id", "text", words=4)
+    return out.select(F.col("doc_key").alias("doc_id"), "n_shingles", "component_id", (F.col("doc_key") == F.col("component_id")).alias("kept"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a smaller document holds are dropped; the digest is of the kept text."""
     out = drop_lines(documents(spark, sf_dir), "doc_id", "text", ["doc_id"])
@@ -92,7 +99,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
