@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from weftgraph.llm.common import sliced
+
 #: Fixed value: the public pattern that splits a text before merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -73,13 +75,7 @@ class Encoder:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.ranks = {a * self.width + b: r for r, (a, b, _) in reversed([*enumerate(self.merges)])}
-        to_byte = {s: b for b, s in enumerate(symbols)}
-        self.token_bytes = [b""] * self.width
-        for token, i in vocab.items():
-            self.token_bytes[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
         self.special = {t["content"]: np.array([t["id"]], np.uint32).tobytes() for t in spec["added_tokens"]}
-        for t in spec["added_tokens"]:
-            self.token_bytes[t["id"]] = t["content"].encode()
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known = regex.compile(PIECES)
         later = PIECES.replace(r"?\p{L}+", rf"?[\p{{L}}--[{_LATER}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{_LATER}]]+")
@@ -203,6 +199,20 @@ class Encoder:
                 del words[key]
         return out
 
+
+class Decoder:
+    """The bytes of each id of a tokenizer file."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, to_byte = spec["model"]["vocab"], {s: b for b, s in enumerate(byte_symbols())}
+        self.token_bytes = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
+        for token, i in vocab.items():
+            self.token_bytes[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
+        for t in spec["added_tokens"]:
+            self.token_bytes[t["id"]] = t["content"].encode()
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -214,6 +224,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str) -> DataFrame:
     """keep columns and ids (array<int>): every whole text encoded without special tokens added.
 
@@ -225,7 +240,7 @@ def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches, len(keep)):
             made = enc.encode(batch.column(len(keep)).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(made), np.int32), pa.int32())
@@ -240,9 +255,9 @@ def decode_column(df: DataFrame, ids: str, keep: list[str], tokenizer: str) -> D
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for batch in batches:
-            texts = [None if v is None else enc.decode(v) for v in (x.values.to_pylist() if x.is_valid else None for x in batch.column(len(keep)))]
+        dec = decoder(tokenizer)
+        for batch in sliced(batches, len(keep)):
+            texts = [dec.decode(x.values.to_pylist()) if x.is_valid else None for x in batch.column(len(keep))]
             cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,22 @@ def shuffle_width(spark: SparkSession) -> int:
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text or list column holds about most_bytes, so that a task's memory does not follow the
+    lengths of its rows (a single longer row stays whole)."""
+    for batch in batches:
+        sizes = np.full(batch.num_rows, 8) if not batch.num_rows else _sizes(batch.column(column))
+        part = np.cumsum(sizes) // most_bytes
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if batch.num_rows else []
+        for i, j in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(i, j - i)
+
+
+def _sizes(values: pa.Array) -> np.ndarray:
+    if pa.types.is_list(values.type):
+        return np.diff(values.offsets.to_numpy()) * 8
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64)

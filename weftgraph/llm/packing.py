@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.bpe import encoder
+from weftgraph.llm.common import sliced
 
 #: Bins that a task keeps open, and documents for one packing task. With one remainder per document the bins suffice for
 #: a task of usual size, so that bins are closed early only where a task gets more.
@@ -66,7 +67,7 @@ def token_pieces(df: DataFrame, doc: str, text: str, tokenizer: str, capacity: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows: list[tuple[int, int, int, int, int]] = []
             for i, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
                 ids += end
