@@ -14,6 +14,7 @@ from weftgraph.llm.minhash import near_duplicates
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.sharding import shard_records
+from weftgraph.llm.substring import remove_duplicate_spans
 
 
 def tokenizer_path() -> str:
@@ -23,6 +24,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 20 that an earlier text holds are removed."""
+    out = remove_duplicate_spans(documents(spark, sf_dir), "doc_id", "text", ["doc_id"], window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return pack_documents(documents(spark, sf_dir), "doc_id", "text", tokenizer_path())
@@ -99,7 +106,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
