@@ -204,11 +204,23 @@ def covered(own: Phrases, phrases: list[int] | None, starts: list[int] | None) -
     return np.cumsum(edge)[:n] > 0
 
 
+def _cut(raw: bytes, flips: np.ndarray) -> bytes:
+    """raw without the words from each flips[2k] up to flips[2k + 1], and without the blanks after them."""
+    data = np.frombuffer(raw, np.uint8)
+    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begins = np.append(np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])), len(raw))
+    parts, at = [], 0
+    for i, j in zip(begins[flips[::2]], begins[flips[1::2]]):
+        parts.append(raw[at:i])
+        at = j
+    return b"".join([*parts, raw[at:]])
+
+
 def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str], window: int = 20, join_words: bool = True) -> DataFrame:
     """keep columns of every row with text (what is left), n_words, n_removed and removed, the spans as (start, words).
 
-    What is left are the kept words joined by one space; with join_words=False, texts that lose nothing stay as they are.
-    A null text stays null then and is empty otherwise. See duplicate_spans.
+    What is left are the kept words joined by one space and a null text is empty; with join_words=False the blanks between
+    kept words stay as they are and a null text is null. See duplicate_spans.
     """
     others = [c for c in keep if c != text]
     schema = T.StructType(
@@ -248,7 +260,8 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
                 gone.append(int(out.sum()))
                 flips = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
                 spans.append([{"start": int(i), "words": int(j - i)} for i, j in zip(flips[::2], flips[1::2])])
-                texts.append(b" ".join([w for w, o in zip(words, out.tolist()) if not o]).decode("utf-8", "surrogatepass"))
+                left = b" ".join([w for w, o in zip(words, out.tolist()) if not o]) if join_words else _cut(raw, flips)
+                texts.append(left.decode("utf-8", "surrogatepass"))
             hashes.trim()
             cols = [batch.column(i) for i in range(width)]
             cols += [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span)]
