@@ -20,8 +20,8 @@ from weftgraph.llm.components import components
 
 #: Bands and their rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6.
 BANDS, ROWS = 24, 4
-#: Shingles signed together, and documents that one copy of a pivot is compared with.
-_BLOCK, _SLICE = 60_000, 200
+#: Shingles signed together, documents that one copy of a pivot is compared with, and members of a slice of a cluster.
+_BLOCK, _SLICE, _MEMBERS = 60_000, 200, 1000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,9 +185,9 @@ def near_duplicates(df: DataFrame, doc: str, text: str, words: int = 5, percent:
 
     Documents with equal sets form one class, whose smallest id stands for it. Classes that share a band key meet in a
     bucket. In a first round each class is compared with the smallest class of its buckets, in a second with the smallest
-    of every bucket, in a third with another of every bucket; what lies in one bucket but still in different components
-    is then compared pair by pair. So a bucket of thousands of near copies costs one comparison for each, and no link
-    within a bucket is lost. Links are confirmed on full sets.
+    of every bucket, in a third with another of every bucket. What shares a bucket but still lies in different components
+    is then compared in blocks (see _rest_links). So a bucket of thousands of near copies costs a few comparisons for
+    each, and no link within a bucket is lost. Links are confirmed on full sets.
 
     Null, empty and wordless texts have no shingle and are linked with nothing. doc_key is the id, null as the largest
     value. Rows with the same id are judged by their own text. An empty table gives no rows; extra columns are ignored.
@@ -213,23 +213,17 @@ def near_duplicates(df: DataFrame, doc: str, text: str, words: int = 5, percent:
 
     first = buckets.where("pivot < doc").groupBy("doc").agg(F.min("pivot").alias("b")).select(F.col("doc").alias("a"), "b")
     forest, tested = link(first, None, "pairs1")
-    for turn in (2, 3, 4):
+    for turn, pivot in ((2, "pivot"), (3, "other")):
         open_ones = _open_buckets(buckets, forest)
-        if open_ones.isEmpty():
-            break
-        if turn < 4:
-            pivots = open_ones.select("key", F.col("pivot").alias("b")) if turn == 2 else open_ones.select("key", F.col("other").alias("b"))
-            near = open_ones.select("key", F.col("doc").alias("a"), F.col("comp").alias("comp_a"), F.col("n_shingles").alias("n_a"))
-            far = open_ones.select(F.col("doc").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b")).distinct()
-            met = near.join(pivots.distinct(), "key").where("a != b").join(far, "b")
-        else:
-            near = open_ones.select("key", F.col("doc").alias("a"), F.col("comp").alias("comp_a"), F.col("n_shingles").alias("n_a"))
-            far = open_ones.select("key", F.col("doc").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b"))
-            met = near.join(far, "key").where("a > b")
+        near = open_ones.select("key", F.col("doc").alias("a"), F.col("comp").alias("comp_a"), F.col("n_shingles").alias("n_a"))
+        far = open_ones.select(F.col("doc").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b")).distinct()
+        met = near.join(open_ones.select("key", F.col(pivot).alias("b")).distinct(), "key").where("a != b").join(far, "b")
         apart = met.where(f"comp_a != comp_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         pairs = apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         forest, more = link(pairs, forest, f"pairs{turn}")
         tested = tested.unionByName(more)
+    rest = _rest_links(_open_buckets(buckets, forest), reps, texts, words, percent)
+    forest = components(rest.unionByName(forest))
     out = labelled.join(forest.select(F.col("child").alias("rep"), "parent"), "rep", "left")
     named = out.select(F.col("doc").alias("doc_key"), "n_shingles", F.coalesce("parent", "rep").alias("component_id"))
     return named.unionByName(signed.where("n_shingles = 0").select(F.col("doc").alias("doc_key"), "n_shingles", F.col("doc").alias("component_id")))
@@ -243,3 +237,60 @@ def _open_buckets(buckets: DataFrame, forest: DataFrame) -> DataFrame:
     state = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.col("doc").bitwiseXOR(mask)).alias("masked"))
     state = state.where("low != high").select("key", F.col("masked").bitwiseXOR(mask).alias("other"))
     return written(named.join(state, "key").select("key", "doc", "n_shingles", "comp", "pivot", "other"), "open")
+
+
+def _rest_links(open_ones: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(child, parent) links between members of open buckets that lie in different components.
+
+    Buckets that share documents form a cluster. A cluster's largest component needs no comparison in itself, so the
+    other members are the queries, held against all members in slices of bounded size; every slice gets a copy of the
+    queries. Only pairs that share a band key are compared, inside the task, and only links leave it.
+    """
+    first = open_ones.groupBy("key").agg(F.min("doc").alias("low"))
+    shared = open_ones.join(first, "key").where("doc != low").select("doc", "low").distinct()
+    cluster = components(shared)
+    members = open_ones.select("doc", "comp").distinct().join(cluster.withColumnRenamed("child", "doc"), "doc", "left")
+    members = written(members.select("doc", "comp", F.coalesce("parent", "doc").alias("cluster")), "members")
+    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    main = main.select("cluster", F.col("top.comp").alias("main"), F.ceil(F.col("all") / _MEMBERS).cast("int").alias("slices"))
+    named = members.join(main, "cluster")
+    own = reps.select("doc", "bands", "n_shingles").dropDuplicates(["doc"])
+    full = named.join(own, "doc").join(texts, "doc")
+    columns = ["cluster", "slice", "query", "doc", "comp", "bands", "text"]
+    asked = full.where("comp != main").withColumns({"slice": F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), "query": F.lit(0)})
+    there = full.withColumns({"slice": F.pmod(F.xxhash64("doc"), F.col("slices").cast("long")).cast("int"), "query": F.lit(1)})
+    rows = asked.select(*columns).unionByName(there.select(*columns))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        place: tuple[int, int] | None = None
+        queries: list[tuple[int, int, np.ndarray]] = []
+        keys: list[np.ndarray] = []
+        table = np.zeros((0, BANDS), np.int64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for cluster_, slice_, query, doc, comp, bands, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != (cluster_, slice_):
+                    place, queries, keys = (cluster_, slice_), [], []
+                own = shingle_set(text, words, hashes)
+                if query == 0:
+                    queries.append((doc, comp, own))
+                    keys.append(np.array(bands, np.int64))
+                    table = np.zeros((0, BANDS), np.int64)
+                    continue
+                if len(table) != len(keys):
+                    table = np.stack(keys)
+                for i in np.flatnonzero((table == np.array(bands, np.int64)).any(axis=1)) if queries else ():
+                    other, other_comp, theirs = queries[i]
+                    if other_comp == comp or other == doc or 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
+                        continue
+                    both = len(np.intersect1d(own, theirs, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(theirs) - both):
+                        found.append((max(doc, other), min(doc, other)))
+            hashes.trim()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["child", "parent"])
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "cluster", "slice").sortWithinPartitions("cluster", "slice", "query", "doc")
+    return dealt.mapInArrow(compare, "child long, parent long")
