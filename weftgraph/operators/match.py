@@ -145,7 +145,7 @@ class Match:
 
 def _nodes(graph: GraphCatalog, label: str, var: str) -> DataFrame:
     n = graph.node(label)
-    return n.df.select(F.col(n.key).cast("long").alias(f"{var}__id"), *[F.col(c).alias(f"{var}__{c}") for c in n.properties])
+    return n.df.select(F.col(n.key).cast("long").alias(f"{var}__id"), *[F.col(c).alias(f"{var}__{c}") for c in n.properties if c != "id"])
 
 
 def start(graph: GraphCatalog, var: str, label: str) -> Match:

@@ -45,9 +45,9 @@ class GraphCatalog:
     edges: dict[str, EdgeTable] = field(default_factory=dict)
 
     def add_nodes(self, label: str, df: DataFrame, key: str, labels: tuple[str, ...] = ()) -> GraphCatalog:
-        """labels: further labels of the same rows."""
-        if key not in df.columns:
-            raise KeyError(f"{label} has no column {key}")
+        """labels: further labels of the same rows. A column named id can only be the key."""
+        if key not in df.columns or "id" in df.columns and key != "id":
+            raise KeyError(f"{label} has no column {key}, or a column id beside it")
         self.nodes[label] = NodeTable(label, df, key, labels)
         return self
 
