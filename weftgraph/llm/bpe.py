@@ -229,14 +229,18 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str) -> DataFrame:
-    """keep columns and ids (array<int>): every whole text encoded without special tokens added.
+def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str, decoded: bool = False) -> DataFrame:
+    """keep columns and ids (array<int>): every whole text encoded without special tokens added; with decoded also the
+    text of these ids, as decode_column gives it, made in the same task.
 
     Null and empty texts give an empty array. Special tokens' strings in a text become their ids, as the tokenizers
     library does by default. Rows stand alone; an empty table gives no rows; other columns are dropped, so names cannot
     clash. tokenizer is a path that every worker can open.
     """
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    if decoded:
+        schema = schema.add("decoded", T.StringType())
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -245,7 +249,11 @@ def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str) ->
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(made), np.int32), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], ids], names=[*keep, "ids"])
+            cols = [*[batch.column(i) for i in range(len(keep))], ids]
+            if decoded:
+                dec = decoder(tokenizer)
+                cols.append(pa.array([dec.decode(np.frombuffer(x, np.int32).tolist()) for x in made], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return df.select(*[df[k] for k in keep], df[text].alias("__text")).mapInArrow(run, schema)
 
@@ -257,7 +265,7 @@ def decode_column(df: DataFrame, ids: str, keep: list[str], tokenizer: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = decoder(tokenizer)
         for batch in sliced(batches, len(keep)):
-            texts = [dec.decode(x.values.to_pylist()) if x.is_valid else None for x in batch.column(len(keep))]
+            texts = [dec.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in batch.column(len(keep))]
             cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
