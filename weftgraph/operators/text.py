@@ -23,7 +23,7 @@ def chunk_text(text: str, most: int, overlap: int) -> list[str]:
             size += 1 + len(sentence)
             continue
         carried: list[str] = []
-        room = min(overlap, most - len(sentence) - 1)
+        room = min(overlap, most - len(sentence))
         for old in reversed(chunks[-1] if chunks else []):
             room -= len(old) + 1
             if room < 0:
