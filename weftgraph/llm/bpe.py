@@ -121,9 +121,10 @@ class Encoder:
         while active:
             rank = heapq.heappop(active)
             left, right, made = self.merges[rank]
-            at = np.unique(np.array(index.pop(rank), np.int64))
+            at = np.sort(np.array(index.pop(rank), np.int64))
             nxt = after[at]
             good = (sym[at] == left) & (nxt >= 0) & (sym[nxt] == right)
+            good[1:] &= at[1:] != at[:-1]
             at, nxt = at[good], nxt[good]
             if left == right and len(at) > 1:
                 # In a run of equal symbols every second position merges, from the left.
