@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.common import held_out
+
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
@@ -44,11 +46,6 @@ def family(lang: str) -> str:
     return next((name for name, langs in FAMILIES.items() if lang in langs), lang)
 
 
-def held_out(doc: str) -> Column:
-    """True for documents that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(doc).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def gram_cells(data: np.ndarray, order: int) -> np.ndarray:
     """The histogram cell of each run of order bytes."""
     code = data[: len(data) - order + 1].astype(np.uint32)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import langid, toxicity
 from weftgraph.llm.bpe import encode_column
-from weftgraph.llm.common import documents
+from weftgraph.llm.common import documents, held_out
 from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.media import wav_column, wav_fingerprints
 from weftgraph.llm.minhash import near_duplicates
@@ -75,7 +75,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages learnt from the rows that are not held out, predicted for all."""
     docs = documents(spark, sf_dir)
     out = langid.predict_language(docs, "doc_id", "text", langid.train(docs, "doc_id", "text", "lang"), ["doc_id"])
-    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic")
     out = toxicity.score_toxicity(docs, "text", model, ["doc_id"])
-    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,64 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS key FROM w, unnest(range(1, len(ws) - 18)) AS t(i)),
+        ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS r FROM windows),
+        covered AS (SELECT DISTINCT doc_id, i + k AS i FROM ranked, unnest(range(0, 20)) AS t(k) WHERE r > 1),
+        words AS (SELECT doc_id, i, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(i)),
+        judged AS (SELECT words.*, covered.i IS NOT NULL AS gone FROM words LEFT JOIN covered USING (doc_id, i)),
+        sums AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+            FROM judged GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents LEFT JOIN sums USING (doc_id)
+    """,
+    "op4_quality_rules": f"""
+        WITH w AS (SELECT doc_id, source, text, {_WORDS} AS ws FROM documents),
+        grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 2], ' ')) AS n FROM w, unnest(range(1, len(ws) - 1)) AS t(i)),
+        repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM grams, unnest(range(0, 3)) AS t(k) WHERE n > 1 GROUP BY doc_id),
+        lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
+        normal AS (
+            SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS key
+            FROM lines
+        ),
+        own AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM normal WHERE key <> '' GROUP BY doc_id),
+        hosts AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY source),
+        held AS (SELECT source, key, count(DISTINCT text) AS n FROM normal WHERE key <> '' GROUP BY source, key),
+        over AS (SELECT held.source, key FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 30 AND n > 0.002 * texts),
+        gone AS (
+            SELECT doc_id, sum(len(string_split(normal.key, ' '))) AS words FROM normal
+            JOIN over ON normal.key = over.key AND normal.source IS NOT DISTINCT FROM over.source GROUP BY doc_id
+        ),
+        counts AS (
+            SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum([length(x) for x in ws]), 0) AS BIGINT) AS word_chars,
+                length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(words, 0) AS words
+            FROM w LEFT JOIN own USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN gone USING (doc_id)
+        ),
+        failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN words = 0 THEN 0.0 ELSE CAST(words AS DOUBLE) / n_words END AS removed_share FROM counts)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_share <= 0.7 AS kept, removed_share FROM failed
+    """,
+    "op7_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle
+            FROM w, unnest(range(1, CASE WHEN len(ws) >= 4 THEN len(ws) - 2 WHEN len(ws) > 0 THEN 2 ELSE 1 END)) AS t(i)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        groups AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM groups LEFT JOIN n USING (doc_id)
+    """,
     "op8_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos

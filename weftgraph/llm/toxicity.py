@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.common import held_out
+
 #: Labelled documents that a model is fitted on at most, as a target for each class, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8000
 #: Words of a window, n-gram sizes, bits of a hash bucket and vector length.
@@ -27,11 +29,6 @@ CLASS_WEIGHTS = (0.8, 0.2)
 _BLOCK = 1 << 20
 
 
-def held_out(doc: str) -> Column:
-    """True for documents that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(doc).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def clean(text: str | None) -> bytes:
     """Lower-case letters, every other run of characters as one space, one space at both ends; no words: one space."""
     words = re.sub(r"[\W\d_]+", " ", (text or "").lower()).encode("utf-8", "surrogatepass").split()
