@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import order_id, shuffle_width, sliced, written
+from weftgraph.llm.common import order_id, sliced, written
 from weftgraph.llm.minhash import WordHashes, gram_hashes, mix
 
 #: Words of an anchor: windows of 20 words hold 15 of these, and pick the least.
@@ -40,10 +40,9 @@ class Phrases:
             self.first = self.last = np.zeros(0, np.int64)
             self.anchors = self.hashes = np.zeros(0, np.uint64)
             return
-        pick = np.arange(len(grams) - per + 1) + np.lib.stride_tricks.sliding_window_view(grams, per).argmin(axis=1)
-        self.first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
-        self.last = np.concatenate([self.first[1:], [len(pick)]]) - 1
-        self.anchors = grams[pick[self.first]]
+        self.first, pick = _picks(grams, per)
+        self.last = np.concatenate([self.first[1:], [len(grams) - per + 1]]) - 1
+        self.anchors = grams[pick]
         # Polynomial sums, brought to a common power, tell stretches of words apart at the cost of two lookups each.
         up, down = _powers(len(words))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
@@ -57,6 +56,25 @@ class Phrases:
         return seen
 
 
+def _picks(grams: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the stretches of windows (per grams each) that pick one gram, the leftmost least, and its places."""
+    width, least = 1, grams
+    while 2 * width <= per:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < per:
+        least = np.minimum(least[: len(least) - (per - width)], least[per - width :])
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    views = np.lib.stride_tricks.sliding_window_view(grams, per)
+    pick = starts + views[starts].argmin(axis=1)
+    # Where a least gram stands twice, the stretch goes on beyond its first place, and is cut there.
+    if (np.append(starts[1:], len(least)) > pick + 1).any():
+        each = np.arange(len(views)) + views.argmin(axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+        pick = each[starts]
+    return starts, pick
+
+
 _tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -75,7 +93,7 @@ def _word_ids(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def _index(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, phrase, doc, n): each phrase's smallest document and count, combined inside tasks before any shuffle."""
+    """(anchor, phrase, doc, n): each phrase's smallest document and count, combined inside tasks but not between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -105,9 +123,7 @@ def _index(docs: DataFrame, window: int) -> DataFrame:
         if parts:
             yield flush()
 
-    found = docs.mapInArrow(run, "anchor long, phrase long, doc long, n long")
-    blocks = found.repartition(shuffle_width(docs.sparkSession), "anchor")
-    return blocks.groupBy("anchor", "phrase").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "anchor long, phrase long, doc long, n long")
 
 
 def _occurrences(docs: DataFrame, window: int) -> DataFrame:
@@ -175,10 +191,10 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
     Stretches are compared by 64-bit hashes under a common anchor.
     """
     docs = df.select(order_id(doc).alias("doc"), F.col(text).alias("text"))
-    index = _index(docs, window)
-    variants = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("phrases"))
-    common = index.join(variants, "anchor").where("n > 1 OR phrases > 1")
-    common = written(common.select("phrase", F.col("doc").alias("first_doc"), (F.col("phrases") > 1).alias("varied")), "common")
+    index = written(_index(docs, window), "index")
+    varied = index.groupBy("anchor").agg(F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("low < high").select("anchor", F.lit(True).alias("v"))
+    blocks = index.groupBy("anchor", "phrase").agg(F.min("doc").alias("first_doc"), F.sum("n").alias("n")).join(varied, "anchor", "left")
+    common = written(blocks.where("n > 1 OR v").select("phrase", "first_doc", F.coalesce("v", F.lit(False)).alias("varied")), "common")
     met = _occurrences(docs, window).join(common, "phrase").where("first_doc < doc OR again OR varied")
     whole = (F.col("first_doc") < F.col("doc")) | F.col("again")
     lists = met.groupBy("doc").agg(F.collect_set(F.when(whole, F.col("at"))).alias("phrases"), F.collect_set(F.when(~whole, F.col("at"))).alias("check"))
