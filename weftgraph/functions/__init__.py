@@ -1 +1 @@
-
+"""Scalar functions and aggregates with graph-query semantics."""

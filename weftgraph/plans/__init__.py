@@ -1 +1 @@
-
+"""Registered queries, and what iterative plans share."""

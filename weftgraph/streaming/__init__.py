@@ -1 +1 @@
-
+"""Nothing yet: the blueprint has no streaming operator, and all operators here are batch jobs."""
