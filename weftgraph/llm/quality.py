@@ -85,7 +85,7 @@ def quality_rules(
     text: str,
     host: str,
     most_docs: int = 30,
-    most_share: float = 0.002,
+    most_share: float = 0.02,
     most_removed: float = 0.7,
     least_words: int = 50,
     most_repeat_pct: int = 50,

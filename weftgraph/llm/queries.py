@@ -140,7 +140,7 @@ ORACLES: dict[str, str] = {
         own AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM normal WHERE key <> '' GROUP BY doc_id),
         hosts AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY source),
         held AS (SELECT source, key, count(DISTINCT text) AS n FROM normal WHERE key <> '' GROUP BY source, key),
-        over AS (SELECT held.source, key FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 30 AND n > 0.002 * texts),
+        over AS (SELECT held.source, key FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 30 AND n > 0.02 * texts),
         gone AS (
             SELECT doc_id, sum(len(string_split(normal.key, ' '))) AS words FROM normal
             JOIN over ON normal.key = over.key AND normal.source IS NOT DISTINCT FROM over.source GROUP BY doc_id
