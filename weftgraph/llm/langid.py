@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import held_out
+from weftgraph.llm.common import held_out, sliced
 
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -220,7 +220,7 @@ def predict_language(df: DataFrame, doc: str, text: str, model: Model | None, ke
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(keep)):
             texts = batch.column(len(keep)).to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model is not None else []

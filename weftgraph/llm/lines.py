@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import ascii_lower, order_id, shared_dir, shuffle_width
+from weftgraph.llm.common import ascii_lower, order_id, shared_dir, shuffle_width, sliced
 
 
 def line_key(line: Column) -> Column:
@@ -145,7 +145,7 @@ def drop_lines(df: DataFrame, doc: str, text: str, keep: list[str], least_chars:
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(others)):
             texts, n_lines = [], []
             for value, bitmap in zip(batch.column("__whole").to_pylist(), batch.column("keep_bitmap").to_pylist()):
                 n_lines.append(1 + (value or "").count("\n"))

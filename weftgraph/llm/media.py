@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from weftgraph.llm.common import sliced
+
 #: Samples of one frame and between frames; a payload is padded to a multiple of PAD.
 FRAME, HOP, PAD = 128, 96, 192
 RATE = 8000
@@ -83,14 +85,17 @@ def wav_column(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
+    columns = list(dict.fromkeys([*keep, text]))
+    at = columns.index(text)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             made = [padded(x) for x in batch.column(text).to_pylist()]
             cols = [batch.column(k) for k in keep]
             cols += [pa.array([n for _, n in made], pa.int64()), pa.array([to_wav(b) for b, _ in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_bytes", "media"])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(encode, schema)
+    return df.select(*columns).mapInArrow(encode, schema)
 
 
 def wav_fingerprints(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
@@ -110,9 +115,12 @@ def wav_fingerprints(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
     ]
     schema = T.StructType([*[df.schema[k] for k in keep], *[T.StructField(n, t) for n, t, _ in new]])
 
+    columns = list(dict.fromkeys([*keep, media]))
+    at = columns.index(media)
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = np.hanning(FRAME + 1)[:-1].astype(np.float32)
-        for batch in batches:
+        for batch in sliced(batches, at):
             rows = []
             for value in batch.column(media).to_pylist():
                 if value is None:
@@ -127,4 +135,4 @@ def wav_fingerprints(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
             cols += [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(new)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[n for n, _, _ in new]])
 
-    return df.select(*dict.fromkeys([*keep, media])).mapInArrow(features, schema)
+    return df.select(*columns).mapInArrow(features, schema)

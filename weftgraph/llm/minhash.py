@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import order_id, shuffle_width, written
+from weftgraph.llm.common import order_id, shuffle_width, sliced, written
 from weftgraph.llm.components import components
 
 #: Bands and their rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6.
@@ -126,7 +126,7 @@ def signatures(df: DataFrame, doc: str, text: str, words: int) -> DataFrame:
             return out
 
         size = 0
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(d)
                 sets.append(shingle_set(t, words, hashes))
@@ -146,13 +146,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     texts has (doc, text). Each b meets its a's in one stream, cut into slices of bounded size with a copy of b's text
     each, so a b with very many partners is spread over tasks.
     """
-    sliced = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _SLICE).cast("int").alias("slices"))
-    right = sliced.join(texts.withColumnRenamed("doc", "b"), "b").select(
+    counted = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _SLICE).cast("int").alias("slices"))
+    right = counted.join(texts.withColumnRenamed("doc", "b"), "b").select(
         "b", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("a"), "text"
     )
     left = (
         pairs.join(texts.withColumnRenamed("doc", "a"), "a")
-        .join(sliced, "b")
+        .join(counted, "b")
         .select("b", F.pmod(F.xxhash64("a"), F.col("slices").cast("long")).cast("int").alias("slice"), "a", "text")
     )
     rows = right.unionByName(left)
@@ -160,7 +160,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         pivot: np.ndarray = np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in sliced(batches, 3):
             found: list[tuple[int, int]] = []
             for b, a, text in zip(*[batch.column(c).to_pylist() for c in ("b", "a", "text")]):
                 own = shingle_set(text, words, hashes)
@@ -268,7 +268,7 @@ def _rest_links(open_ones: DataFrame, reps: DataFrame, texts: DataFrame, words:
         queries: list[tuple[int, int, np.ndarray]] = []
         keys: list[np.ndarray] = []
         table = np.zeros((0, BANDS), np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 6):
             found: list[tuple[int, int]] = []
             for cluster_, slice_, query, doc, comp, bands, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if place != (cluster_, slice_):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import BLANK
+from weftgraph.llm.common import BLANK, sliced
 
 SYMBOLS = "#*$%&|<>"
 
@@ -104,7 +104,7 @@ def quality_rules(
     schema = T.StructType([T.StructField(doc, df.schema[doc].dataType), T.StructField("__text", T.LongType()), *kinds])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             rows = [text_counts(x) for x in batch.column(2).to_pylist()]
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_COUNTS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=[doc, "__text", *_COUNTS])

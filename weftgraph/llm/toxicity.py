@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import held_out
+from weftgraph.llm.common import held_out, sliced
 
 #: Labelled documents that a model is fitted on at most, as a target for each class, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8000
@@ -228,7 +228,7 @@ def score_toxicity(df: DataFrame, text: str, model: Model | None, keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in sliced(batches, len(keep)):
             texts = batch.column(len(keep)).to_pylist()
             if table is None:
                 scores = np.zeros(len(texts))
