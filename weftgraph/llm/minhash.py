@@ -39,7 +39,7 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
-    def trim(self, most: int = 600_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.clear()
 

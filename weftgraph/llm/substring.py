@@ -26,7 +26,7 @@ from weftgraph.llm.minhash import WordHashes, gram_hashes, mix
 ANCHOR = 6
 _BASE = 0x9E3779B97F4A7C15
 #: Phrases that a task aggregates at once before they are shuffled.
-_COMBINE = 1_000_000
+_COMBINE = 300_000
 
 
 class Phrases:
