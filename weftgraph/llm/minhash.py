@@ -21,7 +21,7 @@ from weftgraph.llm.components import components
 #: Bands and their rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6.
 BANDS, ROWS = 24, 4
 #: Shingles signed together, documents that one copy of a pivot is compared with, and members of a slice of a cluster.
-_BLOCK, _SLICE, _MEMBERS = 60_000, 200, 1000
+_BLOCK, _SLICE, _MEMBERS = 60_000, 200, 200
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
