@@ -24,7 +24,9 @@ def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def schema_merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """The union of two descriptions; a type that both have keeps the first's ends and property types."""
-    new = second.join(first.select("kind", "name", "property"), ["kind", "name", "property"], "left_anti")
+    known = first.select(F.col("kind").alias("__k"), F.col("name").alias("__n"), F.coalesce("property", F.lit("")).alias("__p"))
+    same = (F.col("kind") == F.col("__k")) & (F.col("name") == F.col("__n")) & (F.coalesce("property", F.lit("")) == F.col("__p"))
+    new = second.join(known, same, "left_anti")
     ends = first.where("kind = 'relationship'").groupBy("name").agg(F.first("source").alias("__s"), F.first("target").alias("__t"))
     kept = new.join(ends, "name", "left")
     kept = kept.withColumns({"source": F.coalesce("__s", "source"), "target": F.coalesce("__t", "target")})

@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A table, or what makes it when a query first needs it, so that a large catalog opens only the tables in use.
+Table = DataFrame | Callable[[], DataFrame]
+
+
 @dataclass(frozen=True)
 class NodeTable:
     label: str
-    df: DataFrame
+    table: Table
     key: str
     labels: tuple[str, ...] = ()
 
+    @cached_property
+    def df(self) -> DataFrame:
+        df = self.table if isinstance(self.table, DataFrame) else self.table()
+        if self.key not in df.columns or "id" in df.columns and self.key != "id":
+            raise KeyError(f"{self.label} has no column {self.key}, or a column id beside it")
+        return df
+
     @property
     def properties(self) -> list[str]:
         return self.df.columns
@@ -27,13 +40,17 @@ class EdgeTable:
     key), so that a hop to or from that end needs no edge table."""
 
     type: str
-    df: DataFrame
+    table: Table
     source: str
     target: str
     src: str
     dst: str
     on: str | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.table if isinstance(self.table, DataFrame) else self.table()
+
     @property
     def properties(self) -> list[str]:
         return [] if self.on else [c for c in self.df.columns if c not in (self.src, self.dst)]
@@ -44,14 +61,12 @@ class GraphCatalog:
     nodes: dict[str, NodeTable] = field(default_factory=dict)
     edges: dict[str, EdgeTable] = field(default_factory=dict)
 
-    def add_nodes(self, label: str, df: DataFrame, key: str, labels: tuple[str, ...] = ()) -> GraphCatalog:
+    def add_nodes(self, label: str, df: Table, key: str, labels: tuple[str, ...] = ()) -> GraphCatalog:
         """labels: further labels of the same rows. A column named id can only be the key."""
-        if key not in df.columns or "id" in df.columns and key != "id":
-            raise KeyError(f"{label} has no column {key}, or a column id beside it")
         self.nodes[label] = NodeTable(label, df, key, labels)
         return self
 
-    def add_edges(self, type_: str, df: DataFrame, source: str, target: str, src: str, dst: str) -> GraphCatalog:
+    def add_edges(self, type_: str, df: Table, source: str, target: str, src: str, dst: str) -> GraphCatalog:
         for end in (source, target):
             self.node(end)
         self.edges[type_] = EdgeTable(type_, df, source, target, src, dst)
@@ -61,7 +76,7 @@ class GraphCatalog:
         """The column of the source's (or target's) table that holds the other end's key."""
         own = self.node(source if on == "source" else target)
         pair = (own.key, column) if on == "source" else (column, own.key)
-        self.edges[type_] = EdgeTable(type_, own.df, source, target, *pair, on)
+        self.edges[type_] = EdgeTable(type_, lambda: own.df, source, target, *pair, on)
         return self
 
     def node(self, label: str) -> NodeTable:

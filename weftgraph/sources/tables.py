@@ -15,7 +15,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def star_graph(spark: SparkSession, folder: str) -> GraphCatalog:
     """Region, Nation, Customer, Supplier, Part, Order, Event, Document, Vector and their relationships."""
-    t = lambda name: table(spark, folder, name)
+    t = lambda name: lambda: table(spark, folder, name)
     g = GraphCatalog()
     for label, name, key in (
         ("Region", "region", "r_regionkey"),
@@ -29,7 +29,7 @@ def star_graph(spark: SparkSession, folder: str) -> GraphCatalog:
         ("Vector", "embeddings", "vec_id"),
     ):
         g.add_nodes(label, t(name), key)
-    g.add_nodes("User", t("events").select("user_id").distinct(), "user_id")
+    g.add_nodes("User", lambda: t("events")().select("user_id").distinct(), "user_id")
     g.add_foreign_key("IN_REGION", "Nation", "Region", "n_regionkey", on="source")
     g.add_foreign_key("CUSTOMER_OF", "Customer", "Nation", "c_nationkey", on="source")
     g.add_foreign_key("SUPPLIER_OF", "Supplier", "Nation", "s_nationkey", on="source")
@@ -37,8 +37,11 @@ def star_graph(spark: SparkSession, folder: str) -> GraphCatalog:
     g.add_foreign_key("DID", "User", "Event", "user_id", on="target")
     g.add_edges("CONTAINS", t("lineitem"), "Order", "Part", "l_orderkey", "l_partkey")
     g.add_edges("SUPPLIED_BY", t("lineitem"), "Order", "Supplier", "l_orderkey", "l_suppkey")
-    g.add_edges("SUPPLIES", t("lineitem").select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part", "l_suppkey", "l_partkey")
-    per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    following = t("events").select("event_id", F.lead("event_id").over(per_user).alias("next_id")).where("next_id IS NOT NULL")
+    g.add_edges("SUPPLIES", lambda: t("lineitem")().select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part", "l_suppkey", "l_partkey")
+
+    def following() -> DataFrame:
+        per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        return t("events")().select("event_id", F.lead("event_id").over(per_user).alias("next_id")).where("next_id IS NOT NULL")
+
     g.add_edges("NEXT", following, "Event", "Event", "event_id", "next_id")
     return g
