@@ -77,29 +77,32 @@ class Model:
     bias: np.ndarray
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 10.0, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias for labels -1 and 1 by dual coordinate descent; each class has the same total weight."""
+def linear_svm(z: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 10.0, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Weights and bias for labels -1 and 1 by dual coordinate descent; each class has the same total weight.
+
+    rows are the numbers of the rows of z to learn from and y their labels; z ends with a column of ones and is not copied.
+    """
     rng = np.random.default_rng(seed)
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     upper = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c
-    square = (z**2).sum(axis=1)
-    alpha, w = np.zeros(len(z)), np.zeros(z.shape[1], x.dtype)
+    alpha, w = np.zeros(len(rows)), np.zeros(z.shape[1], z.dtype)
+    square = [z[k] @ z[k] for k in rows]
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(z)):
-            step = min(max(alpha[i] - (y[i] * (z[i] @ w) - 1) / square[i], 0.0), upper[i]) - alpha[i]
+        for i in rng.permutation(len(rows)):
+            row = z[rows[i]]
+            step = min(max(alpha[i] - (y[i] * (row @ w) - 1) / square[i], 0.0), upper[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                w += x.dtype.type(step * y[i]) * z[i]
+                w += z.dtype.type(step * y[i]) * row
                 moved = max(moved, abs(step))
         if moved < 1e-3 * c:
             break
     return w[:-1], float(w[-1])
 
 
-def fit(histograms: np.ndarray, langs: list[str]) -> Model:
-    """Families against the rest, then each pair of languages in a family. Histograms are scaled up to unit length."""
-    x = np.float32(np.sqrt(CELLS)) * histograms
+def fit(z: np.ndarray, langs: list[str]) -> Model:
+    """Families against the rest, then each pair of languages in a family. Each row has a histogram scaled up by the root
+    of CELLS, and a one."""
     names = sorted(set(langs))
     of = {n: family(n) for n in names}
     families = sorted(set(of.values()))
@@ -108,22 +111,22 @@ def fit(histograms: np.ndarray, langs: list[str]) -> Model:
     fams = np.array([of[n] for n in langs])
     columns, biases = [], []
     for f in families:
-        w, b = linear_svm(x, np.where(fams == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(CELLS), 1.0)
+        w, b = linear_svm(z, np.arange(len(z)), np.where(fams == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(CELLS), 1.0)
         columns.append(w)
         biases.append(b)
     pairs: dict[str, list[tuple[int, int]]] = {}
     for f in families:
         pairs[f] = [(i, j) for i in range(len(inside[f])) for j in range(i)]
         for i, j in pairs[f]:
-            some = np.isin(tags, [inside[f][i], inside[f][j]])
-            w, b = linear_svm(x[some], np.where(tags[some] == inside[f][i], 1.0, -1.0))
+            some = np.flatnonzero(np.isin(tags, [inside[f][i], inside[f][j]]))
+            w, b = linear_svm(z, some, np.where(tags[some] == inside[f][i], 1.0, -1.0))
             columns.append(w)
             biases.append(b)
     return Model(families, inside, pairs, (np.sqrt(CELLS) * np.array(columns).T).astype(np.float32), np.array(biases))
 
 
 def training_sample(df: DataFrame, doc: str, text: str, lang: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, histogram as 16-bit floats, times CELLS) of at most about rows labelled documents that are not held out, evenly from the languages; each
+    """(lang, histogram as 16-bit floats, times CELLS and compressed) of at most about rows labelled documents that are not held out, evenly from the languages; each
     gives its whole text and, so that short texts are learnt as well, a snippet from anywhere in it.
 
     Documents are taken by a hash of their id, so the sample does not depend on the order of rows. The bound is rows.
@@ -141,8 +144,8 @@ def training_sample(df: DataFrame, doc: str, text: str, lang: str, rows: int = S
         for batch in batches:
             for lang_, value, draw_ in zip(*[c.to_pylist() for c in batch.columns]):
                 at = zlib.crc32(value.encode("utf-8", "surrogatepass")) % max(1, len(value) - SNIPPET)
-                # Halves the bytes that reach the driver; grams are counted to three digits.
-                halves = [(CELLS * histogram(v)).astype(np.float16).tobytes() for v in (value, value[at : at + SNIPPET])]
+                # Few bytes for the driver: grams are counted to three digits, and most cells are empty.
+                halves = [zlib.compress((CELLS * histogram(v)).astype(np.float16).tobytes()) for v in (value, value[at : at + SNIPPET])]
                 made = pa.array(halves, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * 2), pa.array([draw_] * 2), made], names=["lang", "draw", "histogram"])
 
@@ -155,8 +158,11 @@ def train(df: DataFrame, doc: str, text: str, lang: str, rows: int = SAMPLE_ROWS
     found = training_sample(df, doc, text, lang, rows).toArrow()
     if not found.num_rows:
         return None
-    x = np.stack([np.frombuffer(v, np.float16) for v in found.column("histogram").to_pylist()]).astype(np.float32) / np.float32(CELLS)
-    return fit(x, found.column("lang").to_pylist())
+    z = np.ones((found.num_rows, CELLS + 1), np.float32)
+    for row, packed in zip(z, found.column("histogram")):
+        row[:CELLS] = np.frombuffer(zlib.decompress(packed.as_py()), np.float16)
+    z[:, :CELLS] *= np.float32(1 / np.sqrt(CELLS))
+    return fit(z, found.column("lang").to_pylist())
 
 
 def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
