@@ -50,7 +50,7 @@ _MARK = "\ud800"
 BATCH_CHARS = 8_000_000
 
 #: Entries of a worker's cache of encoded words (the first to come, so the frequent ones), and the longest it keeps.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 
 
 def byte_symbols() -> list[str]:
@@ -194,10 +194,12 @@ class Encoder:
         for key, own in split.items():
             words[key] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
         out = [b"".join(map(words.__getitem__, keys)) for keys in batch]
-        full = len(words) > CACHE_WORDS
+        room = CACHE_WORDS - len(words) + len(missing)
         for key in missing:
-            if full or len(key) > CACHE_CHARS:
+            if room <= 0 or len(key) > CACHE_CHARS:
                 del words[key]
+            else:
+                room -= 1
         return out
 
 

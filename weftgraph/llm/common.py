@@ -54,7 +54,7 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a text or list column holds about most_bytes, so that a task's memory does not follow the
     lengths of its rows (a single longer row stays whole)."""
     for batch in batches:
