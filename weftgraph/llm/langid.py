@@ -37,7 +37,7 @@ SAMPLE_ROWS, CELLS = 2000, 4096
 #: Characters of a training snippet.
 SNIPPET = 60
 #: Bytes scored at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 _LETTER = re.compile(r"[^\W\d_]")
 
