@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import langid
-from weftgraph.llm.common import documents, order_id, written
+from weftgraph.llm.common import bounded_batches, documents, order_id, written
 from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.minhash import near_duplicates
 from weftgraph.llm.packing import pack_documents
@@ -27,6 +27,7 @@ def _with_words(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that get a language; those without a letter (und) go. lang stays as labelled."""
+    bounded_batches(spark)
     model = langid.train(docs, "doc_id", "text", "lang")
     out = langid.predict_language(docs, "doc_id", "text", model, COLUMNS)
     return out.where("lang_pred != 'und'").select(*COLUMNS)
@@ -34,11 +35,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that a smaller document holds, and documents of which no word is left."""
+    bounded_batches(spark)
     return _with_words(drop_lines(docs, "doc_id", "text", COLUMNS))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    bounded_batches(spark)
     groups = near_duplicates(docs, "doc_id", "text", words=5, percent=80)
     gone = groups.where("doc_key != component_id").select("doc_key").distinct()
     return docs.join(gone, order_id(docs["doc_id"]) == gone["doc_key"], "left_anti").select(*COLUMNS)
@@ -46,11 +49,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts windows of 20 words that stand earlier, and drops documents of which no word is left."""
+    bounded_batches(spark)
     return _with_words(remove_duplicate_spans(docs, "doc_id", "text", COLUMNS, window=20, join_words=False))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 1024 tokens, one row per piece."""
+    bounded_batches(spark)
     return pack_documents(docs, "doc_id", "text", tokenizer_path())
 
 

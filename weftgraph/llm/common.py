@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes between words: space and \t \n \v \f \r, exactly what bytes.split() splits at.
 BLANK = r"[\x20\x09-\x0D]"
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
@@ -36,7 +38,14 @@ def order_id(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(2**63 - 1)).cast("long")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB rather than 10000 texts of any length, unless the session says otherwise."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
