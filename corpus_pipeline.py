@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import langid
-from weftgraph.llm.common import bounded_batches, documents, order_id, written
+from weftgraph.llm.common import bounded_batches, documents, order_id, told_apart, written
 from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.minhash import near_duplicates
 from weftgraph.llm.packing import pack_documents
@@ -40,11 +40,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """Keeps the smallest document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Documents without an id, or with one id, are told apart by their texts; of exact repetitions one row stays.
+    """
     bounded_batches(spark)
-    groups = near_duplicates(docs, "doc_id", "text", words=5, percent=80)
-    gone = groups.where("doc_key != component_id").select("doc_key").distinct()
-    return docs.join(gone, order_id(docs["doc_id"]) == gone["doc_key"], "left_anti").select(*COLUMNS)
+    docs, key, _ = told_apart(docs, "doc_id", "text")
+    groups = near_duplicates(docs, key, "text", words=5, percent=80)
+    gone = groups.where("NOT kept").select("doc_key").distinct()
+    left = docs.join(gone, order_id(docs[key]) == gone["doc_key"], "left_anti")
+    again = groups.where("n_shingles > 0").groupBy("doc_key").count().where("count > 1").select("doc_key")
+    if again.isEmpty():
+        return left.select(*COLUMNS)
+    once = left.join(again, order_id(left[key]) == again["doc_key"], "left_anti")
+    many = left.join(again, order_id(left[key]) == again["doc_key"], "left_semi").dropDuplicates([key])
+    return once.unionByName(many).select(*COLUMNS)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

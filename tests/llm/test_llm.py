@@ -388,6 +388,26 @@ def test_null_ids(spark):
     assert quality_rules(df.withColumn("source", F.lit("s")), "doc_id", "text", "source").count() == 2
 
 
+def test_ids_that_stand_over_several_texts(spark):
+    import corpus_pipeline
+
+    make = lambda *seed: [f"{seed[0]}{i}" for i in range(60)]
+    base, one, two, three = make("a"), make("b"), make("c"), make("d")
+    near = [*base[:-1], "edited"]
+    texts = [(1, base), (None, near), (None, one), (None, two), (None, two), (7, three), (7, [*three[:-1], "edited"]), (7, make("e")), (9, [*make("f"), *one[:30]])]
+    df = spark.createDataFrame([(d, " ".join(t), "en", "s", 1) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.dedup_near(spark, df, "").collect()
+    want = [base, one, two, make("e"), [*make("f"), *one[:30]]]
+    found = [r.text for r in left]
+    assert len(found) == len(want) + 1 and {" ".join(x) for x in want} < set(found)
+    groups = minhash.near_duplicates(df, "doc_id", "text", 5, 80).collect()
+    assert sorted(r.component_id for r in groups) == [1, 1, 7, 7, 7, 9, *[2**63 - 1] * 3]
+    assert sum(r.kept for r in groups) == 7
+    # Only what an earlier document holds is cut: doc 1's words from its near copy, and doc 9's from the null-id text.
+    cut = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in remove_duplicate_spans(df, "doc_id", "text", ["doc_id"], 20).collect())
+    assert cut == {(1, 60, 0): 1, (None, 60, 59): 1, (None, 60, 30): 1, (None, 60, 0): 2, (7, 60, 0): 2, (7, 60, 59): 1, (9, 90, 0): 1}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, folder, rows, name):
     out = queries.QUERIES[name](spark, folder).collect()

@@ -38,6 +38,26 @@ def order_id(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(2**63 - 1)).cast("long")
 
 
+def told_apart(df: DataFrame, doc: str, text: str) -> tuple[DataFrame, str, DataFrame | None]:
+    """df, a long column that tells its rows apart by id and text, and the (id, text_key, row_no) behind it.
+
+    Where every id has one text, that is df, doc and None. Otherwise (null ids above all) rows are numbered in the order
+    of id, null as the largest, and hash of the text, and df comes with row_no. Exact repetitions of a row share a number.
+    """
+    rows = df.select(order_id(doc).alias("id"), F.xxhash64(text).alias("text_key"))
+    if rows.groupBy("id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low != high").isEmpty():
+        return df, doc, None
+    ranged = rows.distinct().repartitionByRange("id", "text_key").sortWithinPartitions("id", "text_key")
+    placed = written(ranged.select("id", "text_key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "placed")
+    before, offsets = 0, []
+    for part, n in sorted(map(tuple, placed.groupBy("part").count().collect())):
+        offsets += [F.lit(part), F.lit(before - (part << 33))]
+        before += n
+    numbers = written(placed.select("id", "text_key", (F.col("at") + F.try_element_at(F.create_map(*offsets), "part")).alias("row_no")), "numbers")
+    met = (order_id(df[doc]) == numbers["id"]) & (F.xxhash64(df[text]) == numbers["text_key"])
+    return written(df.join(numbers, met).select(*[df[c] for c in df.columns], "row_no"), "told_apart"), "row_no", numbers
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a few MB rather than 10000 texts of any length, unless the session says otherwise."""
     if spark.conf.get(BATCH_BYTES, None) is None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import order_id, shuffle_width, sliced, written
+from weftgraph.llm.common import order_id, shuffle_width, sliced, told_apart, written
 from weftgraph.llm.components import components
 
 #: Bands and their rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6.
@@ -181,7 +181,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def near_duplicates(df: DataFrame, doc: str, text: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_key, n_shingles and component_id (the smallest document reachable over links) for each row of df.
+    """doc_key, n_shingles, component_id (the smallest document reachable over links) and kept for each row of df.
 
     Documents with equal sets form one class, whose smallest id stands for it. Classes that share a band key meet in a
     bucket. In a first round each class is compared with the smallest class of its buckets, in a second with the smallest
@@ -190,8 +190,10 @@ def near_duplicates(df: DataFrame, doc: str, text: str, words: int = 5, percent:
     each, and no link within a bucket is lost. Links are confirmed on full sets.
 
     Null, empty and wordless texts have no shingle and are linked with nothing. doc_key is the id, null as the largest
-    value. Rows with the same id are judged by their own text. An empty table gives no rows; extra columns are ignored.
+    value. Rows with the same id are judged by their own text, and among those of them that are linked one text is kept;
+    exact repetitions of a row get the same verdict. An empty table gives no rows; extra columns are ignored.
     """
+    df, doc, numbers = told_apart(df, doc, text)
     signed = written(signatures(df, doc, text, words), "signed")
     some = signed.where("n_shingles > 0")
     classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc").alias("rep"))
@@ -226,7 +228,13 @@ def near_duplicates(df: DataFrame, doc: str, text: str, words: int = 5, percent:
     forest = components(rest.unionByName(forest))
     out = labelled.join(forest.select(F.col("child").alias("rep"), "parent"), "rep", "left")
     named = out.select(F.col("doc").alias("doc_key"), "n_shingles", F.coalesce("parent", "rep").alias("component_id"))
-    return named.unionByName(signed.where("n_shingles = 0").select(F.col("doc").alias("doc_key"), "n_shingles", F.col("doc").alias("component_id")))
+    every = named.unionByName(signed.where("n_shingles = 0").select(F.col("doc").alias("doc_key"), "n_shingles", F.col("doc").alias("component_id")))
+    every = every.withColumn("kept", F.col("doc_key") == F.col("component_id"))
+    if numbers is None:
+        return every
+    for column in ("doc_key", "component_id"):
+        every = every.join(numbers.select(F.col("row_no").alias(column), F.col("id").alias(f"{column}_id")), column)
+    return every.select(F.col("doc_key_id").alias("doc_key"), "n_shingles", F.col("component_id_id").alias("component_id"), "kept")
 
 
 def _open_buckets(buckets: DataFrame, forest: DataFrame) -> DataFrame:

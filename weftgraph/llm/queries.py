@@ -89,7 +89,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with similar sets of four-word shingles; the smallest document of each is kept."""
     out = near_duplicates(documents(spark, sf_dir), "doc_id", "text", words=4)
-    return out.select(F.col("doc_key").alias("doc_id"), "n_shingles", "component_id", (F.col("doc_key") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("doc_key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import order_id, sliced, written
+from weftgraph.llm.common import order_id, sliced, told_apart, written
 from weftgraph.llm.minhash import WordHashes, gram_hashes, mix
 
 #: Words of an anchor: windows of 20 words hold 15 of these, and pick the least.
@@ -187,7 +187,7 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
 
     A window of `window` words is a duplicate if the same words start earlier: in a smaller doc, or earlier in the same.
     Words are separated by blanks; null and short texts have no window. A null id counts as the largest. Rows that repeat
-    an id must repeat its text, and are then one document. An empty table gives no rows; extra columns are ignored.
+    an id must repeat its text here, and are then one document (see told_apart). An empty table gives no rows; extra columns are ignored.
     Stretches are compared by 64-bit hashes under a common anchor.
     """
     docs = df.select(order_id(doc).alias("doc"), F.col(text).alias("text"))
@@ -236,8 +236,10 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
     """keep columns of every row with text (what is left), n_words, n_removed and removed, the spans as (start, words).
 
     What is left are the kept words joined by one space and a null text is empty; with join_words=False the blanks between
-    kept words stay as they are and a null text is null. See duplicate_spans.
+    kept words stay as they are and a null text is null. Rows with the same id, or none, and different texts are documents
+    of their own, in the order of the texts' hashes. See duplicate_spans.
     """
+    df, doc, _ = told_apart(df, doc, text)
     others = [c for c in keep if c != text]
     schema = T.StructType(
         [
