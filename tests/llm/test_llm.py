@@ -266,6 +266,34 @@ def test_near_duplicates(spark, docs, rows, none, words, percent):
         assert minhash.near_duplicates(none, "doc_id", "text").count() == 0
 
 
+def templated(seed=4, n=60):
+    """Texts of one template with similarities around 0.6 to 0.8: most share bands, few are linked."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rnd.sample(range(120), rnd.randint(2, 6)):
+            own[k] = f"e{rnd.randint(0, 99999)}"
+        rows.append((3 * i, " ".join(own)))
+    return rows
+
+
+def test_rest_links_in_small_blocks(spark, monkeypatch):
+    for name, value in (("_QUERIES", 5), ("_MEMBERS", 4), ("_FULL", 8)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = templated()
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 80).collect()
+    assert {r.doc_key: (r.n_shingles, r.component_id) for r in out} == brute_groups(rows, 4, 80)
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    open_ones = texts.select(F.lit(1).cast("long").alias("key"), "doc", F.lit(100).cast("long").alias("n_shingles"), F.col("doc").alias("comp"))
+    dealt = minhash._blocks(open_ones, open_ones.select("doc", "n_shingles", F.array("key").alias("bands")), texts)
+    held = dealt.where("query = 0").groupBy("block", "slice").count().collect()
+    assert len({r.block for r in held}) > 8 and max(r["count"] for r in held) < 20
+    met = dealt.where("query = 0").alias("q").join(dealt.where("query = 1").alias("m"), ["block", "slice"]).groupBy("q.doc", "m.doc").count()
+    assert met.count() == 59 * 60 and met.where("count != 1").count() == 0
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 1500).astype(np.uint64)

@@ -22,6 +22,8 @@ from weftgraph.llm.components import components
 BANDS, ROWS = 24, 4
 #: Shingles signed together, documents that one copy of a pivot is compared with, and members of a slice of a cluster.
 _BLOCK, _SLICE, _MEMBERS = 60_000, 200, 200
+#: Documents and shingles of a block of queries, which a task holds whole; slices of over _FULL members are cut further.
+_QUERIES, _HELD, _FULL = 2000, 2_000_000, 2000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -247,40 +249,54 @@ def _open_buckets(buckets: DataFrame, forest: DataFrame) -> DataFrame:
     return written(named.join(state, "key").select("key", "doc", "n_shingles", "comp", "pivot", "other"), "open")
 
 
-def _rest_links(open_ones: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(child, parent) links between members of open buckets that lie in different components.
+def _blocks(open_ones: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of open buckets, dealt so that those of different components meet: queries (query 0) and members (1).
 
     Buckets that share documents form a cluster. A cluster's largest component needs no comparison in itself, so the
-    other members are the queries, held against all members in slices of bounded size; every slice gets a copy of the
-    queries. Only pairs that share a band key are compared, inside the task, and only links leave it.
+    other members are the queries, dealt to blocks of about _QUERIES documents and _HELD shingles. Each block meets all
+    members in slices: 64 of them, or as many as keep a slice between _MEMBERS and _FULL. A task holds one block and
+    streams one slice, whatever the cluster's size.
     """
     first = open_ones.groupBy("key").agg(F.min("doc").alias("low"))
     shared = open_ones.join(first, "key").where("doc != low").select("doc", "low").distinct()
     cluster = components(shared)
-    members = open_ones.select("doc", "comp").distinct().join(cluster.withColumnRenamed("child", "doc"), "doc", "left")
-    members = written(members.select("doc", "comp", F.coalesce("parent", "doc").alias("cluster")), "members")
-    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-    main = main.select("cluster", F.col("top.comp").alias("main"), F.ceil(F.col("all") / _MEMBERS).cast("int").alias("slices"))
-    named = members.join(main, "cluster")
+    members = open_ones.select("doc", "comp", "n_shingles").distinct().join(cluster.withColumnRenamed("child", "doc"), "doc", "left")
+    members = written(members.select("doc", "comp", "n_shingles", F.coalesce("parent", "doc").alias("cluster")), "members")
+    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("held"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp", "held")).alias("top"), F.sum("n").alias("all"), F.sum("held").alias("held"))
+    slices = F.greatest(F.least(F.ceil(F.col("all") / _MEMBERS), F.lit(64)), F.ceil(F.col("all") / _FULL))
+    blocks = F.greatest(F.ceil((F.col("all") - F.col("top.n")) / _QUERIES), F.ceil((F.col("held") - F.col("top.held")) / _HELD), F.lit(1))
+    main = main.select("cluster", F.col("top.comp").alias("main"), slices.cast("int").alias("slices"), blocks.cast("int").alias("blocks"))
+    named = members.drop("n_shingles").join(main, "cluster")
     own = reps.select("doc", "bands", "n_shingles").dropDuplicates(["doc"])
-    full = named.join(own, "doc").join(texts, "doc")
-    columns = ["cluster", "slice", "query", "doc", "comp", "bands", "text"]
-    asked = full.where("comp != main").withColumns({"slice": F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), "query": F.lit(0)})
-    there = full.withColumns({"slice": F.pmod(F.xxhash64("doc"), F.col("slices").cast("long")).cast("int"), "query": F.lit(1)})
-    rows = asked.select(*columns).unionByName(there.select(*columns))
+    full = named.join(own, "doc").join(texts, "doc").withColumn("asks", F.col("comp") != F.col("main"))
+    columns = ["cluster", "block", "slice", "query", "asks", "doc", "comp", "bands", "text"]
+    dealt_to = lambda n, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n).cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = full.where("asks").withColumns({"block": dealt_to("blocks", 1), "query": F.lit(0)}).withColumn("slice", each("slices"))
+    there = full.withColumns({"slice": dealt_to("slices", 2), "query": F.lit(1)}).withColumn("block", each("blocks"))
+    return asked.select(*columns).unionByName(there.select(*columns))
+
+
+def _rest_links(open_ones: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(child, parent) links between members of open buckets that lie in different components.
+
+    Only pairs that share a band key are compared, two queries once, inside the task of their block and slice (see
+    _blocks), and only links leave it.
+    """
+    rows = _blocks(open_ones, reps, texts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        place: tuple[int, int] | None = None
+        place: tuple[int, int, int] | None = None
         queries: list[tuple[int, int, np.ndarray]] = []
         keys: list[np.ndarray] = []
         table = np.zeros((0, BANDS), np.int64)
-        for batch in sliced(batches, 6):
+        for batch in sliced(batches, 8):
             found: list[tuple[int, int]] = []
-            for cluster_, slice_, query, doc, comp, bands, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if place != (cluster_, slice_):
-                    place, queries, keys = (cluster_, slice_), [], []
+            for cluster_, block, slice_, query, asks, doc, comp, bands, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != (cluster_, block, slice_):
+                    place, queries, keys = (cluster_, block, slice_), [], []
                 own = shingle_set(text, words, hashes)
                 if query == 0:
                     queries.append((doc, comp, own))
@@ -291,7 +307,7 @@ def _rest_links(open_ones: DataFrame, reps: DataFrame, texts: DataFrame, words:
                     table = np.stack(keys)
                 for i in np.flatnonzero((table == np.array(bands, np.int64)).any(axis=1)) if queries else ():
                     other, other_comp, theirs = queries[i]
-                    if other_comp == comp or other == doc or 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
+                    if other_comp == comp or (asks and other >= doc) or 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
                         continue
                     both = len(np.intersect1d(own, theirs, assume_unique=True))
                     if 100 * both >= percent * (len(own) + len(theirs) - both):
@@ -300,5 +316,5 @@ def _rest_links(open_ones: DataFrame, reps: DataFrame, texts: DataFrame, words:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["child", "parent"])
 
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "cluster", "slice").sortWithinPartitions("cluster", "slice", "query", "doc")
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "cluster", "block", "slice").sortWithinPartitions("cluster", "block", "slice", "query", "doc")
     return dealt.mapInArrow(compare, "child long, parent long")
