@@ -218,6 +218,18 @@ def test_language(spark, none):
     assert "en" in {r.lang_pred for r in langid.predict_language(alone, "doc_id", "text", langid.train(alone, "doc_id", "text", "lang"), []).collect()}
 
 
+def test_language_stage_without_labels_and_without_a_place(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(1, "der und die", None, "s", 1), (2, "123 !!", None, "s", 1), (3, None, None, "s", 1), (4, "é", None, "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()} == {1, 4}
+    # Every family's machine says no: the score is near 0.
+    lost = langid.Model(["a", "b"], {"a": ["x"], "b": ["y"]}, {"a": [], "b": []}, np.zeros((langid.CELLS, 2), np.float32), np.array([-3.0, -4.0]))
+    monkeypatch.setattr(langid, "train", lambda *_: lost)
+    assert corpus_pipeline.identify_language(spark, df, "").count() == 0
+
+
 def shingles(text, k):
     w = [x.lower() for x in split(text)]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()

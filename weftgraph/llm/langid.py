@@ -217,6 +217,17 @@ def decide(values: np.ndarray, model: Model) -> tuple[list[str], np.ndarray]:
     return langs.tolist(), scores
 
 
+def with_letters(df: DataFrame, text: str) -> DataFrame:
+    """Rows whose text has a letter, by the same test as predict_language."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, at):
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predict_language(df: DataFrame, doc: str, text: str, model: Model | None, keep: list[str]) -> DataFrame:
     """keep columns, lang_pred and score for each row, from the whole text alone.
 
