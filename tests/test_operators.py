@@ -1,6 +1,7 @@
 """Operators on micro graphs, against brute force and by hand."""
 
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,13 @@ def test_records(spark):
     assert format_records(df.limit(0), "json") == ""
     with pytest.raises(ValueError):
         format_records(df, "xml")
+
+
+def test_relations_share_words_of_any_script(spark):
+    rows = [(1, "capital of region of France"), (2, "café of Paris, table OF carré; an of of of it"), (3, "Душа\u00a0of мира of"), (4, None)]
+    want = set()
+    for d, t in rows:
+        w = re.findall(r"\w+|[^\w\s]", t or "")
+        want |= {(d, a, "OF", b) for a, v, b in zip(w, w[1:], w[2:]) if v.lower() == "of" and a[0].isalpha() and b[0].isalpha()}
+    found = text.relations(spark.createDataFrame(rows, "id long, t string"), "id", "t", {"of": "OF"}).collect()
+    assert set(map(tuple, found)) == want and len(found) == len(want) == 8

@@ -62,7 +62,22 @@ def mentions(df: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame:
 
 
 def relations(df: DataFrame, doc: str, text: str, verbs: dict[str, str]) -> DataFrame:
-    """(doc, subject, type, object) of each `subject verb object` of single words in a text; verbs maps verb to type."""
+    """(doc, subject, type, object) of each `subject verb object` of single words in a text; verbs maps verb to type.
+
+    Words are of letters, marks, digits and _ of any script. An object may be the next subject, and a verb a subject or
+    an object: each word that a verb and a word follow gives a row.
+    """
+    word, gap = r"[\p{L}\p{M}\p{N}_]+", r"[\s\p{Z}]+"
+    pattern = f"(?iu)({word})(?={gap}(" + "|".join(re.escape(x) for x in sorted(verbs, key=len, reverse=True)) + f"){gap}({word}))"
+    part = lambda i: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i))
+    found = df.select(doc, F.explode(F.arrays_zip(part(1).alias("s"), part(2).alias("v"), part(3).alias("o"))).alias("__m"))
+    types = F.create_map(*[F.lit(x) for k, t in verbs.items() for x in (k.upper().lower(), t.upper())])
+    verb = F.lower(F.upper(F.col("__m.v")))
+    return found.select(doc, F.col("__m.s").alias("subject"), F.try_element_at(types, verb).alias("type"), F.col("__m.o").alias("object"))
+
+
+def apart_relations(df: DataFrame, doc: str, text: str, verbs: dict[str, str]) -> DataFrame:
+    """relations() as SQL's regexp_extract_all finds them: of ASCII words, in matches that share no word."""
     pattern = r"(?i)(\w+)\s+(" + "|".join(re.escape(x) for x in sorted(verbs, key=len, reverse=True)) + r")\s+(\w+)"
     found = df.select(doc, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("__m"))
     part = lambda i: F.regexp_extract("__m", pattern, i)
