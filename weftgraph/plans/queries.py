@@ -279,11 +279,13 @@ _NULLED = "(SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS
 @query(f"SELECT s_suppkey AS id, row_number() OVER (ORDER BY bal ASC NULLS LAST, s_suppkey) AS up, row_number() OVER (ORDER BY bal DESC NULLS FIRST, s_suppkey) AS down FROM {_NULLED} QUALIFY up <= 20 OR down <= 20")
 def order_nulls(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("bal"))
-    from pyspark.sql.window import Window
-
-    up = F.row_number().over(Window.orderBy(nulls_last(F.col("bal")), "s_suppkey"))
-    down = F.row_number().over(Window.orderBy(nulls_first(F.col("bal")), "s_suppkey"))
-    return rows.select(F.col("s_suppkey").alias("id"), up.alias("up"), down.alias("down")).where("up <= 20 OR down <= 20")
+    ends = [rows.orderBy(order(F.col("bal")), "s_suppkey").limit(20) for order in (nulls_last, nulls_first)]
+    # 40 rows at most; their ranks are counts of the rows before them.
+    few = ends[0].union(ends[1]).distinct().select(F.col("s_suppkey").alias("id"), F.col("bal").alias("own"))
+    tie = F.col("bal").eqNullSafe(F.col("own")) & (F.col("s_suppkey") < F.col("id"))
+    lower = (F.col("bal") < F.col("own")) | (F.col("bal").isNotNull() & F.col("own").isNull()) | tie
+    upper = (F.col("bal") > F.col("own")) | (F.col("bal").isNull() & F.col("own").isNotNull()) | tie
+    return rows.join(F.broadcast(few)).groupBy("id").agg((F.count_if(lower) + 1).alias("up"), (F.count_if(upper) + 1).alias("down"))
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
