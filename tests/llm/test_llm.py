@@ -18,7 +18,7 @@ from weftgraph.llm.bpe import Decoder, Encoder, decode_column, encode_column
 from weftgraph.llm.components import components
 from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.packing import BestFit, pack_documents
-from weftgraph.llm.quality import quality_rules, text_counts
+from weftgraph.llm.quality import quality_rules, text_counts, text_left
 from weftgraph.llm.sharding import shard_records
 from weftgraph.llm.substring import remove_duplicate_spans
 
@@ -176,6 +176,15 @@ def test_quality_copies_are_no_boilerplate(spark):
     assert {r.kept for r in quality_rules(df, "doc_id", "text", "source").collect()} == {True}
 
 
+def test_quality_removed_lines(spark):
+    rows = [(i, f"own {i} a\nHome | About 7\n\nown b\n  home |  about {i % 10}", "s") for i in range(11, 15)] + [(1, "alone", "s"), (2, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality_rules(df, "doc_id", "text", "source", most_docs=2, most_share=0.0)
+    left = {r.doc_id: (r.removed_lines, r.left) for r in df.join(out, "doc_id").withColumn("left", text_left(F.col("text"), F.col("removed_lines"))).collect()}
+    # Digits count as 0, so "own 11 a" is one line with "own 12 a".
+    assert left == {**{i: ([0, 1, 3, 4], "") for i in range(11, 15)}, 1: ([], "alone"), 2: ([], None)}
+
+
 def test_media(docs, rows, none):
     out = {r.doc_id: r for r in media.wav_fingerprints(media.wav_column(docs, "text", ["doc_id"]), "media", ["doc_id", "n_bytes"]).collect()}
     for d, text, *_ in rows:

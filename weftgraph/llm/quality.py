@@ -72,11 +72,16 @@ def _host(host: str) -> Column:
 
 
 def _lines(df: DataFrame, doc: str, text: str, host: str) -> DataFrame:
-    """One row per line that has a word: doc id, hashes of text, host and (host, line), and the line's words."""
-    split = df.select(F.col(doc).alias("__doc"), F.xxhash64(text).alias("__text"), _host(host).alias("__host"), F.explode(F.split(text, "\n")).alias("__raw"))
+    """One row per line that has a word: doc id, hashes of text and host, the line's number, hash with its host and words."""
+    split = df.select(F.col(doc).alias("__doc"), F.xxhash64(text).alias("__text"), _host(host).alias("__host"), F.posexplode(F.split(text, "\n")).alias("__at", "__raw"))
     norm = split.withColumn("__norm", normalised_line(F.col("__raw"))).where("__norm != ''")
     words = F.length("__norm") - F.length(F.replace("__norm", F.lit(" "), F.lit(""))) + 1
-    return norm.select("__doc", "__text", "__host", F.xxhash64("__host", "__norm").alias("__line"), words.cast("long").alias("__words"))
+    return norm.select("__doc", "__text", "__host", "__at", F.xxhash64("__host", "__norm").alias("__line"), words.cast("long").alias("__words"))
+
+
+def text_left(text: Column, removed_lines: Column) -> Column:
+    """A text without its removed_lines (see quality_rules); null stays null."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(removed_lines, i)), "\n")
 
 
 def quality_rules(
@@ -90,10 +95,11 @@ def quality_rules(
     least_words: int = 50,
     most_repeat_pct: int = 50,
 ) -> DataFrame:
-    """doc, the counts of text_counts, base_failed, removed_share and kept, one row for each row of df.
+    """doc, the counts of text_counts, base_failed, removed_share, kept and removed_lines, one row for each row of df.
 
-    A line in more than most_docs distinct documents of a host and in more than most_share of them is removed; a document
-    that loses more than most_removed of its words is depleted and rejected. base_failed (fewer than least_words words,
+    A line in more than most_docs distinct documents of a host and in more than most_share of them is removed: its
+    number, from 0, is in removed_lines (text_left gives the text without them). most_share = 0 leaves the absolute limit
+    alone, at every host size. A document that loses more than most_removed of its words is depleted and rejected. base_failed (fewer than least_words words,
     or more than most_repeat_pct per cent of the words in repeated 3-word windows) rejects as well.
 
     Null texts are empty (no words: base_failed). A null host is a host of its own. Rows with the same id are judged by
@@ -116,13 +122,15 @@ def quality_rules(
         _lines(df, doc, text, host)
         .join(over, "__line")
         .groupBy("__doc", "__text")
-        .agg(F.sum("__words").alias("__removed"))
+        .agg(F.sum("__words").alias("__removed"), F.array_sort(F.collect_set("__at")).alias("__gone"))
     )
     copies = df.groupBy(F.col(doc).alias("__doc"), F.xxhash64(text).alias("__text")).agg(F.count(F.lit(1)).alias("__copies"))
     removed = removed.join(copies, ["__doc", "__text"]).select(
-        F.col("__doc"), F.col("__text").alias("__t"), (F.col("__removed") / F.col("__copies")).alias("__removed")
+        F.col("__doc"), F.col("__text").alias("__t"), (F.col("__removed") / F.col("__copies")).alias("__removed"), "__gone"
     )
     joined = base.join(removed, base[doc].eqNullSafe(F.col("__doc")) & base["__text"].eqNullSafe(F.col("__t")), "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_pct * F.col("n_words"))
     share = F.coalesce(F.col("__removed") / F.col("n_words"), F.lit(0.0))
-    return joined.select(F.col(doc), *_COUNTS, failed.alias("base_failed"), share.alias("removed_share"), (~failed & (share <= most_removed)).alias("kept"))
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    kept = ~failed & (share <= most_removed)
+    return joined.select(F.col(doc), *_COUNTS, failed.alias("base_failed"), share.alias("removed_share"), kept.alias("kept"), gone.alias("removed_lines"))
