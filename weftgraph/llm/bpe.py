@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -44,10 +45,9 @@ _UNEVEN = regex.compile(r"\s{3}|\s\s\Z")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 _RARE_BLANK = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-_MARK = "\ud800"
-
-#: Characters encoded together, and so the size of one pair index.
-BATCH_CHARS = 8_000_000
+#: Words of letters that every Unicode version knows, with a mark after them that is then a piece of its own.
+_STOPS = ".,;:!?"
+_PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[.,;:!?]?$"
 
 #: Entries of a worker's cache of encoded words (the first to come, so the frequent ones), and the longest it keeps.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
@@ -60,10 +60,39 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Runs:
+    """Runs of ids: run i holds sizes[i] of them and begins at starts[i] of ids."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = ids, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def with_more(self, other: Runs) -> Runs:
+        return Runs(np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
+
+    def take(self, at: np.ndarray) -> Runs:
+        n = self.sizes[at]
+        ends = np.cumsum(n)
+        return Runs(self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(n.sum())], n)
+
+    def grouped(self, at: np.ndarray, bounds: np.ndarray) -> Runs:
+        """One run for each group at[bounds[i] : bounds[i + 1]] of runs."""
+        taken = self.take(at)
+        return Runs(taken.ids, np.diff(np.concatenate([[0], np.cumsum(taken.sizes)])[bounds]))
+
+    def laid_out(self, at: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+        return self.grouped(at, bounds).packed()
+
+    def packed(self) -> Iterator[bytes]:
+        raw = self.ids.tobytes()
+        return (raw[4 * i : 4 * (i + n)] for i, n in zip(self.starts.tolist(), self.sizes.tolist()))
+
+
 class Encoder:
     """Encodes batches of texts with the vocabulary and merges of a tokenizer file (JSON, byte-level BPE)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+        self.cache_words = cache_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
@@ -75,20 +104,19 @@ class Encoder:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.ranks = {a * self.width + b: r for r, (a, b, _) in reversed([*enumerate(self.merges)])}
-        self.special = {t["content"]: np.array([t["id"]], np.uint32).tobytes() for t in spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known = regex.compile(PIECES)
         later = PIECES.replace(r"?\p{L}+", rf"?[\p{{L}}--[{_LATER}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{_LATER}]]+")
         self.later = regex.compile("(?V1)" + later.replace(r"[^\s\p{L}\p{N}]+", rf"[[^\s\p{{L}}\p{{N}}]||[{_LATER}]]+"))
         self.has_later = regex.compile(f"[{_LATER}]")
-        self.words: dict[str, bytes] = {}
-
-    def merge_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each piece as little-endian unsigned 32-bit bytes."""
-        if not pieces:
-            return []
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sym = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        self.words, self.cached = pa.array([], pa.string()), Runs(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def merge(self, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, none empty, that lie one after another in text (bytes), and how many each has."""
+        if not len(sizes):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        sym = self.byte_ids[text]
         total, ends = len(sym), np.cumsum(sizes)
         after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
         after[ends - 1] = -1
@@ -143,9 +171,7 @@ class Encoder:
             prior = before[at]
             add(np.concatenate([at[has], prior[prior >= 0]]))
         alive = sym >= 0
-        ids = sym[alive].astype("<u4").tobytes()
-        stops = np.cumsum(np.add.reduceat(alive.astype(np.int64), ends - sizes)) * 4
-        return [ids[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
+        return sym[alive].astype(np.uint32), np.add.reduceat(alive.astype(np.int64), ends - sizes)
 
     def pieces(self, text: str) -> list[str]:
         """The pieces that merges never cross."""
@@ -153,55 +179,98 @@ class Encoder:
             return self.known.findall(text)
         return self.later.findall(text)
 
-    def _words(self, text: str) -> list[str]:
-        """Keys that encode independently: words after a space, with a space appended the first one, or of uneven texts
-        (blanks in a run of three, or a pair at the end, which pieces may straddle) the pieces, marked by a lone surrogate."""
-        if self.at_special is not None and any(s in text for s in self.special):
-            parts = [p for p in self.at_special.split(text) if p]
-            return [w for p in parts for w in ([_MARK + p] if p in self.special else self._words(p))]
-        if (any(pair in text for pair in _PAIRS) or _RARE_BLANK.search(text)) and _UNEVEN.search(text):
-            return [_MARK + p for p in self.pieces(text)]
-        words = text.split(" ")
-        words[0] += " "
-        return words
+    def _split(self, text: str) -> list[str]:
+        """The pieces of any text, special tokens among them."""
+        if self.at_special is None or not any(s in text for s in self.special):
+            return self.pieces(text)
+        parts = [p for p in self.at_special.split(text) if p]
+        return [x for p in parts for x in ([p] if p in self.special else self.pieces(p))]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian unsigned 32-bit bytes."""
-        out: list[bytes] = []
-        batch: list[list[str]] = []
-        size = 0
-        for text in texts:
-            batch.append(self._words(text) if text else [])
-            size += len(text or "")
-            if size >= BATCH_CHARS:
-                out += self._encode(batch)
-                batch, size = [], 0
-        return out + self._encode(batch)
-
-    def _encode(self, batch: list[list[str]]) -> list[bytes]:
-        words = self.words
-        missing = set().union(*batch).difference(words)
-        split: dict[str, list[str]] = {}
-        for key in missing:
-            if key[:1] == _MARK:
-                split[key] = [key[1:]]
-            elif key[-1:] == " ":
-                split[key] = self.pieces(key[:-1])
-            else:
-                split[key] = self.pieces(" " + key)
-        pieces = list(set().union(*split.values()).difference(self.special))
-        ids = dict(zip(pieces, self.merge_pieces([p.encode("utf-8", "surrogatepass") for p in pieces]))) | self.special
-        for key, own in split.items():
-            words[key] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
-        out = [b"".join(map(words.__getitem__, keys)) for keys in batch]
-        room = CACHE_WORDS - len(words) + len(missing)
-        for key in missing:
-            if room <= 0 or len(key) > CACHE_CHARS:
-                del words[key]
-            else:
-                room -= 1
+        plain = [i for i, t in enumerate(texts) if t and not (_is_uneven(t) or any(s in t for s in self.special))]
+        out = [b""] * len(texts)
+        for i, ids in zip(plain, self._encode([texts[i] for i in plain])):
+            out[i] = ids
+        rest = sorted({i for i, t in enumerate(texts) if t}.difference(plain))
+        for i, ids in zip(rest, self._joined([self._split(texts[i]) for i in rest]).packed()):
+            out[i] = ids
         return out
 
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that may be cut at their spaces: distinct words are looked up and their ids laid out again."""
+        words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        at, bounds = coded.indices.to_numpy().astype(np.int64), words.offsets.to_numpy()
+        # The first word of a text has no space before it.
+        firsts = bounds[:-1]
+        heads = self._joined([self.pieces(w) if w else [] for w in words.values.take(pa.array(firsts)).to_pylist()])
+        found, place = self._looked_up(coded.dictionary)
+        at = place[at]
+        at[firsts] = len(found.sizes) + np.arange(len(texts))
+        return found.with_more(heads).laid_out(at, bounds)
+
+    def _looked_up(self, words: pa.Array) -> tuple[Runs, np.ndarray]:
+        """Runs of ids, and the one of each distinct word after a space; the first CACHE_WORDS words to come stay known."""
+        place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = words.filter(pa.array(place < 0))
+        made = self._fresh(new)
+        found = self.cached.with_more(made)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        if (room := self.cache_words - len(self.words)) > 0:
+            short = np.flatnonzero(pc.utf8_length(new).to_numpy() <= CACHE_CHARS)[:room]
+            self.words = pa.concat_arrays([self.words, new.take(pa.array(short))])
+            self.cached = self.cached.with_more(made.take(short))
+        return found, place
+
+    def _fresh(self, new: pa.Array) -> Runs:
+        """Runs of new distinct words. Plain ones are one piece with their space, and a mark that may follow is a second."""
+        plain = pc.match_substring_regex(new, _PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        whole = new.filter(plain)
+        cut = pc.utf8_rtrim(whole, _STOPS).dictionary_encode()
+        stems, of = cut.dictionary, cut.indices.to_numpy()
+        place = pc.index_in(stems, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        unknown = pc.binary_join_element_wise(pa.scalar(" "), stems.filter(pa.array(place < 0)), "")
+        place[place < 0] = len(self.words) + np.arange(len(unknown))
+        runs = self.cached.with_more(Runs(*self.merge(*_flat(unknown))))
+        marks = pc.utf8_slice_codeunits(whole, -1).to_numpy(zero_copy_only=False)
+        marked = np.array([x in _STOPS for x in marks], bool)
+        marks_at = len(runs.sizes) + np.array([_STOPS.index(x) for x in marks[marked]], np.int64)
+        runs = runs.with_more(self._joined([[x] for x in _STOPS]))
+        n = 1 + marked.astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        at = np.empty(bounds[-1], np.int64)
+        at[bounds[:-1]] = place[of]
+        at[bounds[1:][marked] - 1] = marks_at
+        # Words that need the full pattern come after, and all go back to their order.
+        odd = self._joined([self.pieces(" " + w) for w in new.filter(pc.invert(plain)).to_pylist()])
+        order = np.empty(len(new), np.int64)
+        order[is_plain] = np.arange(len(whole))
+        order[~is_plain] = len(whole) + np.arange(len(new) - len(whole))
+        return runs.grouped(at, bounds).with_more(odd).take(order)
+
+    def _joined(self, split: list[list[str]]) -> Runs:
+        """The ids of lists of pieces, a run for each list."""
+        distinct = list(set().union(*split).difference(self.special))
+        raw = [p.encode("utf-8", "surrogatepass") for p in distinct]
+        runs = Runs(*self.merge(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))))
+        runs = runs.with_more(Runs(np.array([*self.special.values()], np.uint32), np.ones(len(self.special), np.int64)))
+        place = {p: i for i, p in enumerate([*distinct, *self.special])}
+        at = np.fromiter((place[p] for own in split for p in own), np.int64)
+        return runs.grouped(at, np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]))
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of words one after another, and their sizes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    return data, np.diff(offsets).astype(np.int64)
+
+
+def _is_uneven(text: str) -> bool:
+    return bool((any(pair in text for pair in _PAIRS) or _RARE_BLANK.search(text)) and _UNEVEN.search(text))
+
 
 class Decoder:
     """The bytes of each id of a tokenizer file."""
