@@ -1,20 +1,38 @@
-"""Cutting lineage of iterative jobs so that they survive lost executors."""
+"""Cutting lineage of iterative jobs so that they survive lost executors, by tables in the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir (a new one where that is unset, as in tests)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session (tests) gets a new one, and a cluster an
+    error: executors would write to folders that nobody else can read."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.conf.get("spark.master", None) or spark.sparkContext.master).startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/weftgraph/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in this application's part of the shared folder."""
+    spark = df.sparkSession
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_materialized(spark: SparkSession) -> None:
+    """Deletes this application's tables. Results that were not read yet need them, so call it when all are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
