@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import BLANK, sliced
+from weftgraph.llm.common import BLANK, sliced, written
 
 SYMBOLS = "#*$%&|<>"
 
+#: Distinct documents of a host that may hold a line.
+MOST_DOCS = 10
+
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -47,24 +50,14 @@ def normalised_line(line: Column) -> Column:
     return F.trim(squeezed)
 
 
-def line_frequency(df: DataFrame, doc: str, text: str, host: str, most_docs: int, most_share: float) -> DataFrame:
-    """(host key hash) of each line over the limits: in more than most_docs documents of a host, and more than
-    most_share of that host's documents.
+def line_frequency(lines: DataFrame, most_docs: int) -> DataFrame:
+    """(__line, n_docs) of each line of a host that is in more than most_docs distinct documents of it.
 
-    Copies of a document (equal texts on one host) count once: exact duplication is the dedup operators' affair, so a
-    document that was copied a thousand times is not boilerplate. Lines are hashed with their host to 64 bits.
+    lines is the table of _lines(). A line counts once for a document, however often it stands there; the counts are
+    aggregated inside tasks first, so a line or host of a third of all rows is no hot spot.
     """
-    lines = _lines(df, doc, text, host)
-    counts = lines.groupBy("__host", "__line", "__text").agg(F.lit(1).alias("__one")).groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("n_docs"))
-    hosts = (
-        df.select(_host(host).alias("__host"), F.xxhash64(text).alias("__text"))
-        .groupBy("__host", "__text")
-        .agg(F.lit(1).alias("__one"))
-        .groupBy("__host")
-        .agg(F.count(F.lit(1)).alias("__all"))
-    )
-    over = counts.where(F.col("n_docs") > most_docs).join(hosts, "__host").where(F.col("n_docs") > F.lit(most_share) * F.col("__all"))
-    return over.select("__line", "n_docs")
+    once = lines.groupBy("__line", "__doc", "__text").agg(F.lit(1).alias("__one"))
+    return once.groupBy("__line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > most_docs)
 
 
 def _host(host: str) -> Column:
@@ -76,7 +69,7 @@ def _lines(df: DataFrame, doc: str, text: str, host: str) -> DataFrame:
     split = df.select(F.col(doc).alias("__doc"), F.xxhash64(text).alias("__text"), _host(host).alias("__host"), F.posexplode(F.split(text, "\n")).alias("__at", "__raw"))
     norm = split.withColumn("__norm", normalised_line(F.col("__raw"))).where("__norm != ''")
     words = F.length("__norm") - F.length(F.replace("__norm", F.lit(" "), F.lit(""))) + 1
-    return norm.select("__doc", "__text", "__host", "__at", F.xxhash64("__host", "__norm").alias("__line"), words.cast("long").alias("__words"))
+    return norm.select("__doc", "__text", "__at", F.xxhash64("__host", "__norm").alias("__line"), words.cast("long").alias("__words"))
 
 
 def text_left(text: Column, removed_lines: Column) -> Column:
@@ -89,22 +82,23 @@ def quality_rules(
     doc: str,
     text: str,
     host: str,
-    most_docs: int = 30,
-    most_share: float = 0.02,
+    most_docs: int = MOST_DOCS,
     most_removed: float = 0.7,
     least_words: int = 50,
     most_repeat_pct: int = 50,
 ) -> DataFrame:
     """doc, the counts of text_counts, base_failed, removed_share, kept and removed_lines, one row for each row of df.
 
-    A line in more than most_docs distinct documents of a host and in more than most_share of them is removed: its
-    number, from 0, is in removed_lines (text_left gives the text without them). most_share = 0 leaves the absolute limit
-    alone, at every host size. A document that loses more than most_removed of its words is depleted and rejected. base_failed (fewer than least_words words,
-    or more than most_repeat_pct per cent of the words in repeated 3-word windows) rejects as well.
+    A line (normalised, hashed with its host to 64 bits) in more than most_docs distinct documents of a host is removed:
+    its number, from 0, is in removed_lines (text_left gives the text without them). The limit is a number of documents,
+    the same at every size of host. A document that loses more than most_removed of its words, or is left with fewer than
+    least_words, is depleted and rejected. base_failed (fewer than least_words words, or more than most_repeat_pct per
+    cent of the words in repeated 3-word windows) rejects as well. Copies of a document count like any other documents.
 
     Null texts are empty (no words: base_failed). A null host is a host of its own. Rows with the same id are judged by
-    their own text; exact repetitions of a row get the same verdict. Extra columns are ignored. An empty table gives no
-    rows. A host that holds a third of all rows is counted with map-side aggregation, and its lines are spread by hash.
+    their own text; exact repetitions of a row are one document and get the same verdict. Extra columns are ignored. An
+    empty table gives no rows. Lines are hashed once and written to the shared folder; texts of any length are cut there
+    into rows, and the counts hold one text at a time.
     """
     kinds = [T.StructField(c, T.LongType()) for c in _COUNTS]
     schema = T.StructType([T.StructField(doc, df.schema[doc].dataType), T.StructField("__text", T.LongType()), *kinds])
@@ -116,21 +110,14 @@ def quality_rules(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=[doc, "__text", *_COUNTS])
 
     base = df.select(F.col(doc), F.xxhash64(text).alias("__text"), F.col(text).alias("__whole")).mapInArrow(count, schema)
-    over = line_frequency(df, doc, text, host, most_docs, most_share).select("__line", F.lit(True).alias("__over"))
-    # Only documents with a removed line are needed; their other words come from the counts.
-    removed = (
-        _lines(df, doc, text, host)
-        .join(over, "__line")
-        .groupBy("__doc", "__text")
-        .agg(F.sum("__words").alias("__removed"), F.array_sort(F.collect_set("__at")).alias("__gone"))
-    )
-    copies = df.groupBy(F.col(doc).alias("__doc"), F.xxhash64(text).alias("__text")).agg(F.count(F.lit(1)).alias("__copies"))
-    removed = removed.join(copies, ["__doc", "__text"]).select(
-        F.col("__doc"), F.col("__text").alias("__t"), (F.col("__removed") / F.col("__copies")).alias("__removed"), "__gone"
-    )
-    joined = base.join(removed, base[doc].eqNullSafe(F.col("__doc")) & base["__text"].eqNullSafe(F.col("__t")), "left")
+    lines = written(_lines(df, doc, text, host), "lines")
+    over = line_frequency(lines, most_docs).select("__line")
+    # A set, since repeated rows repeat their lines.
+    gone = lines.join(over, "__line").groupBy("__doc", "__text").agg(F.array_sort(F.collect_set(F.struct("__at", "__words"))).alias("__gone"))
+    joined = base.join(gone.withColumnRenamed("__text", "__t"), base[doc].eqNullSafe(F.col("__doc")) & (base["__text"] == F.col("__t")), "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_pct * F.col("n_words"))
-    share = F.coalesce(F.col("__removed") / F.col("n_words"), F.lit(0.0))
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    kept = ~failed & (share <= most_removed)
-    return joined.select(F.col(doc), *_COUNTS, failed.alias("base_failed"), share.alias("removed_share"), kept.alias("kept"), gone.alias("removed_lines"))
+    lost = F.aggregate(F.coalesce(F.col("__gone.__words"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda n, x: n + x)
+    share = F.coalesce(F.try_divide(lost, "n_words"), F.lit(0.0))
+    kept = ~failed & (share <= most_removed) & (F.col("n_words") - lost >= least_words)
+    numbers = F.coalesce(F.col("__gone.__at"), F.array().cast("array<int>"))
+    return joined.select(F.col(doc), *_COUNTS, failed.alias("base_failed"), share.alias("removed_share"), kept.alias("kept"), numbers.alias("removed_lines"))

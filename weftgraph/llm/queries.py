@@ -138,9 +138,7 @@ ORACLES: dict[str, str] = {
             FROM lines
         ),
         own AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM normal WHERE key <> '' GROUP BY doc_id),
-        hosts AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY source),
-        held AS (SELECT source, key, count(DISTINCT text) AS n FROM normal WHERE key <> '' GROUP BY source, key),
-        over AS (SELECT held.source, key FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 30 AND n > 0.02 * texts),
+        over AS (SELECT source, key FROM normal WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT doc_id) > 10),
         gone AS (
             SELECT doc_id, sum(len(string_split(normal.key, ' '))) AS words FROM normal
             JOIN over ON normal.key = over.key AND normal.source IS NOT DISTINCT FROM over.source GROUP BY doc_id
@@ -152,7 +150,7 @@ ORACLES: dict[str, str] = {
             FROM w LEFT JOIN own USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN gone USING (doc_id)
         ),
         failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN words = 0 THEN 0.0 ELSE CAST(words AS DOUBLE) / n_words END AS removed_share FROM counts)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_share <= 0.7 AS kept, removed_share FROM failed
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_share <= 0.7 AND n_words - words >= 50 AS kept, removed_share FROM failed
     """,
     "op7_minhash_near_dedup": f"""
         WITH RECURSIVE w AS (
