@@ -6,13 +6,13 @@ scaled to sum one. All models are linear in it, so a whole text is scored by one
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +34,14 @@ FAMILIES = {
 
 #: Rows that a model is fitted on at most, as a target shared evenly by the languages; and histogram cells.
 SAMPLE_ROWS, CELLS = 2000, 4096
+#: Rows that each language has in that sample all the same, where there are many languages.
+LEAST_ROWS = 8
 #: Characters of a training snippet.
 SNIPPET = 60
 #: Bytes scored at once.
 _BLOCK = 1 << 18
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _OTHERS = regex.compile(r"\p{L}"), regex.compile(r"\P{L}+")
 
 
 def family(lang: str) -> str:
@@ -57,7 +59,7 @@ def gram_cells(data: np.ndarray, order: int) -> np.ndarray:
 
 def clean(text: str) -> bytes:
     """Lower case, every other character than letters as one space, with spaces at both ends."""
-    return b" " + b" ".join(re.sub(r"[\W\d_]+", " ", text.lower()).encode("utf-8", "surrogatepass").split()) + b" "
+    return b" " + b" ".join(_OTHERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass").split()) + b" "
 
 
 def histogram(text: str) -> np.ndarray:
@@ -129,13 +131,14 @@ def training_sample(df: DataFrame, doc: str, text: str, lang: str, rows: int = S
     """(lang, histogram as 16-bit floats, times CELLS and compressed) of at most about rows labelled documents that are not held out, evenly from the languages; each
     gives its whole text and, so that short texts are learnt as well, a snippet from anywhere in it.
 
-    Documents are taken by a hash of their id, so the sample does not depend on the order of rows. The bound is rows.
+    Documents are taken by a hash of their id, so the sample does not depend on the order of rows. The bound is rows, or LEAST_ROWS for each language if
+    that is more; every language is learnt.
     """
     usable = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(F.desc("count")).limit(200).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
     if not counts:
         return usable.select(F.col(lang).alias("lang"), F.lit(None).cast("binary").alias("histogram")).limit(0)
-    each = rows / len(counts)
+    each = max(rows / len(counts), LEAST_ROWS)
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64(F.col(doc), F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     drawn = usable.where(draw < F.try_element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
@@ -150,7 +153,7 @@ def training_sample(df: DataFrame, doc: str, text: str, lang: str, rows: int = S
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * 2), pa.array([draw_] * 2), made], names=["lang", "draw", "histogram"])
 
     found = drawn.mapInArrow(count, "lang string, draw double, histogram binary")
-    return found.orderBy("draw").limit(3 * rows).select("lang", "histogram")
+    return found.orderBy("draw").limit(int(3 * each * len(counts))).select("lang", "histogram")
 
 
 def train(df: DataFrame, doc: str, text: str, lang: str, rows: int = SAMPLE_ROWS) -> Model | None:
