@@ -6,6 +6,7 @@ a slot keeps the least rank. Levels stop as soon as no slot can still fall, whic
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ _BLOCK, _SLICE, _MEMBERS = 60_000, 200, 200
 #: Documents and shingles of a block of queries, which a task holds whole; slices of over _FULL members are cut further.
 _QUERIES, _HELD, _FULL = 2000, 2_000_000, 2000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,6 +50,19 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def of_text(self, raw: bytes, most: int = 4_000_000) -> np.ndarray:
+        """The hashes of a text's words; a long text is split in stretches of about most bytes, cut at blanks."""
+        if len(raw) <= most:
+            return self.of(raw.split())
+        parts, at = [], 0
+        while at < len(raw):
+            cut = _BLANKS.search(raw, min(at + most, len(raw)))
+            end = cut.start() if cut else len(raw)
+            parts.append(self.of(raw[at:end].split()))
+            self.trim()
+            at = end
+        return np.concatenate(parts)
+
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of size word hashes."""
@@ -61,11 +76,25 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     """Sorted hashes of the distinct shingles of size words, A-Z lower-cased; fewer words are one shingle, none are none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    ids = hashes.of_text((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(ids):
         return np.zeros(0, np.uint64)
-    ids = hashes.of(words)
-    return np.unique(gram_hashes(ids, min(size, len(words))))
+    return np.unique(gram_hashes(ids, min(size, len(ids))))
+
+
+def signed_sets(sets: list[np.ndarray], slots: int) -> np.ndarray:
+    """super_minhash of sets of any size: parts of at most _BLOCK values are signed, and a set has its parts' minima."""
+    parts = [(i, s[k : k + _BLOCK]) for i, s in enumerate(sets) for k in range(0, max(1, len(s)), _BLOCK)]
+    sig = np.full((len(sets), slots), np.iinfo(np.uint64).max, np.uint64)
+    block: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for k, part in enumerate(parts):
+        block.append(part)
+        size += len(part[1])
+        if size >= _BLOCK or k == len(parts) - 1:
+            np.minimum.at(sig, [i for i, _ in block], super_minhash([s for _, s in block], slots))
+            block, size = [], 0
+    return sig
 
 
 def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
@@ -117,7 +146,7 @@ def signatures(df: DataFrame, doc: str, text: str, words: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int64)
-            keys = band_keys(super_minhash(sets, BANDS * ROWS))
+            keys = band_keys(signed_sets(sets, BANDS * ROWS))
             per = np.where(sizes > 0, BANDS, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
             sums = [np.array([int(mix(s ^ salt).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64) for salt in (np.uint64(0), _GOLDEN)]
@@ -191,7 +220,8 @@ def near_duplicates(df: DataFrame, doc: str, text: str, words: int = 5, percent:
     is then compared in blocks (see _rest_links). So a bucket of thousands of near copies costs a few comparisons for
     each, and no link within a bucket is lost. Links are confirmed on full sets.
 
-    Null, empty and wordless texts have no shingle and are linked with nothing. doc_key is the id, null as the largest
+    Null, empty and wordless texts have no shingle and are linked with nothing. A very long text is hashed and signed in
+    blocks, so that a task holds 8 bytes for each of its shingles besides the text. doc_key is the id, null as the largest
     value. Rows with the same id are judged by their own text, and among those of them that are linked one text is kept;
     exact repetitions of a row get the same verdict. An empty table gives no rows; extra columns are ignored.
     """

@@ -89,7 +89,7 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def _word_ids(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return hashes.of((text or "").encode("utf-8", "surrogatepass").split())
+    return hashes.of_text((text or "").encode("utf-8", "surrogatepass"))
 
 
 def _index(docs: DataFrame, window: int) -> DataFrame:
