@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import ascii_lower, order_id, shared_dir, shuffle_width, sliced
+from weftgraph.llm.common import ascii_lower, order_id, shuffle_width, sliced
+from weftgraph.plans.lineage import shared_dir
 
 
 def line_key(line: Column) -> Column:
