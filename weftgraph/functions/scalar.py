@@ -52,7 +52,7 @@ def split(s: Column, delimiter: str) -> Column:
 
 def matches(s: Column, pattern: str) -> Column:
     """True if the whole string matches."""
-    return s.rlike(f"^(?:{pattern})$")
+    return s.rlike(rf"\A(?:{pattern})\z")
 
 
 def ceil(x: Column) -> Column:
@@ -160,8 +160,7 @@ def comprehension(xs: Column, keep: Callable[[Column], Column] | None = None, ma
 
 def integer_divide(a: Column, b: Column) -> Column:
     """Towards zero; by zero: null."""
-    whole = F.when(b != 0, (a - F.when(b != 0, a % b)) / F.when(b != 0, b))
-    return whole.cast("long")
+    return F.call_function("div", a, F.when(b != 0, b))
 
 
 def xor(a: Column, b: Column) -> Column:
@@ -269,4 +268,5 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "duration": duration,
     "point": point,
     "distance": distance,
+    "geo_distance": geo_distance,
 }

@@ -6,11 +6,15 @@ Everything stays an ordinary DataFrame plan: filters and unused properties reach
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from weftgraph.operators.paths import var_length
 from weftgraph.sources.catalog import EdgeTable, GraphCatalog
 
 
@@ -19,18 +23,63 @@ def v(name: str) -> Column:
     return F.col(name.replace(".", "__"))
 
 
+#: Numbers of relationships without a name, so that no two in a process share one.
+_unnamed = itertools.count()
+
+
+@dataclass(frozen=True)
+class Used:
+    """A relationship that a pattern has bound: its type(s), the column of its identity, and whether that is a list (a path)
+    or, for a foreign key, the id of the node whose row holds it."""
+
+    types: frozenset[str]
+    column: str
+    kind: str = "edge"
+
+    def eid(self) -> Column:
+        return F.xxhash64(F.lit(next(iter(self.types))), F.col(self.column)) if self.kind == "key" else F.col(self.column)
+
+    def apart(self, other: Used) -> Column | None:
+        """The condition that two relationships differ; None where their types do."""
+        if not self.types & other.types:
+            return None
+        if self.kind == other.kind == "key":
+            return F.col(self.column) != F.col(other.column)
+        if self.kind == other.kind == "path":
+            return ~F.arrays_overlap(self.column, other.column)
+        if "path" in (self.kind, other.kind):
+            path, one = (self, other) if self.kind == "path" else (other, self)
+            return ~F.array_contains(F.col(path.column), one.eid())
+        return self.eid() != other.eid()
+
+
 class Match:
-    """Rows of bound variables. Methods return a new Match; df is the bindings' DataFrame."""
+    """Rows of bound variables. Methods return a new Match; df is the bindings' DataFrame.
+
+    The relationships of one MATCH differ from one another, over foreign keys and comma parts as well. clause(), with_(),
+    group() and optional() begin another MATCH, whose relationships may be those of an earlier one.
+    """
 
-    def __init__(self, graph: GraphCatalog, df: DataFrame, labels: dict[str, str], used: tuple[tuple[str, str], ...] = ()) -> None:
+    def __init__(self, graph: GraphCatalog, df: DataFrame, labels: dict[str, str], used: tuple[Used, ...] = ()) -> None:
         self.graph, self.df, self.labels, self.used = graph, df, labels, used
 
-    def _with(self, df: DataFrame, labels: dict[str, str] | None = None, used: tuple[tuple[str, str], ...] | None = None) -> Match:
+    def _with(self, df: DataFrame, labels: dict[str, str] | None = None, used: tuple[Used, ...] | None = None) -> Match:
         return Match(self.graph, df, self.labels if labels is None else labels, self.used if used is None else used)
 
+    def _using(self, df: DataFrame, labels: dict[str, str], new: Used) -> Match:
+        """df with a further relationship, which is none of those before."""
+        for other in self.used:
+            if (condition := new.apart(other)) is not None:
+                df = df.where(condition)
+        return self._with(df, labels, (*self.used, new))
+
     def where(self, condition: Column) -> Match:
         return self._with(self.df.where(condition))
 
+    def clause(self) -> Match:
+        """The next MATCH over the same bindings."""
+        return self._with(self.df, used=())
+
     def out(self, from_: str, type_: str, to: str, rel: str | None = None) -> Match:
         """(from_)-[rel:type_]->(to); a `to` that is bound already closes a cycle."""
         return self._hop(from_, type_, to, rel, forward=True)
@@ -46,7 +95,49 @@ class Match:
             return self.out(from_, type_, to, rel) if self.labels[from_] == e.source else self.into(from_, type_, to, rel)
         rows = self.graph.edge_rows(type_)
         swapped = rows.where("src != dst").withColumns({"src": F.col("dst"), "dst": F.col("src")})
-        return self._join(from_, e.target, to, rel, type_, rows.unionByName(swapped), F.col("src"), F.col("dst"))
+        return self._join(from_, e.target, to, rel, (type_,), rows.unionByName(swapped), F.col("src"), F.col("dst"))
+
+    def any(self, from_: str, to: str, types: list[str] | None = None, rel: str | None = None, forward: bool = True) -> Match:
+        """(from_)-[rel:A|B]->(to), without types any that starts (or, backward, ends) at from_'s label.
+
+        rel has its type and no properties. Where the types end at one label, (to) has its properties, else the columns
+        id and label alone.
+        """
+        here = self.labels[from_]
+        near, far = ("source", "target") if forward else ("target", "source")
+        wanted = [t for t in (sorted(self.graph.edges) if types is None else types) if getattr(self.graph.edge(t), near) == here]
+        if not wanted:
+            raise ValueError(f"none of the types {'starts' if forward else 'ends'} at {here}")
+        name = rel or f"_r{next(_unnamed)}"
+        rows, ends = relationships(self.graph, wanted), {getattr(self.graph.edge(t), far) for t in wanted}
+        if len(ends) == 1:
+            return self._join(from_, ends.pop(), to, name, tuple(wanted), rows, F.col("src" if forward else "dst"), F.col("dst" if forward else "src"), ("type",))
+        if to in self.labels:
+            raise ValueError("types that end at several labels cannot close a cycle")
+        end = F.create_map(*[F.lit(x) for t in wanted for x in (t, getattr(self.graph.edge(t), far))])
+        edge = rows.select(F.col("src" if forward else "dst").alias(f"{name}__near"), F.col("dst" if forward else "src").alias(f"{to}__id"), end[F.col("type")].alias(f"{to}__label"), F.col("type").alias(f"{name}__type"), F.col("eid").alias(f"{name}__eid"))
+        df = self.df.join(edge, F.col(f"{from_}__id") == F.col(f"{name}__near")).drop(f"{name}__near")
+        return self._using(df, self.labels | {to: "|".join(sorted(ends))}, Used(frozenset(wanted), f"{name}__eid"))
+
+    def path(self, from_: str, type_: str, to: str, least: int, most: int, name: str, forward: bool = True) -> Match:
+        """name = (from_)-[:type_*least..most]->(to), for a type between nodes of one label, none of it used twice.
+
+        Binds name.nodes and name.eids (lists, in order) and name.length. Starts are searched once each, however many rows
+        have them; the joins are unrolled, so most should be small.
+        """
+        e = self.graph.edge(type_)
+        if not self.labels[from_] == e.source == e.target:
+            raise ValueError(f"{type_} does not lead from {self.labels[from_]} to itself")
+        rows = self.graph.edge_rows(type_).select("src", "dst", "eid")
+        rows = rows if forward else rows.withColumns({"src": F.col("dst"), "dst": F.col("src")})
+        walks = var_length(rows, self.df.select(F.col(f"{from_}__id").alias("id")).distinct(), least, most)
+        walks = walks.select(F.col("start").alias(f"{name}__start"), F.col("end").alias(f"{name}__end"), F.col("hops").alias(f"{name}__length"), F.col("trail").alias(f"{name}__eids"), F.col("nodes").alias(f"{name}__nodes"))
+        df = self.df.join(walks, F.col(f"{from_}__id") == F.col(f"{name}__start"))
+        if to in self.labels:
+            df = df.where(F.col(f"{to}__id") == F.col(f"{name}__end"))
+        else:
+            df = df.join(_nodes(self.graph, e.target, to), F.col(f"{name}__end") == F.col(f"{to}__id"))
+        return self._using(df.drop(f"{name}__start", f"{name}__end"), self.labels | {to: e.target}, Used(frozenset([type_]), f"{name}__eids", "path"))
 
     def _hop(self, from_: str, type_: str, to: str, rel: str | None, forward: bool) -> Match:
         e = self.graph.edge(type_)
@@ -56,28 +147,26 @@ class Match:
         if e.on and to not in self.labels and not rel:
             return self._by_key(e, from_, to, end, key_is_here=(e.on == "source") == forward)
         rows = self.graph.edge_rows(type_)
-        return self._join(from_, end, to, rel, type_, rows, F.col("src" if forward else "dst"), F.col("dst" if forward else "src"))
+        return self._join(from_, end, to, rel, (type_,), rows, F.col("src" if forward else "dst"), F.col("dst" if forward else "src"))
 
     def _by_key(self, e: EdgeTable, from_: str, to: str, end: str, key_is_here: bool) -> Match:
-        """A foreign key: the far node's table joins without an edge table."""
+        """A foreign key: the far node's table joins without an edge table. The row that holds the key is the relationship."""
         far = _nodes(self.graph, end, to)
         here = F.col(f"{from_}__{e.dst if e.on == 'source' else e.src}") if key_is_here else F.col(f"{from_}__id")
         there = F.col(f"{to}__id") if key_is_here else F.col(f"{to}__{e.dst if e.on == 'source' else e.src}")
-        return self._with(self.df.join(far, here == there), self.labels | {to: end})
+        return self._using(self.df.join(far, here == there), self.labels | {to: end}, Used(frozenset([e.type]), f"{from_ if key_is_here else to}__id", "key"))
 
-    def _join(self, from_: str, end: str, to: str, rel: str | None, type_: str, rows: DataFrame, near: Column, far: Column) -> Match:
-        n = len(self.used)
-        name = rel or f"_r{n}"
-        edge = rows.select(near.alias(f"{name}__near"), far.alias(f"{name}__far"), F.col("eid").alias(f"{name}__eid"), *[F.col(p).alias(f"{name}__{p}") for p in self.graph.edge(type_).properties])
+    def _join(self, from_: str, end: str, to: str, rel: str | None, types: tuple[str, ...], rows: DataFrame, near: Column, far: Column, more: tuple[str, ...] = ()) -> Match:
+        name = rel or f"_r{next(_unnamed)}"
+        own = more or tuple(self.graph.edge(types[0]).properties)
+        named = [F.col("src").alias(f"{name}__src"), F.col("dst").alias(f"{name}__dst")] if rel else []
+        edge = rows.select(near.alias(f"{name}__near"), far.alias(f"{name}__far"), F.col("eid").alias(f"{name}__eid"), *named, *[F.col(p).alias(f"{name}__{p}") for p in own])
         df = self.df.join(edge, F.col(f"{from_}__id") == F.col(f"{name}__near"))
-        for other, kind in self.used:
-            if kind == type_:
-                df = df.where(F.col(f"{other}__eid") != F.col(f"{name}__eid"))
         if to in self.labels:
             df = df.where(F.col(f"{to}__id") == F.col(f"{name}__far"))
         else:
             df = df.join(_nodes(self.graph, end, to), F.col(f"{name}__far") == F.col(f"{to}__id"))
-        return self._with(df.drop(f"{name}__near", f"{name}__far"), self.labels | {to: end}, (*self.used, (name, type_)))
+        return self._using(df.drop(f"{name}__near", f"{name}__far"), self.labels | {to: end}, Used(frozenset(types), f"{name}__eid"))
 
     def part(self, var: str, label: str, on: Column | None = None) -> Match:
         """A further pattern part; without a condition it is a Cartesian product, so say so by on=F.lit(True)."""
@@ -87,12 +176,78 @@ class Match:
         return self._with(self.df.join(far, on), self.labels | {var: label})
 
     def also(self, other: Match) -> Match:
-        """Another pattern of the same clause that shares variables: an equi-join on their ids."""
+        """Another pattern of the same clause that shares variables: an equi-join on their ids. Its relationships are others."""
         shared = [x for x in self.labels if x in other.labels]
         if not shared:
             raise ValueError("the parts share no variable")
         right = other.df.drop(*[c for x in shared for c in other.df.columns if c.startswith(f"{x}__") and c != f"{x}__id"])
-        return self._with(self.df.join(right, [f"{x}__id" for x in shared]), self.labels | other.labels, self.used + other.used)
+        if both := set(self.df.columns) & set(right.columns) - {f"{x}__id" for x in shared}:
+            raise ValueError(f"the parts share the columns {sorted(both)}")
+        made = self._with(self.df.join(right, [f"{x}__id" for x in shared]), self.labels | other.labels)
+        for new in other.used:
+            checked = self._using(made.df, made.labels, new)
+            made = made._with(checked.df)
+        return made._with(made.df, used=self.used + other.used)
+
+    def with_(self, *variables: str, distinct: bool = False, **items: Column) -> Match:
+        """WITH: the variables, whole, and items under their names; the rest is out of scope."""
+        kept = [c for c in self.df.columns if c.split("__")[0] in variables and "__" in c or c in variables]
+        df = self.df.select(*kept, *[x.alias(n) for n, x in items.items()])
+        return self._with(df.distinct() if distinct else df, {k: x for k, x in self.labels.items() if k in variables}, ())
+
+    def group(self, *variables: str, **aggs: Column) -> Match:
+        """WITH variables and aggregates, grouped by the variables."""
+        kept = [c for c in self.df.columns if c.split("__")[0] in variables and "__" in c or c in variables]
+        df = self.df.groupBy(*kept).agg(*[a.alias(n) for n, a in aggs.items()])
+        return self._with(df, {k: x for k, x in self.labels.items() if k in variables}, ())
+
+    def order_by(self, *order: Column) -> Match:
+        """ORDER BY, for a skip() or limit() that follows; see nulls_last and nulls_first."""
+        return self._with(self.df.orderBy(*order))
+
+    def skip(self, n: int) -> Match:
+        return self._with(self.df.offset(n))
+
+    def limit(self, n: int) -> Match:
+        return self._with(self.df.limit(n))
+
+    def call(self, from_: str, build: Callable[[Match], Match], order: list[Column] | None = None, limit: int | None = None) -> Match:
+        """CALL { WITH from_ ... RETURN ... ORDER BY order LIMIT limit }: rows of the sub-query for each (from_), none without
+        any. Rows of one (from_) are ranked; Spark keeps limit of them in each task before the shuffle."""
+        inner = build(start(self.graph, from_, self.labels[from_]))
+        df = inner.df
+        if limit is not None:
+            if not order:
+                raise ValueError("a limit needs an order")
+            rank = F.row_number().over(Window.partitionBy(f"{from_}__id").orderBy(*order))
+            df = df.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
+        new = [c for c in df.columns if not c.startswith(f"{from_}__")]
+        right = df.select(F.col(f"{from_}__id").alias("__anchor"), *new)
+        joined = self.df.join(right, F.col(f"{from_}__id") == F.col("__anchor")).drop("__anchor")
+        return self._with(joined, self.labels | {k: x for k, x in inner.labels.items() if k != from_})
+
+    def labels_of(self, var: str) -> Column:
+        """labels(var): the table's label and its further ones."""
+        n = self.graph.node(self.labels[var])
+        return F.array(*map(F.lit, (n.label, *n.labels)))
+
+    def type_of(self, rel: str) -> Column:
+        """type(rel) of a named relationship."""
+        if f"{rel}__type" in self.df.columns:
+            return F.col(f"{rel}__type")
+        return F.lit(next(iter(next(u.types for u in self.used if u.column == f"{rel}__eid"))))
+
+    def _properties(self, var: str) -> list[str]:
+        inner = {"id", "eid", "src", "dst"}
+        return [p for c in self.df.columns if c.startswith(f"{var}__") and (p := c.removeprefix(f"{var}__")) not in inner]
+
+    def keys_of(self, var: str) -> Column:
+        """keys(var): the names of its properties that are not null."""
+        return F.array_compact(F.array(*[F.when(F.col(f"{var}__{p}").isNotNull(), F.lit(p)) for p in self._properties(var)]))
+
+    def properties_of(self, var: str) -> Column:
+        """properties(var) as a struct."""
+        return F.struct(*[F.col(f"{var}__{p}").alias(p) for p in self._properties(var)])
 
     def optional(self, from_: str, build: Callable[[Match], Match]) -> Match:
         """OPTIONAL MATCH: what build adds to (from_), or nulls. Its filters belong inside build."""
@@ -149,8 +304,22 @@ def _nodes(graph: GraphCatalog, label: str, var: str) -> DataFrame:
 
 
 def start(graph: GraphCatalog, var: str, label: str) -> Match:
-    """MATCH (var:label)."""
-    return Match(graph, _nodes(graph, label, var), {var: label})
+    """MATCH (var:label), or (var:A:B) for nodes with several labels.
+
+    Where one table has these labels it is matched as that table's label. Nodes of several tables have the columns of
+    all, with nulls, and var.label, the label of their table; hops from them need a table's own label.
+    """
+    wanted = label.split(":")
+    if len(wanted) == 1 and label in graph.nodes:
+        return Match(graph, _nodes(graph, label, var), {var: label})
+    tables = graph.tables_of(*wanted)
+    if len(tables) == 1:
+        return Match(graph, _nodes(graph, tables[0].label, var), {var: tables[0].label})
+    df = None
+    for n in tables:
+        part = _nodes(graph, n.label, var).withColumn(f"{var}__label", F.lit(n.label))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    return Match(graph, df, {var: label})
 
 
 def relationships(graph: GraphCatalog, types: list[str]) -> DataFrame:

@@ -15,18 +15,19 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def var_length(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
-    """(start, end, hops, trail) of all paths of least to most relationships, none of which repeats (trail: their eids).
+    """(start, end, hops, trail, nodes) of all paths of least to most relationships, none of which repeats (trail: their
+    eids; nodes: the ids along it, both ends included).
 
     starts has a column id. The joins are unrolled, so most should be small; reachable() serves longer distances.
     """
     if not 0 <= least <= most:
         raise ValueError("0 <= least <= most is needed")
-    walk = starts.select(F.col("id").cast("long").alias("start"), F.col("id").cast("long").alias("end"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("trail"))
+    walk = starts.select(F.col("id").cast("long").alias("start"), F.col("id").cast("long").alias("end"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("trail"), F.array(F.col("id").cast("long")).alias("nodes"))
     found = [walk] if least == 0 else []
     step = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("eid").alias("__e"))
     for k in range(1, most + 1):
         met = walk.join(step, F.col("end") == F.col("__s")).where(~F.array_contains("trail", F.col("__e")))
-        walk = met.select("start", F.col("__d").alias("end"), F.lit(k).alias("hops"), F.concat("trail", F.array("__e")).alias("trail"))
+        walk = met.select("start", F.col("__d").alias("end"), F.lit(k).alias("hops"), F.concat("trail", F.array("__e")).alias("trail"), F.concat("nodes", F.array("__d")).alias("nodes"))
         if k >= least:
             found.append(walk)
     out = found[0]
@@ -55,32 +56,35 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int, every: bool = False) -> DataFrame:
     """(source, target, distance, path) for the pairs (source, target) that are within most hops; path is the nodes' ids.
 
-    One path for each pair, the least by its ids, or every shortest one. A search stops at the level that reaches its
-    target; pairs of a node with itself have distance 0.
+    One path for each pair, the least by its ids, or every shortest one. There is one search for each source, whatever
+    the number of its targets; it stops when all of them are reached. Pairs of a node with itself have distance 0.
     """
     step = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
-    first = F.col("source").cast("long")
-    frontier = pairs.distinct().select(first.alias("source"), F.col("target").cast("long").alias("target"), first.alias("node"), F.array(first).alias("path"))
-    frontier = materialized(frontier, "bfs")
-    done = [frontier.where("node = target").withColumn("distance", F.lit(0))]
-    seen = frontier.select("source", "target", "node")
-    frontier = frontier.where("node != target")
-    for k in range(1, most + 1):
-        met = frontier.join(step, F.col("node") == F.col("__s")).select("source", "target", F.col("__d").alias("node"), F.concat("path", F.array("__d")).alias("path"))
-        met = met.join(seen, ["source", "target", "node"], "left_anti")
-        if not every:
-            met = met.groupBy("source", "target", "node").agg(F.min("path").alias("path"))
-        level = materialized(met, "bfs")
-        hit = level.where("node = target")
-        done.append(hit.withColumn("distance", F.lit(k)))
-        frontier = level.join(hit.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    wanted = materialized(pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct(), "pairs")
+    frontier = wanted.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
+    open_pairs, done = wanted, []
+    seen = frontier.select("source", "node")
+    for k in range(most + 1):
+        if k:
+            met = frontier.join(step, F.col("node") == F.col("__s")).select("source", F.col("__d").alias("node"), F.concat("path", F.array("__d")).alias("path"))
+            met = met.join(seen, ["source", "node"], "left_anti")
+            if not every:
+                met = met.groupBy("source", "node").agg(F.min("path").alias("path"))
+            elif k == most:
+                # Paths that may not go on count only where they end at a target.
+                met = met.join(open_pairs.withColumnRenamed("target", "node"), ["source", "node"], "left_semi")
+            frontier = materialized(met, "bfs")
+            seen = seen.unionByName(frontier.select("source", "node").distinct())
+        hit = frontier.join(open_pairs.withColumnRenamed("target", "node"), ["source", "node"])
+        done.append(hit.select("source", F.col("node").alias("target"), F.lit(k).alias("distance"), "path"))
+        open_pairs = materialized(open_pairs.join(hit.select("source", F.col("node").alias("target")).distinct(), ["source", "target"], "left_anti"), "open")
+        frontier = frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(level.select("source", "target", "node").distinct())
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("source", "target", "distance", "path")
+    return out
 
 
 def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:

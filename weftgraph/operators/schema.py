@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +24,27 @@ def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in key], "change")
 
 
+def moved_ends(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, old_source, old_target, new_source, new_target) of the relationship types whose ends differ."""
+    ends = lambda d, p: d.where("kind = 'relationship'").select("name", F.col("source").alias(f"{p}_source"), F.col("target").alias(f"{p}_target")).distinct()
+    both = ends(old, "old").join(ends(new, "new"), "name")
+    return both.where("old_source != new_source OR old_target != new_target")
+
+
+def described_from(spark: SparkSession, schema: dict | str) -> DataFrame:
+    """GraphCatalog.describe()'s table of {"nodes": {label: [property]}, "relationships": {type: [source, target, [property]]}},
+    as a dict or its JSON text; property types are not known there and null."""
+    schema = json.loads(schema) if isinstance(schema, str) else schema
+    rows = []
+    for label, names in schema.get("nodes", {}).items():
+        if not isinstance(names, (list, tuple)):
+            raise ValueError(f"the properties of {label} are no list")
+        rows += [("node", label, None, None, p, None) for p in names] or [("node", label, None, None, None, None)]
+    for type_, (source, target, names) in schema.get("relationships", {}).items():
+        rows += [("relationship", type_, source, target, p, None) for p in names] or [("relationship", type_, source, target, None, None)]
+    return spark.createDataFrame(rows, "kind string, name string, source string, target string, property string, type string")
+
+
 def schema_merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """The union of two descriptions; a type that both have keeps the first's ends and property types."""
     known = first.select(F.col("kind").alias("__k"), F.col("name").alias("__n"), F.coalesce("property", F.lit("")).alias("__p"))
@@ -45,7 +68,7 @@ def check_names(used: DataFrame, described: DataFrame) -> DataFrame:
     props = described.where("property IS NOT NULL").select(F.lit("property").alias("k"), F.col("name").alias("own"), F.col("property").alias("known"), F.col("kind").alias("of"))
     known = names.unionByName(types).withColumn("of", F.lit(None).cast("string")).unionByName(props)
     asked = used.distinct().select("kind", F.when(F.col("kind") == "property", F.col("owner")).otherwise("").alias("owner"), "name")
-    met = asked.join(F.broadcast(known), (F.col("kind") == F.col("k")) & (F.col("owner") == F.col("own")), "inner")
+    met = asked.join(known, (F.col("kind") == F.col("k")) & (F.col("owner") == F.col("own")), "inner")
     edits = F.levenshtein(F.lower("name"), F.lower("known"))
     scored = met.withColumns({"edits": edits, "exact": F.col("name") == F.col("known")})
     per = scored.groupBy("kind", "owner", "name", "of").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that may be broadcast to the scan; more are an error, to be run in blocks.
+#: Queries that are broadcast to one scan; more are dealt to blocks of about so many, each with a scan of its own.
 MOST_QUERIES = 10_000
 
 
@@ -34,15 +34,16 @@ def top_k(rows: DataFrame, key: str, vector: str, query: list[float], k: int, si
 def top_k_join(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, similarity: str = "cosine") -> DataFrame:
     """(query, key, score, rank) of the k nearest rows to each query; queries has (query, vector), their number is checked.
 
-    The query set is broadcast to the scan of all rows. Each task keeps its own k best for a query before the shuffle.
+    The queries' number is counted, and blocks of at most about MOST_QUERIES are broadcast to a scan of all rows each. A task
+    keeps its own k best of a query before the shuffle (Spark's limit of ranked groups). Ties go to the smaller key.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: run them in blocks")
-    asked = queries.select(F.col("query"), F.col("vector").alias("__q"))
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    asked = queries.select("query", F.col("vector").alias("__q"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("__block"))
     score = {"cosine": cosine, "euclidean": euclidean}[similarity](F.col(vector), F.col("__q"))
-    scored = rows.join(F.broadcast(asked)).select("query", F.col(key), score.alias("score"), F.spark_partition_id().alias("__part"))
-    best = [F.desc("score"), F.col(key)]
-    local = scored.where("score IS NOT NULL").withColumn("__r", F.row_number().over(Window.partitionBy("query", "__part").orderBy(*best))).where(F.col("__r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best))).where(F.col("rank") <= k)
-    return ranked.select("query", key, "score", "rank")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col(key)))
+    out = None
+    for block in range(blocks):
+        scored = rows.join(F.broadcast(asked.where(F.col("__block") == block))).select("query", F.col(key), score.alias("score"))
+        ranked = scored.where("score IS NOT NULL").withColumn("rank", best).where(F.col("rank") <= k).select("query", key, "score", "rank")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out

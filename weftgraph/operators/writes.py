@@ -63,7 +63,9 @@ def detach(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def attached(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Relationships that forbid a DELETE without DETACH: those with an end among ids."""
     gone = ids.select(F.col("id").alias("__id")).distinct()
-    return edges.join(gone, (F.col("src") == F.col("__id")) | (F.col("dst") == F.col("__id")), "left_semi")
+    by_src = edges.join(gone, F.col("src") == F.col("__id"), "left_semi")
+    others = edges.join(gone, F.col("src") == F.col("__id"), "left_anti")
+    return by_src.unionByName(others.join(gone, F.col("dst") == F.col("__id"), "left_semi"))
 
 
 def create_edges(edges: DataFrame, pairs: DataFrame, nodes_src: DataFrame, nodes_dst: DataFrame) -> DataFrame:

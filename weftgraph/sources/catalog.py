@@ -37,7 +37,8 @@ class NodeTable:
 @dataclass(frozen=True)
 class EdgeTable:
     """on: None for a table of its own; "source" or "target" if src and dst are columns of that end's table (a foreign
-    key), so that a hop to or from that end needs no edge table."""
+    key), so that a hop to or from that end needs no edge table. key: the columns that tell relationships apart (all
+    columns if none are named, so that equal rows are one; a foreign key's row is told apart by its node's key)."""
 
     type: str
     table: Table
@@ -46,6 +47,11 @@ class EdgeTable:
     src: str
     dst: str
     on: str | None = None
+    key: tuple[str, ...] = ()
+
+    @property
+    def identity(self) -> list[str]:
+        return [self.src if self.on == "source" else self.dst] if self.on else list(self.key) or self.df.columns
 
     @cached_property
     def df(self) -> DataFrame:
@@ -66,10 +72,11 @@ class GraphCatalog:
         self.nodes[label] = NodeTable(label, df, key, labels)
         return self
 
-    def add_edges(self, type_: str, df: Table, source: str, target: str, src: str, dst: str) -> GraphCatalog:
+    def add_edges(self, type_: str, df: Table, source: str, target: str, src: str, dst: str, key: tuple[str, ...] = ()) -> GraphCatalog:
+        """key: columns that tell relationships apart; without it all columns are read for that where it matters."""
         for end in (source, target):
             self.node(end)
-        self.edges[type_] = EdgeTable(type_, df, source, target, src, dst)
+        self.edges[type_] = EdgeTable(type_, df, source, target, src, dst, key=tuple(key))
         return self
 
     def add_foreign_key(self, type_: str, source: str, target: str, column: str, on: str) -> GraphCatalog:
@@ -92,14 +99,30 @@ class GraphCatalog:
     def edge_rows(self, type_: str) -> DataFrame:
         """(src, dst, eid) and the properties of a type; rows without either end are no relationship."""
         e = self.edge(type_)
-        columns = [F.col(e.src).cast("long").alias("src"), F.col(e.dst).cast("long").alias("dst"), F.xxhash64(*e.df.columns).alias("eid")]
+        own = [F.col(c).cast("long") if e.on else F.col(c) for c in e.identity]
+        columns = [F.col(e.src).cast("long").alias("src"), F.col(e.dst).cast("long").alias("dst"), F.xxhash64(F.lit(type_), *own).alias("eid")]
         return e.df.select(*columns, *e.properties).where("src IS NOT NULL AND dst IS NOT NULL")
 
-    def all_nodes(self) -> DataFrame:
-        """(label, id) of every node."""
-        parts = [n.df.select(F.lit(n.label).alias("label"), F.col(n.key).cast("long").alias("id")) for _, n in sorted(self.nodes.items())]
+    def tables_of(self, *labels: str) -> list[NodeTable]:
+        """The tables whose rows have all of these labels, their own or further ones."""
+        found = [n for _, n in sorted(self.nodes.items()) if set(labels) <= {n.label, *n.labels}]
+        if not found:
+            raise KeyError(f"no node has the labels {':'.join(labels)}{_hint(labels[0], self.nodes)}")
+        return found
+
+    def all_nodes(self, properties: bool = False) -> DataFrame:
+        """(label, id) of every node, with properties also (labels, properties), the latter as a JSON text."""
+        parts = []
+        for _, n in sorted(self.nodes.items()):
+            more = [F.array(*map(F.lit, (n.label, *n.labels))).alias("labels"), F.to_json(F.struct(*n.properties)).alias("properties")] if properties else []
+            parts.append(n.df.select(F.lit(n.label).alias("label"), F.col(n.key).cast("long").alias("id"), *more))
         return _union(parts)
 
+    def fetch(self, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
+        """Up to so many nodes (label, id, labels, properties) and relationships (type, src, dst, properties), by name and id."""
+        edges = [self.edge_rows(t).select(F.lit(t).alias("type"), "src", "dst", F.to_json(F.struct(*e.properties) if e.properties else F.struct()).alias("properties")) for t, e in sorted(self.edges.items())]
+        return self.all_nodes(True).orderBy("label", "id").limit(most_nodes), _union(edges).orderBy("type", "src", "dst", "properties").limit(most_edges)
+
     def all_edges(self) -> DataFrame:
         """(type, src, dst) of every relationship."""
         return _union([self.edge_rows(t).select(F.lit(t).alias("type"), "src", "dst") for t in sorted(self.edges)])

@@ -28,7 +28,7 @@ def star_graph(spark: SparkSession, folder: str) -> GraphCatalog:
         ("Document", "documents", "doc_id"),
         ("Vector", "embeddings", "vec_id"),
     ):
-        g.add_nodes(label, t(name), key)
+        g.add_nodes(label, t(name), key, labels=("Party",) if label in ("Customer", "Supplier") else ())
     g.add_nodes("User", lambda: t("events")().select("user_id").distinct(), "user_id")
     g.add_foreign_key("IN_REGION", "Nation", "Region", "n_regionkey", on="source")
     g.add_foreign_key("CUSTOMER_OF", "Customer", "Nation", "c_nationkey", on="source")
@@ -37,11 +37,12 @@ def star_graph(spark: SparkSession, folder: str) -> GraphCatalog:
     g.add_foreign_key("DID", "User", "Event", "user_id", on="target")
     g.add_edges("CONTAINS", t("lineitem"), "Order", "Part", "l_orderkey", "l_partkey")
     g.add_edges("SUPPLIED_BY", t("lineitem"), "Order", "Supplier", "l_orderkey", "l_suppkey")
-    g.add_edges("SUPPLIES", lambda: t("lineitem")().select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part", "l_suppkey", "l_partkey")
+    g.add_edges("SUPPLIES", lambda: t("lineitem")().select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part", "l_suppkey", "l_partkey", key=("l_suppkey", "l_partkey"))
 
     def following() -> DataFrame:
+        # The events of one user are ordered in one task: its memory spills, its time follows the busiest user.
         per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
         return t("events")().select("event_id", F.lead("event_id").over(per_user).alias("next_id")).where("next_id IS NOT NULL")
 
-    g.add_edges("NEXT", following, "Event", "Event", "event_id", "next_id")
+    g.add_edges("NEXT", following, "Event", "Event", "event_id", "next_id", key=("event_id",))
     return g
