@@ -97,6 +97,18 @@ def test_substring(docs, rows, none):
     assert remove_duplicate_spans(none, "doc_id", "text", ["doc_id"]).count() == 0
 
 
+def test_substring_factors(spark):
+    w = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w[:150]), " ".join(w[150:300]), " ".join(["a", *w[20:120], "b", "c", *w[160:260], "d"]), " ".join(w[300:340] * 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in remove_duplicate_spans(df, "doc_id", "text", ["doc_id"]).collect()}
+    assert out[0].factors == out[1].factors == []
+    assert [(f.source, f.start >= lo and f.start + f.words <= hi and f.words >= 20) for f, lo, hi in zip(out[2].factors, (1, 103), (101, 203))] == [(0, True), (1, True)]
+    assert [(x.start, x.words) for x in out[2].removed] == [(1, 100), (103, 100)] and out[2].text == "a b c d"
+    # The second half repeats the first of the same text.
+    assert {f.source for f in out[3].factors} == {3} and out[3].text == " ".join(w[300:340])
+
+
 def test_best_fit():
     bins = BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 9, 8, 2)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0), (3, 8)]

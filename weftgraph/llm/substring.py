@@ -1,11 +1,12 @@
-"""Substring dedup in the manner of relative Lempel-Ziv parsing, over an index of the whole corpus cut into blocks.
+"""Substring dedup by relative Lempel-Ziv parsing, over an index of the whole corpus cut into blocks.
 
 A text is cut into phrases by its content: each window of `window` words picks its least n-gram (the anchor), and a
-phrase is a stretch of windows with one pick. Equal stretches of text give equal phrases wherever they stand, so a
-phrase is looked up by hash in the one reference block that can hold it. Runs of phrases that an earlier document holds
-are the long factors of the parse, duplicates as a whole. At factor boundaries, where a phrase is new but its anchor
-also stands in another phrase, the windows are checked one by one. A window that recurs has its anchor in common with
-its first occurrence, so nothing is lost against comparing all windows.
+phrase is a stretch of windows with one pick. Equal stretches of text give equal phrases wherever they stand. The parse
+works on phrases as its symbols: the reference index holds where each first stands (document and number), in blocks dealt
+by hash, and a phrase is looked up in the one block that can hold it. From left to right, a factor takes as many phrases
+as follow one another in one reference document; every factor is at least `window` words long and is a duplicate span. At
+factor boundaries, where a phrase is new but its anchor also stands in another phrase, the windows are checked one by one.
+A window that recurs has its anchor in common with its first occurrence, so nothing is lost against comparing all windows.
 """
 
 from __future__ import annotations
@@ -93,28 +94,29 @@ def _word_ids(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def _index(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, phrase, doc, n): each phrase's smallest document and count, combined inside tasks but not between them."""
+    """(anchor, phrase, doc, at, n): each phrase's smallest document, its first number there, and its count, combined inside
+    tasks but not between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            anchor, phrase, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.lexsort((doc, phrase))
-            anchor, phrase, doc = anchor[order], phrase[order], doc[order]
+            anchor, phrase, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            order = np.lexsort((at, doc, phrase))
+            anchor, phrase, doc, at = anchor[order], phrase[order], doc[order], at[order]
             starts = np.flatnonzero(np.concatenate([[True], phrase[1:] != phrase[:-1]]))
             counts = np.diff(np.concatenate([starts, [len(phrase)]]))
             parts.clear()
-            columns = [anchor[starts].view(np.int64), phrase[starts].view(np.int64), doc[starts], counts]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "phrase", "doc", "n"])
+            columns = [anchor[starts].view(np.int64), phrase[starts].view(np.int64), doc[starts], at[starts], counts]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "phrase", "doc", "at", "n"])
 
         size = 0
         for batch in sliced(batches, 1):
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = Phrases(_word_ids(t, hashes), window)
                 if len(own.first):
-                    parts.append((own.anchors, own.hashes, np.full(len(own.first), d, np.int64)))
+                    parts.append((own.anchors, own.hashes, np.full(len(own.first), d, np.int64), np.arange(len(own.first), dtype=np.int32)))
                     size += len(own.first)
             hashes.trim()
             if size > _COMBINE:
@@ -123,7 +125,7 @@ def _index(docs: DataFrame, window: int) -> DataFrame:
         if parts:
             yield flush()
 
-    return docs.mapInArrow(run, "anchor long, phrase long, doc long, n long")
+    return docs.mapInArrow(run, "anchor long, phrase long, doc long, at int, n long")
 
 
 def _occurrences(docs: DataFrame, window: int) -> DataFrame:
@@ -182,8 +184,9 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> DataFrame:
-    """(doc, phrases, starts) of each document that repeats an earlier one or itself: the numbers of its phrases that are
-    duplicates as a whole, and the starts of further windows. covered() turns both into words.
+    """(doc, phrases, starts) of each document that repeats an earlier one or itself: its phrases that are duplicates as a
+    whole, as (at, source, source_at): their numbers here and where they first stand; and the starts of further windows.
+    factors() and covered() turn them into words.
 
     A window of `window` words is a duplicate if the same words start earlier: in a smaller doc, or earlier in the same.
     Words are separated by blanks; null and short texts have no window. A null id counts as the largest. Rows that repeat
@@ -193,11 +196,11 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
     docs = df.select(order_id(doc).alias("doc"), F.col(text).alias("text"))
     index = written(_index(docs, window), "index")
     varied = index.groupBy("anchor").agg(F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("low < high").select("anchor", F.lit(True).alias("v"))
-    blocks = index.groupBy("anchor", "phrase").agg(F.min("doc").alias("first_doc"), F.sum("n").alias("n")).join(varied, "anchor", "left")
-    common = written(blocks.where("n > 1 OR v").select("phrase", "first_doc", F.coalesce("v", F.lit(False)).alias("varied")), "common")
+    blocks = index.groupBy("anchor", "phrase").agg(F.min("doc").alias("first_doc"), F.min_by("at", "doc").alias("first_at"), F.sum("n").alias("n")).join(varied, "anchor", "left")
+    common = written(blocks.where("n > 1 OR v").select("phrase", "first_doc", "first_at", F.coalesce("v", F.lit(False)).alias("varied")), "common")
     met = _occurrences(docs, window).join(common, "phrase").where("first_doc < doc OR again OR varied")
     whole = (F.col("first_doc") < F.col("doc")) | F.col("again")
-    lists = met.groupBy("doc").agg(F.collect_set(F.when(whole, F.col("at"))).alias("phrases"), F.collect_set(F.when(~whole, F.col("at"))).alias("check"))
+    lists = met.groupBy("doc").agg(F.collect_set(F.when(whole, F.struct("at", F.col("first_doc").alias("source"), F.col("first_at").alias("source_at")))).alias("phrases"), F.collect_set(F.when(~whole, F.col("at"))).alias("check"))
     lists = written(lists, "phrases")
     marked = _packed(docs).join(lists.where("size(check) > 0").select("doc", "check"), "doc")
     windows = written(_windows(marked.select("doc", "packed", "check"), window).distinct(), "windows")
@@ -207,16 +210,28 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
     return lists.select("doc", "phrases").join(starts, "doc", "left").where("size(phrases) > 0 OR starts IS NOT NULL")
 
 
-def covered(own: Phrases, phrases: list[int] | None, starts: list[int] | None) -> np.ndarray:
-    """True for the words of a text that lie in one of its duplicate windows."""
+def factors(own: Phrases, at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, source) of the greedy factors of a text, in words: the longest runs of known phrases, from left to
+    right, that follow one another in one source."""
+    keep = at < len(own.first)
+    order = np.argsort(at[keep], kind="stable")
+    at, source, source_at = at[keep][order], source[keep][order], source_at[keep][order]
+    if not len(at):
+        return at, at, source
+    goes_on = (np.diff(at) == 1) & (np.diff(source) == 0) & (np.diff(source_at) == 1)
+    heads = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    tails = np.append(heads[1:], len(at)) - 1
+    return own.first[at[heads]], own.last[at[tails]] + own.window, source[heads]
+
+
+def covered(own: Phrases, begins: np.ndarray, stops: np.ndarray, starts: list[int] | None) -> np.ndarray:
+    """True for the words of a text that lie in one of its factors or single duplicate windows."""
     n = len(own.words)
     edge = np.zeros(n + 1, np.int64)
-    at = np.array(phrases or [], np.int64)
-    at = at[at < len(own.first)]
     single = np.array(starts or [], np.int64)
     single = single[single + own.window <= n]
-    np.add.at(edge, np.concatenate([own.first[at], single]), 1)
-    np.add.at(edge, np.concatenate([own.last[at] + own.window, single + own.window]), -1)
+    np.add.at(edge, np.concatenate([begins, single]).astype(np.int64), 1)
+    np.add.at(edge, np.concatenate([stops, single + own.window]).astype(np.int64), -1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -233,7 +248,9 @@ def _cut(raw: bytes, flips: np.ndarray) -> bytes:
 
 
 def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str], window: int = 20, join_words: bool = True) -> DataFrame:
-    """keep columns of every row with text (what is left), n_words, n_removed and removed, the spans as (start, words).
+    """keep columns of every row with text (what is left), n_words, n_removed, removed, the spans as (start, words), and
+    factors, the parse as (start, words, source): source is the document that first holds the factor's phrases (its id, or
+    its row number where rows had to be told apart).
 
     What is left are the kept words joined by one space and a null text is empty; with join_words=False the blanks between
     kept words stay as they are and a null text is null. Rows with the same id, or none, and different texts are documents
@@ -248,9 +265,11 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType())]))),
+            T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("source", T.LongType())]))),
         ]
     )
     span = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
+    factor = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))
     width = len(others)
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(others)]
     out_type = [f.name for f in schema]
@@ -264,17 +283,21 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
         for batch in sliced(batches, width):
-            texts, counts, gone, spans = [], [], [], []
-            for packed, phrases, starts in zip(*[batch.column(width + i).to_pylist() for i in range(3)]):
+            texts, counts, gone, spans, parses = [], [], [], [], []
+            for packed, starts, *phrases in zip(*[batch.column(width + i).to_pylist() for i in range(5)]):
                 raw = b"" if packed is None else unpack.decompress(packed)
                 words = raw.split()
                 counts.append(len(words))
-                if not phrases and not starts:
+                if not phrases[0] and not starts:
                     gone.append(0)
                     spans.append([])
+                    parses.append([])
                     texts.append((b" ".join(words) if join_words else raw).decode("utf-8", "surrogatepass") if packed is not None or join_words else None)
                     continue
-                out = covered(Phrases(hashes.of(words), window), phrases, starts)
+                own = Phrases(hashes.of(words), window)
+                begins, stops, sources = factors(own, *[np.array(x or [], np.int64) for x in phrases])
+                parses.append([{"start": i, "words": j - i, "source": x} for i, j, x in zip(begins.tolist(), stops.tolist(), sources.tolist())])
+                out = covered(own, begins, stops, starts)
                 gone.append(int(out.sum()))
                 flips = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
                 spans.append([{"start": int(i), "words": int(j - i)} for i, j in zip(flips[::2], flips[1::2])])
@@ -282,7 +305,7 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
                 texts.append(left.decode("utf-8", "surrogatepass"))
             hashes.trim()
             cols = [batch.column(i) for i in range(width)]
-            cols += [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span)]
+            cols += [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(parses, factor)]
             yield pa.RecordBatch.from_arrays(cols, names=out_type)
 
     rows = df.select(*named, F.col(text).alias("packed"), order_id(doc).alias("__doc"))
@@ -290,4 +313,5 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
     kinds = T.StructType([T.StructField("packed", T.BinaryType()) if f.name == "packed" else f for f in rows.schema])
     spans_of = duplicate_spans(df, doc, text, window)
     joined = rows.mapInArrow(pack, kinds).join(spans_of.withColumnRenamed("doc", "__d"), F.col("__doc") == F.col("__d"), "left")
-    return joined.select(*names[:width], "packed", "phrases", "starts").mapInArrow(apply, schema)
+    parts = [F.col(f"phrases.{c}").alias(f"p_{c}") for c in ("at", "source", "source_at")]
+    return joined.select(*names[:width], "packed", "starts", *parts).mapInArrow(apply, schema)
