@@ -26,8 +26,6 @@ from weftgraph.llm.minhash import WordHashes, gram_hashes, mix
 #: Words of an anchor: windows of 20 words hold 15 of these, and pick the least.
 ANCHOR = 6
 _BASE = 0x9E3779B97F4A7C15
-#: Phrases that a task aggregates at once before they are shuffled.
-_COMBINE = 300_000
 
 
 class Phrases:
@@ -93,43 +91,9 @@ def _word_ids(text: str | None, hashes: WordHashes) -> np.ndarray:
     return hashes.of_text((text or "").encode("utf-8", "surrogatepass"))
 
 
-def _index(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, phrase, doc, at, n): each phrase's smallest document, its first number there, and its count, combined inside
-    tasks but not between them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        parts: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            anchor, phrase, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            order = np.lexsort((at, doc, phrase))
-            anchor, phrase, doc, at = anchor[order], phrase[order], doc[order], at[order]
-            starts = np.flatnonzero(np.concatenate([[True], phrase[1:] != phrase[:-1]]))
-            counts = np.diff(np.concatenate([starts, [len(phrase)]]))
-            parts.clear()
-            columns = [anchor[starts].view(np.int64), phrase[starts].view(np.int64), doc[starts], at[starts], counts]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "phrase", "doc", "at", "n"])
-
-        size = 0
-        for batch in sliced(batches, 1):
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Phrases(_word_ids(t, hashes), window)
-                if len(own.first):
-                    parts.append((own.anchors, own.hashes, np.full(len(own.first), d, np.int64), np.arange(len(own.first), dtype=np.int32)))
-                    size += len(own.first)
-            hashes.trim()
-            if size > _COMBINE:
-                yield flush()
-                size = 0
-        if parts:
-            yield flush()
-
-    return docs.mapInArrow(run, "anchor long, phrase long, doc long, at int, n long")
-
-
 def _occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """(phrase, doc, at, again) of each phrase of each text; at is its number in the text."""
+    """(anchor, phrase, doc, at, again) of each phrase of each text; at is its number in the text, again is true where it
+    stands earlier in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -139,12 +103,12 @@ def _occurrences(docs: DataFrame, window: int) -> DataFrame:
                 own = Phrases(_word_ids(t, hashes), window)
                 n = len(own.first)
                 if n:
-                    parts.append((own.hashes.view(np.int64), np.full(n, d, np.int64), np.arange(n, dtype=np.int32), own.again()))
+                    parts.append((own.anchors.view(np.int64), own.hashes.view(np.int64), np.full(n, d, np.int64), np.arange(n, dtype=np.int32), own.again()))
             hashes.trim()
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(4)], names=["phrase", "doc", "at", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(5)], names=["anchor", "phrase", "doc", "at", "again"])
 
-    return docs.mapInArrow(run, "phrase long, doc long, at int, again boolean")
+    return docs.mapInArrow(run, "anchor long, phrase long, doc long, at int, again boolean")
 
 
 def _windows(marked: DataFrame, window: int) -> DataFrame:
@@ -194,11 +158,13 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
     Stretches are compared by 64-bit hashes under a common anchor.
     """
     docs = df.select(order_id(doc).alias("doc"), F.col(text).alias("text"))
-    index = written(_index(docs, window), "index")
-    varied = index.groupBy("anchor").agg(F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("low < high").select("anchor", F.lit(True).alias("v"))
-    blocks = index.groupBy("anchor", "phrase").agg(F.min("doc").alias("first_doc"), F.min_by("at", "doc").alias("first_at"), F.sum("n").alias("n")).join(varied, "anchor", "left")
+    found = written(_occurrences(docs, window), "occurrences")
+    varied = found.groupBy("anchor").agg(F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("low < high").select("anchor", F.lit(True).alias("v"))
+    first_at = F.min_by("at", F.when(~F.col("again"), F.col("doc")))
+    index = found.groupBy("anchor", "phrase").agg(F.min("doc").alias("first_doc"), first_at.alias("first_at"), F.count(F.lit(1)).alias("n"))
+    blocks = index.join(varied, "anchor", "left")
     common = written(blocks.where("n > 1 OR v").select("phrase", "first_doc", "first_at", F.coalesce("v", F.lit(False)).alias("varied")), "common")
-    met = _occurrences(docs, window).join(common, "phrase").where("first_doc < doc OR again OR varied")
+    met = found.drop("anchor").join(common, "phrase").where("first_doc < doc OR again OR varied")
     whole = (F.col("first_doc") < F.col("doc")) | F.col("again")
     lists = met.groupBy("doc").agg(F.collect_set(F.when(whole, F.struct("at", F.col("first_doc").alias("source"), F.col("first_at").alias("source_at")))).alias("phrases"), F.collect_set(F.when(~whole, F.col("at"))).alias("check"))
     lists = written(lists, "phrases")
