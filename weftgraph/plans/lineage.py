@@ -32,6 +32,14 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_table(table: DataFrame) -> None:
+    """Deletes a table of materialized() whose readers have all been written themselves."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_materialized(spark: SparkSession) -> None:
     """Deletes this application's tables. Results that were not read yet need them, so call it when all are."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
