@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from weftgraph.llm.common import order_id, sliced, told_apart, written
 from weftgraph.llm.minhash import WordHashes, gram_hashes, mix
+from weftgraph.plans.lineage import remove_table
 
 #: Words of an anchor: windows of 20 words hold 15 of these, and pick the least.
 ANCHOR = 6
@@ -168,6 +169,9 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
     whole = (F.col("first_doc") < F.col("doc")) | F.col("again")
     lists = met.groupBy("doc").agg(F.collect_set(F.when(whole, F.struct("at", F.col("first_doc").alias("source"), F.col("first_at").alias("source_at")))).alias("phrases"), F.collect_set(F.when(~whole, F.col("at"))).alias("check"))
     lists = written(lists, "phrases")
+    # Half of the operator's disk space; what follows reads lists alone.
+    remove_table(found)
+    remove_table(common)
     marked = _packed(docs).join(lists.where("size(check) > 0").select("doc", "check"), "doc")
     windows = written(_windows(marked.select("doc", "packed", "check"), window).distinct(), "windows")
     firsts = windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hash", "low")
