@@ -485,6 +485,43 @@ def test_repeated_rows(spark, rows):
         assert sorted(map(tuple, run(twice).collect()), key=str) == sorted([tuple(r) for r in run(once).collect() for _ in (0, 1)], key=str)
 
 
+def test_sharding_against_a_loop(spark, folder, rows):
+    def cheapest(key, shards):
+        draws = [int(hashlib.md5(f"{key}#{i}".encode()).hexdigest()[:13], 16) for i in range(shards)]
+        return min(range(shards), key=lambda i: (-math.log((draws[i] + 0.5) / 16**13), i))
+
+    out = queries.QUERIES["op3_sharding"](spark, folder).collect()
+    texts = {r[0]: (r[1] or "").encode() for r in rows}
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    slots = collections.defaultdict(list)
+    for r in out:
+        assert (r.size, r.text_crc32, r.law) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "key")
+        assert (r.shard, r.grown_shard) == (cheapest(r.doc_id, 8), cheapest(r.doc_id, 9))
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_columns_named_like_results(spark):
+    names = ["lang_pred", "score", "ids", "decoded", "n_bytes", "media", "payload_bytes", "n_lines", "n_dropped", "n_words", "removed", "Factors", "__bucket", "__row"]
+    df = spark.createDataFrame([(1, "some words of one text")], "doc_id long, text string").select("doc_id", "text", *[F.lit("old").alias(c) for c in names])
+    path, all_of = queries.tokenizer_path(), ["doc_id", *names]
+    for made, out in (
+        (["lang_pred", "score"], predict_language(df, "doc_id", "text", None, all_of)),
+        (["score"], toxicity.score_toxicity(df, "text", None, all_of)),
+        (["ids", "decoded"], encode_column(df, "text", all_of, path, decoded=True)),
+        (["ids", "decoded"], decode_column(encode_column(df, "text", ["doc_id", "score"], path), "ids", ["doc_id", "ids", "score"], path)),
+        (["n_bytes", "media"], media.wav_column(df, "text", all_of)),
+        (["payload_bytes"], media.wav_fingerprints(media.wav_column(df, "text", ["doc_id", "payload_bytes"]), "media", ["doc_id", "payload_bytes"])),
+        (["n_lines", "n_dropped"], drop_lines(df, "doc_id", "text", all_of)),
+        (["n_words", "removed", "factors"], remove_duplicate_spans(df, "doc_id", "text", all_of)),
+        ([], shard_records(df, "doc_id", [1.0, 1.0])),
+    ):
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        row = out.collect()[0].asDict()
+        assert all(row[c] != "old" for c in made) and row["doc_id"] == 1
+        assert all(v == "old" for c, v in row.items() if c in names and c not in made)
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "one long line here\nand x"), (4, "one long line here")], "doc_id long, text string")
     assert {r.doc_id: r.n_dropped for r in drop_lines(df, "doc_id", "text", ["doc_id"]).collect()} == {None: 1, 4: 0}

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import sliced
+from weftgraph.llm.common import kept, sliced
 
 #: Fixed value: the public pattern that splits a text before merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -306,9 +306,10 @@ def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str, dec
     text of these ids, as decode_column gives it, made in the same task.
 
     Null and empty texts give an empty array. Special tokens' strings in a text become their ids, as the tokenizers
-    library does by default. Rows stand alone; an empty table gives no rows; other columns are dropped, so names cannot
-    clash. tokenizer is a path that every worker can open.
+    library does by default. Rows stand alone; an empty table gives no rows; other columns are dropped, and a column
+    of keep that is named like a result gives way to it. tokenizer is a path that every worker can open.
     """
+    keep = kept(keep, ["ids", "decoded"] if decoded else ["ids"])
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     if decoded:
         schema = schema.add("decoded", T.StringType())
@@ -332,6 +333,7 @@ def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str, dec
 
 def decode_column(df: DataFrame, ids: str, keep: list[str], tokenizer: str) -> DataFrame:
     """keep columns and decoded: the text of each id array, special tokens included; null ids give null."""
+    keep = kept(keep, ["decoded"])
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def kept(keep: list[str], made: list[str]) -> list[str]:
+    """The columns of keep that no column of made replaces: one with a made column's name gives way, as with withColumn."""
+    names = {m.lower() for m in made}
+    return [k for k in keep if k.lower() not in names]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

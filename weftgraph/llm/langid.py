@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import held_out, sliced
+from weftgraph.llm.common import held_out, kept, sliced
 
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -235,8 +235,10 @@ def predict_language(df: DataFrame, doc: str, text: str, model: Model | None, ke
     """keep columns, lang_pred and score for each row, from the whole text alone.
 
     Texts that are null or have no letter get und and score 0, and so do all if model is None (no labelled row). Equal
-    texts get equal predictions. Rows stand alone; an empty table gives no rows; other columns are dropped.
+    texts get equal predictions. Rows stand alone; an empty table gives no rows; other columns are dropped, and a column of keep
+    that is named like a result gives way to it.
     """
+    keep = kept(keep, ["lang_pred", "score"])
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

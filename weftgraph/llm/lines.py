@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import ascii_lower, order_id, shuffle_width, sliced
+from weftgraph.llm.common import ascii_lower, kept, order_id, shuffle_width, sliced
 from weftgraph.plans.lineage import shared_dir
 
 
@@ -130,9 +130,9 @@ def line_dedup(df: DataFrame, doc: str, text: str, least_chars: int = 10) -> Dat
 def drop_lines(df: DataFrame, doc: str, text: str, keep: list[str], least_chars: int = 10) -> DataFrame:
     """keep columns and text of every row of df, with n_lines and n_dropped; text is the kept lines joined by \\n.
 
-    A null text stays null. Texts meet only the bitmaps, never other documents' lines.
+    A null text stays null. A column of keep named n_lines or n_dropped gives way. Texts meet only the bitmaps, never other documents' lines.
     """
-    others = [c for c in keep if c != text]
+    others = kept(keep, [text, "n_lines", "n_dropped"])
     ids = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(others)], F.col(text).alias("__whole"), order_id(doc).alias("__d"), F.xxhash64(text).alias("__t"))
     drops = line_dedup(df, doc, text, least_chars)
     joined = ids.join(drops, (F.col("__d") == F.col("doc_key")) & (F.col("__t") == F.col("text_key")), "left")

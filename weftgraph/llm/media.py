@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import sliced
+from weftgraph.llm.common import kept, sliced
 
 #: Samples of one frame and between frames; a payload is padded to a multiple of PAD.
 FRAME, HOP, PAD = 128, 96, 192
@@ -81,8 +81,10 @@ def wav_column(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep columns, n_bytes (of the unpadded UTF-8 text) and media: the text's bytes as the samples of an 8-bit WAV.
 
     Null and empty texts give PAD spaces. Each row stands alone: equal texts give equal media, row order does not matter,
-    an empty table gives no rows; columns not in keep are dropped, so clashing names cannot occur.
+    an empty table gives no rows; columns not in keep are dropped, and one of keep that is named like a result gives way
+    to it.
     """
+    keep = kept(keep, ["n_bytes", "media"])
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     columns = list(dict.fromkeys([*keep, text]))
@@ -113,6 +115,7 @@ def wav_fingerprints(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
         ("fp_times", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
         ("fp_codes", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
     ]
+    keep = kept(keep, [n for n, _, _ in new])
     schema = T.StructType([*[df.schema[k] for k in keep], *[T.StructField(n, t) for n, t, _ in new]])
 
     columns = list(dict.fromkeys([*keep, media]))

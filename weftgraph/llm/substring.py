@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import order_id, sliced, told_apart, written
+from weftgraph.llm.common import kept, order_id, sliced, told_apart, written
 from weftgraph.llm.minhash import WordHashes, gram_hashes, mix
 from weftgraph.plans.lineage import remove_table
 
@@ -224,10 +224,11 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
 
     What is left are the kept words joined by one space and a null text is empty; with join_words=False the blanks between
     kept words stay as they are and a null text is null. Rows with the same id, or none, and different texts are documents
-    of their own, in the order of the texts' hashes. See duplicate_spans.
+    of their own, in the order of the texts' hashes. A column of keep that is named like a result gives way to it. See
+    duplicate_spans.
     """
     df, doc, _ = told_apart(df, doc, text)
-    others = [c for c in keep if c != text]
+    others = kept(keep, [text, "n_words", "n_removed", "removed", "factors"])
     schema = T.StructType(
         [
             *[df.schema[c] for c in others],

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import held_out, sliced
+from weftgraph.llm.common import held_out, kept, sliced
 
 #: Labelled documents that a model is fitted on at most, as a target for each class, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8000
@@ -220,8 +220,10 @@ def score_toxicity(df: DataFrame, text: str, model: Model | None, keep: list[str
     """keep columns and score (0 to 1) for each row, from the whole text alone.
 
     Null, empty and wordless texts get the score of the bias, and all texts 0 if model is None. Equal texts get equal
-    scores. Rows stand alone; an empty table gives no rows; other columns are dropped.
+    scores. Rows stand alone; an empty table gives no rows; other columns are dropped, and a score among keep gives way to
+    the new one.
     """
+    keep = kept(keep, ["score"])
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField("score", T.DoubleType())])
     values, bias = (model.bucket_scores(), float(model.bias[1] - model.bias[0])) if model is not None else (None, 0.0)
     shared = df.sparkSession.sparkContext.broadcast(values)
