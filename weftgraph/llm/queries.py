@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import langid, toxicity
 from weftgraph.llm.bpe import encode_column
-from weftgraph.llm.common import documents, held_out
+from weftgraph.llm.chat import as_events, format_conversations, read_loss, read_turns
+from weftgraph.llm.common import documents, held_out, written
 from weftgraph.llm.lines import drop_lines
 from weftgraph.llm.media import wav_column, wav_fingerprints
 from weftgraph.llm.minhash import near_duplicates
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.phrases import mine_phrases
 from weftgraph.llm.quality import quality_rules
+from weftgraph.llm.quantize import books_sha256, quantize
 from weftgraph.llm.sharding import shard_records
 from weftgraph.llm.substring import remove_duplicate_spans
 
@@ -109,7 +112,42 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most strongly bound phrases of two and three words of each language."""
+    return mine_phrases(documents(spark, sf_dir), "lang", "text", max_n=3, least=10, covered_percent=50, most=2000)
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like the template, as a log of events; read back after formatting."""
+    text = F.lit(r"\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = format_conversations(as_events(rows))
+    read = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four bytes for all vectors, with their errors and those of their label."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    coded, books = quantize(rows, "vec_id", "embedding", ["vec_id", "label"])
+    if books is None:
+        return coded.select("vec_id", "code", "error", F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
+    coded = written(coded, "codes")
+    sums = coded.groupBy(F.col("label").alias("__label")).agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error"))
+    out = coded.join(sums, F.col("label").eqNullSafe(F.col("__label")))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_sharding": op3_sharding, "op4_quality_rules": op4_quality_rules, "op5_media": op5_media, "op6_language_id": op6_language_id, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe, "op11_phrases": op11_phrases, "op12_chat": op12_chat, "op13_vector_codes": op13_vector_codes}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -167,6 +205,50 @@ ORACLES: dict[str, str] = {
         groups AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM groups LEFT JOIN n USING (doc_id)
     """,
+    "op11_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        listed AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        w AS (SELECT lang, id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM listed),
+        runs AS (SELECT lang, x, x || ' ' || lead(x) OVER seq AS xy, x || ' ' || lead(x) OVER seq || ' ' || lead(x, 2) OVER seq AS xyz FROM w WINDOW seq AS (PARTITION BY lang, id ORDER BY i)),
+        f AS MATERIALIZED (
+            SELECT lang, x AS phrase, 1 AS k, count(*) AS f FROM runs GROUP BY ALL
+            UNION ALL SELECT lang, xy, 2, count(*) FROM runs WHERE xy IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+            UNION ALL SELECT lang, xyz, 3, count(*) FROM runs WHERE xyz IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+        ),
+        c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+        cuts AS MATERIALIZED (
+            SELECT lang, phrase, a, 1 AS j, ws[1] AS head, array_to_string(ws[2:], ' ') AS rest FROM c
+            UNION ALL SELECT lang, phrase, a, 2, array_to_string(ws[1:2], ' '), ws[3] FROM c WHERE k = 3
+        ),
+        keyed AS MATERIALIZED (SELECT lang || chr(9) || phrase AS key, f FROM f),
+        scored AS (
+            SELECT cuts.lang, cuts.phrase, a, j, h.f AS l, r.f AS r, CAST((a::HUGEINT * a::HUGEINT * 1000000) // (h.f::HUGEINT * r.f::HUGEINT) AS BIGINT) AS score
+            FROM cuts JOIN keyed h ON h.key = cuts.lang || chr(9) || head JOIN keyed r ON r.key = cuts.lang || chr(9) || rest
+        ),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        covers AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        left_over AS (SELECT best.* FROM best LEFT JOIN covers USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM left_over JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+    "op12_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, role, text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+        ),
+        m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns, sum(length(role) + length(text) + 16 + 2 * (length(text) - length(replace(replace(text, '\', ''), '<', ''))) // 2)::BIGINT AS formatted_chars,
+                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text))) AS turns_sha256,
+                coalesce(string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (role = 'assistant'), '') AS loss
+            FROM m GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+    """,
     "op8_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
