@@ -49,11 +49,88 @@ def test_relationships_differ(g):
 
 def test_optional_then_hops(g):
     m = start(g, "a", "Person").out("a", "KNOWS", "b").optional("b", lambda x: x.out("b", "KNOWS", "c")).out("b", "KNOWS", "d")
-    # The optional part is a clause of its own; the second hop belongs to the first one's.
-    want = Counter((x, y, z, w) for i, (x, y) in enumerate(KNOWS) for p, z in KNOWS if p == y for k, (q, w) in enumerate(KNOWS) if q == y and i != k)
+    # What follows an optional part is another MATCH, whose relationships may be those of the first.
+    want = Counter((x, y, z, w) for x, y in KNOWS for p, z in KNOWS if p == y for q, w in KNOWS if q == y)
     assert Counter(map(tuple, m.returns(a=v("a.id"), b=v("b.id"), c=v("c.id"), d=v("d.id")).collect())) == want
 
 
+def _all_pairs(g):
+    """Every (a, b) of persons, with their nicks."""
+    return start(g, "a", "Person").part("b", "Person", on=F.lit(True))
+
+
+def test_sub_patterns_of_two_variables(g):
+    knows, pairs = Counter(KNOWS), [(a, b) for a in HOME for b in HOME]
+    hop = lambda x: x.out("a", "KNOWS", "b")
+    ids = lambda rows, **more: Counter(map(tuple, rows.returns(a=v("a.id"), b=v("b.id"), **more).collect()))
+    assert ids(_all_pairs(g).exists("a", hop)) == Counter(set(KNOWS))
+    assert ids(_all_pairs(g).not_exists("a", hop)) == Counter(p for p in pairs if p not in knows)
+    assert ids(_all_pairs(g).exists_flag("a", hop, "f"), f=F.col("f")) == Counter((*p, p in knows) for p in pairs)
+    assert ids(_all_pairs(g).count_of("a", hop, "n"), n=F.col("n")) == Counter((*p, knows[p]) for p in pairs)
+    assert ids(_all_pairs(g).call("a", hop)) == knows
+    assert ids(_all_pairs(g).call("a", hop, n=(F.count("*"), F.lit(0))), n=F.col("n")) == Counter((*p, knows[p]) for p in pairs)
+    two = lambda x: x.out("a", "KNOWS", "m").out("m", "KNOWS", "b")
+    mids = Counter((a, b, m) for i, (a, m) in enumerate(KNOWS) for j, (n, b) in enumerate(KNOWS) if n == m and i != j)
+    assert ids(_all_pairs(g).optional("a", two), m=v("m.id")) == mids + Counter((*p, None) for p in pairs if not any(p == x[:2] for x in mids))
+    found = (F.array_sort(F.collect_list("m__id")), F.array().cast("array<bigint>"))
+    got = _all_pairs(g).aggregate("a", two, found=found).returns(a=v("a.id"), b=v("b.id"), n=F.col("found")).collect()
+    assert {(r.a, r.b): r.n for r in got} == {p: sorted(x[2] for x in mids.elements() if x[:2] == p) for p in pairs}
+
+
+def test_sub_patterns_over_outer_properties(g):
+    """Conditions on outer nodes, items of WITH and relationships; nulls among them; repeated outer rows."""
+    rows = start(g, "a", "Person").optional("a", lambda x: x.out("a", "LIVES_IN", "c"))
+    neighbour = lambda x: x.out("a", "KNOWS", "k").where(v("k.home") == v("c.id"))
+    want = {a: HOME[a] is not None and any(HOME[y] == HOME[a] for x, y in KNOWS if x == a) for a in HOME}
+    assert {r.a for r in rows.exists("a", neighbour).returns(a=v("a.id")).collect()} == {a for a, w in want.items() if w}
+    homeless = lambda x: x.out("a", "KNOWS", "k").where(v("c.id").isNull() | (v("k.home") != v("c.id")))
+    want = {a: sum(HOME[a] is None or HOME[y] != HOME[a] for x, y in KNOWS if x == a) for a in HOME}
+    assert {r.a: r.n for r in rows.count_of("a", homeless, "n").returns(a=v("a.id"), n=F.col("n")).collect()} == want
+    twice = start(g, "a", "Person").unwind(F.array(F.lit(1), F.lit(2), F.lit(2)), "x")
+    later = lambda p: p.out("a", "KNOWS", "b").where(v("b.id") >= F.col("x"))
+    got = Counter((r.a, r.x, r.n) for r in twice.count_of("a", later, "n").returns(a=v("a.id"), x=F.col("x"), n=F.col("n")).collect())
+    assert got == Counter((a, x, sum(p == a and q >= x for p, q in KNOWS)) for a in HOME for x in (1, 2, 2))
+    named = start(g, "a", "Person").out("a", "KNOWS", "b", rel="r")
+    parallel = named.count_of("a", lambda x: x.out("a", "KNOWS", "b", rel="s").where(v("s.eid") != v("r.eid")), "n")
+    assert Counter((r.a, r.b, r.n) for r in parallel.returns(a=v("a.id"), b=v("b.id"), n=F.col("n")).collect()) == Counter((*e, KNOWS.count(e) - 1) for e in KNOWS)
+    nested = start(g, "a", "Person").out("a", "KNOWS", "b").exists("b", lambda x: x.out("b", "KNOWS", "c").exists("c", lambda y: y.out("c", "KNOWS", "a")))
+    want = Counter((x, y) for x, y in KNOWS if any(p == y and (q, x) in KNOWS for p, q in KNOWS))
+    assert Counter(map(tuple, nested.returns(a=v("a.id"), b=v("b.id")).collect())) == want
+    filtered = start(g, "a", "Person").where(v("a.id") < 3).exists("a", lambda x: x.out("a", "KNOWS", "b").out("b", "KNOWS", "c").where(v("c.id") == 3))
+    assert {r.a for r in filtered.returns(a=v("a.id")).collect()} == {1, 2}
+    with pytest.raises(ValueError, match="again"):
+        named.optional("a", lambda x: x.out("a", "KNOWS", "z", rel="r"))
+    with pytest.raises(ValueError, match="bound already"):
+        named.part("b", "Person", on=F.lit(True))
+
+
+def test_optional_begins_another_match(g):
+    m = start(g, "a", "Person").out("a", "KNOWS", "b").optional("b", lambda x: x.out("b", "KNOWS", "c")).out("a", "KNOWS", "d")
+    want = Counter((x, y, z, w) for x, y in KNOWS for p, z in KNOWS if p == y for q, w in KNOWS if q == x)
+    assert Counter(map(tuple, m.returns(a=v("a.id"), b=v("b.id"), c=v("c.id"), d=v("d.id")).collect())) == want
+
+
+def test_hops_from_several_labels(g):
+    beings = start(g, "x", "Being")
+    assert Counter(r.c for r in beings.out("x", "LIVES_IN", "c").returns(c=v("c.id")).collect()) == Counter(c for c in HOME.values() if c)
+    found = beings.optional("x", lambda m: m.into("x", "OWNS", "p")).returns(label=v("x.label"), id=v("x.id"), p=v("p.id")).collect()
+    assert {(r.label, r.id, r.p) for r in found} == {*(("Person", i, None) for i in HOME), ("Dog", 7, 1), ("Dog", 7, 2)}
+    after = start(g, "a", "Person").any("a", "x").into("x", "OWNS", "o")
+    assert Counter((r.a, r.o) for r in after.returns(a=v("a.id"), o=v("o.id")).collect()) == Counter({(1, 2): 1, (2, 1): 1})
+    onward = start(g, "a", "Person").any("a", "x").clause().any("x", "y")
+    assert onward.df.count() == sum(len([1 for p, _ in KNOWS if p == b]) + bool(HOME[b]) + (b == 1) + (b in (1, 2)) for _, b in KNOWS)
+
+
+def test_equal_rows_of_an_edge_table(spark, tmp_path):
+    spark.createDataFrame([(1, 2), (1, 2), (2, 1)], "a long, b long").coalesce(1).write.parquet(str(tmp_path / "e"))
+    g = GraphCatalog().add_nodes("N", spark.createDataFrame([(1,), (2,)], "n long"), "n")
+    g.add_edges("ONE", lambda: spark.read.parquet(str(tmp_path / "e")), "N", "N", "a", "b")
+    g.add_edges("EACH", lambda: spark.read.parquet(str(tmp_path / "e")), "N", "N", "a", "b", by_place=True)
+    for type_, once, twice in (("ONE", 2, 0), ("EACH", 3, 2)):
+        m = start(g, "x", "N").out("x", type_, "y")
+        assert m.df.count() == once and m.out("x", type_, "z").df.count() == twice
+
+
 @pytest.mark.parametrize("least,most", [(1, 3), (2, 2)])
 def test_path_hop(g, least, most):
     def walks(trail, node):

@@ -10,6 +10,7 @@ import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,28 +54,100 @@ class Used:
         return self.eid() != other.eid()
 
 
+class Unbound(Exception):
+    """A sub-pattern mentions a variable of the rows around it that it has not imported yet."""
+
+    def __init__(self, name: str) -> None:
+        super().__init__(f"{name} is not bound here")
+        self.name = name
+
+
+def _variable(column: str) -> str:
+    """The variable of a column, or the column itself where it is an item of WITH."""
+    return column.partition("__")[0] if "__" in column.lstrip("_") else column
+
+
 class Match:
     """Rows of bound variables. Methods return a new Match; df is the bindings' DataFrame.
 
     The relationships of one MATCH differ from one another, over foreign keys and comma parts as well. clause(), with_(),
-    group() and optional() begin another MATCH, whose relationships may be those of an earlier one.
+    group(), call() and optional() begin another MATCH, whose relationships may be those of an earlier one.
+
+    Sub-patterns (exists, count_of, aggregate, optional, call) see the variables around them: a hop to or from one, or a
+    condition on its properties, holds for the outer row's. Such a pattern grows from the distinct values of the variables
+    that it mentions, and is joined back on all of their identities.
     """
 
-    def __init__(self, graph: GraphCatalog, df: DataFrame, labels: dict[str, str], used: tuple[Used, ...] = ()) -> None:
-        self.graph, self.df, self.labels, self.used = graph, df, labels, used
+    def __init__(self, graph: GraphCatalog, df: DataFrame | None, labels: dict[str, str], used: tuple[Used, ...] = (), outer: frozenset[str] = frozenset(), differ: bool = True, narrow: bool = False, within: DataFrame | None = None, types: dict[str, str] | None = None) -> None:
+        """types: of named relationships of one type. outer: variables that a sub-pattern could import. differ: no two rows are equal in all identities. narrow: a
+        condition has been set. A sub-pattern that has not begun has no df; within then has the ids that it is needed for."""
+        self.graph, self._df, self.labels, self.used = graph, df, labels, used
+        self.outer, self.differ, self.narrow, self.within, self.types = outer, differ, narrow, within, types or {}
 
-    def _with(self, df: DataFrame, labels: dict[str, str] | None = None, used: tuple[Used, ...] | None = None) -> Match:
-        return Match(self.graph, df, self.labels if labels is None else labels, self.used if used is None else used)
+    @property
+    def df(self) -> DataFrame:
+        if self._df is None:
+            raise Unbound(next(iter(self.labels)))
+        return self._df
+
+    def _with(self, df: DataFrame, labels: dict[str, str] | None = None, used: tuple[Used, ...] | None = None, differ: bool | None = None) -> Match:
+        return Match(self.graph, df, self.labels if labels is None else labels, self.used if used is None else used, self.outer, self.differ if differ is None else differ, True, self.within, self.types)
 
     def _using(self, df: DataFrame, labels: dict[str, str], new: Used) -> Match:
         """df with a further relationship, which is none of those before."""
         for other in self.used:
             if (condition := new.apart(other)) is not None:
                 df = df.where(condition)
-        return self._with(df, labels, (*self.used, new))
+        out = self._with(df, labels, (*self.used, new))
+        if new.kind == "edge" and len(new.types) == 1:
+            out.types = self.types | {_variable(new.column): next(iter(new.types))}
+        return out
+
+    def _bound(self, name: str) -> bool:
+        """Whether a variable has a value; a sub-pattern imports those that have one around it."""
+        if name not in self.labels and name in self.outer:
+            raise Unbound(name)
+        return name in self.labels
+
+    def _resolved(self, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """make(df), or Unbound for a column that can be imported."""
+        try:
+            return make(self.df)
+        except AnalysisException as e:
+            if (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                name = _variable((e.getMessageParameters() or {}).get("objectName", "").strip("`"))
+                if name in self.outer and name not in {_variable(c) for c in self.df.columns}:
+                    raise Unbound(name) from None
+            raise
+
+    def _at(self, var: str, labels: tuple[str, ...], what: str) -> Match:
+        """This, with only the rows whose var is a node of one of these labels' tables."""
+        if not self._bound(var):
+            raise KeyError(f"{var} is not bound")
+        own = self.labels[var]
+        if own in labels:
+            return self
+        met = [x for x in labels if x in self._tables(var)]
+        if own in self.graph.nodes or not met:
+            raise ValueError(f"{what} at {own}")
+        narrowed = self.where(F.col(f"{var}__label").isin(met))
+        return narrowed._with(narrowed.df, self.labels | {var: met[0]}) if len(met) == 1 else narrowed
+
+    def _tables(self, var: str) -> list[str]:
+        """The labels of the tables that var's nodes may be of."""
+        own = self.labels[var]
+        return own.split("|") if "|" in own or own in self.graph.nodes else [n.label for n in self.graph.tables_of(*own.split(":"))]
+
+    def _reduced(self) -> Match:
+        """A sub-pattern that goes on after its first hop, over the rows that a filtered outer pattern needs."""
+        if self.within is None or self._df is None:
+            return self
+        key = self.within.columns[0]
+        df = self.df.join(self.within.select(F.col(key).alias("__within")), F.col(key) == F.col("__within"), "left_semi")
+        return Match(self.graph, df, self.labels, self.used, self.outer, self.differ, True, types=self.types)
 
     def where(self, condition: Column) -> Match:
-        return self._with(self.df.where(condition))
+        return self._with(self._resolved(lambda df: df.where(condition)))
 
     def clause(self) -> Match:
         """The next MATCH over the same bindings."""
@@ -92,10 +165,13 @@ class Match:
         """(from_)-[rel:type_]-(to) for a type between nodes of one label; a self-loop matches once."""
         e = self.graph.edge(type_)
         if e.source != e.target:
-            return self.out(from_, type_, to, rel) if self.labels[from_] == e.source else self.into(from_, type_, to, rel)
+            met = [x for x in (e.source, e.target) if self._bound(from_) and x in self._tables(from_)]
+            if len(met) == 2:
+                raise ValueError(f"{type_} both starts and ends at {self.labels[from_]}: match each label of its own")
+            return self.out(from_, type_, to, rel) if met == [e.source] else self.into(from_, type_, to, rel)
         rows = self.graph.edge_rows(type_)
         swapped = rows.where("src != dst").withColumns({"src": F.col("dst"), "dst": F.col("src")})
-        return self._join(from_, e.target, to, rel, (type_,), rows.unionByName(swapped), F.col("src"), F.col("dst"))
+        return self._at(from_, (e.source,), f"{type_} does not start")._join(from_, e.target, to, rel, (type_,), rows.unionByName(swapped), F.col("src"), F.col("dst"))
 
     def any(self, from_: str, to: str, types: list[str] | None = None, rel: str | None = None, forward: bool = True) -> Match:
         """(from_)-[rel:A|B]->(to), without types any that starts (or, backward, ends) at from_'s label.
@@ -103,20 +179,26 @@ class Match:
         rel has its type and no properties. Where the types end at one label, (to) has its properties, else the columns
         id and label alone.
         """
-        here = self.labels[from_]
         near, far = ("source", "target") if forward else ("target", "source")
-        wanted = [t for t in (sorted(self.graph.edges) if types is None else types) if getattr(self.graph.edge(t), near) == here]
+        if not self._bound(from_):
+            raise KeyError(f"{from_} is not bound")
+        here = self._tables(from_)
+        wanted = [t for t in (sorted(self.graph.edges) if types is None else types) if getattr(self.graph.edge(t), near) in here]
         if not wanted:
-            raise ValueError(f"none of the types {'starts' if forward else 'ends'} at {here}")
+            raise ValueError(f"none of the types {'starts' if forward else 'ends'} at {self.labels[from_]}")
         name = rel or f"_r{next(_unnamed)}"
         rows, ends = relationships(self.graph, wanted), {getattr(self.graph.edge(t), far) for t in wanted}
-        if len(ends) == 1:
-            return self._join(from_, ends.pop(), to, name, tuple(wanted), rows, F.col("src" if forward else "dst"), F.col("dst" if forward else "src"), ("type",))
-        if to in self.labels:
-            raise ValueError("types that end at several labels cannot close a cycle")
-        end = F.create_map(*[F.lit(x) for t in wanted for x in (t, getattr(self.graph.edge(t), far))])
-        edge = rows.select(F.col("src" if forward else "dst").alias(f"{name}__near"), F.col("dst" if forward else "src").alias(f"{to}__id"), end[F.col("type")].alias(f"{to}__label"), F.col("type").alias(f"{name}__type"), F.col("eid").alias(f"{name}__eid"))
-        df = self.df.join(edge, F.col(f"{from_}__id") == F.col(f"{name}__near")).drop(f"{name}__near")
+        at, to_end = (F.col("src"), F.col("dst")) if forward else (F.col("dst"), F.col("src"))
+        if len(ends) == 1 and len(here) == 1:
+            return self._join(from_, ends.pop(), to, name, tuple(wanted), rows, at, to_end, ("type",))
+        if self._bound(to):
+            raise ValueError("types that start or end at several labels cannot close a cycle")
+        label_of = lambda side: F.create_map(*[F.lit(x) for t in wanted for x in (t, getattr(self.graph.edge(t), side))])[F.col("type")]
+        edge = rows.select(at.alias(f"{name}__near"), label_of(near).alias(f"{name}__nearlabel"), to_end.alias(f"{to}__id"), label_of(far).alias(f"{to}__label"), F.col("type").alias(f"{name}__type"), F.col("eid").alias(f"{name}__eid"))
+        met = F.col(f"{from_}__id") == F.col(f"{name}__near")
+        if len(here) > 1:
+            met &= F.col(f"{from_}__label") == F.col(f"{name}__nearlabel")
+        df = self._reduced().df.join(edge, met).drop(f"{name}__near", f"{name}__nearlabel")
         return self._using(df, self.labels | {to: "|".join(sorted(ends))}, Used(frozenset(wanted), f"{name}__eid"))
 
     def path(self, from_: str, type_: str, to: str, least: int, most: int, name: str, forward: bool = True) -> Match:
@@ -126,14 +208,16 @@ class Match:
         have them; the joins are unrolled, so most should be small.
         """
         e = self.graph.edge(type_)
-        if not self.labels[from_] == e.source == e.target:
-            raise ValueError(f"{type_} does not lead from {self.labels[from_]} to itself")
+        if e.source != e.target:
+            raise ValueError(f"{type_} does not lead from {e.source} to itself")
+        if (at := self._at(from_, (e.source,), f"{type_} does not start")) is not self:
+            return at.path(from_, type_, to, least, most, name, forward)
         rows = self.graph.edge_rows(type_).select("src", "dst", "eid")
         rows = rows if forward else rows.withColumns({"src": F.col("dst"), "dst": F.col("src")})
         walks = var_length(rows, self.df.select(F.col(f"{from_}__id").alias("id")).distinct(), least, most)
         walks = walks.select(F.col("start").alias(f"{name}__start"), F.col("end").alias(f"{name}__end"), F.col("hops").alias(f"{name}__length"), F.col("trail").alias(f"{name}__eids"), F.col("nodes").alias(f"{name}__nodes"))
         df = self.df.join(walks, F.col(f"{from_}__id") == F.col(f"{name}__start"))
-        if to in self.labels:
+        if self._bound(to):
             df = df.where(F.col(f"{to}__id") == F.col(f"{name}__end"))
         else:
             df = df.join(_nodes(self.graph, e.target, to), F.col(f"{name}__end") == F.col(f"{to}__id"))
@@ -142,27 +226,35 @@ class Match:
     def _hop(self, from_: str, type_: str, to: str, rel: str | None, forward: bool) -> Match:
         e = self.graph.edge(type_)
         start, end = (e.source, e.target) if forward else (e.target, e.source)
-        if self.labels[from_] != start:
-            raise ValueError(f"{type_} does not {'start' if forward else 'end'} at {self.labels[from_]}")
-        if e.on and to not in self.labels and not rel:
-            return self._by_key(e, from_, to, end, key_is_here=(e.on == "source") == forward)
+        m = self._at(from_, (start,), f"{type_} does not {'start' if forward else 'end'}")._reduced()
+        if e.on and not self._bound(to) and not rel:
+            here = (e.on == "source") == forward
+            if not here or m._df is None or f"{from_}__{e.dst if e.on == 'source' else e.src}" in m.df.columns:
+                return m._by_key(e, from_, to, end, key_is_here=here)
         rows = self.graph.edge_rows(type_)
-        return self._join(from_, end, to, rel, (type_,), rows, F.col("src" if forward else "dst"), F.col("dst" if forward else "src"))
+        return m._join(from_, end, to, rel, (type_,), rows, F.col("src" if forward else "dst"), F.col("dst" if forward else "src"))
 
     def _by_key(self, e: EdgeTable, from_: str, to: str, end: str, key_is_here: bool) -> Match:
         """A foreign key: the far node's table joins without an edge table. The row that holds the key is the relationship."""
         far = _nodes(self.graph, end, to)
-        here = F.col(f"{from_}__{e.dst if e.on == 'source' else e.src}") if key_is_here else F.col(f"{from_}__id")
-        there = F.col(f"{to}__id") if key_is_here else F.col(f"{to}__{e.dst if e.on == 'source' else e.src}")
-        return self._using(self.df.join(far, here == there), self.labels | {to: end}, Used(frozenset([e.type]), f"{from_ if key_is_here else to}__id", "key"))
+        key = e.dst if e.on == "source" else e.src
+        used = Used(frozenset([e.type]), f"{from_ if key_is_here else to}__id", "key")
+        if self._df is None and not key_is_here:
+            # A sub-pattern begins with the rows that hold the key; the outer rows are joined to them at its end.
+            df = far.withColumn(f"{from_}__id", F.col(f"{to}__{key}").cast("long")).where(F.col(f"{from_}__id").isNotNull())
+            return self._using(df, self.labels | {to: end}, used)
+        here = F.col(f"{from_}__{key}") if key_is_here else F.col(f"{from_}__id")
+        there = F.col(f"{to}__id") if key_is_here else F.col(f"{to}__{key}")
+        return self._using(self.df.join(far, here == there), self.labels | {to: end}, used)
 
     def _join(self, from_: str, end: str, to: str, rel: str | None, types: tuple[str, ...], rows: DataFrame, near: Column, far: Column, more: tuple[str, ...] = ()) -> Match:
         name = rel or f"_r{next(_unnamed)}"
         own = more or tuple(self.graph.edge(types[0]).properties)
         named = [F.col("src").alias(f"{name}__src"), F.col("dst").alias(f"{name}__dst")] if rel else []
-        edge = rows.select(near.alias(f"{name}__near"), far.alias(f"{name}__far"), F.col("eid").alias(f"{name}__eid"), *named, *[F.col(p).alias(f"{name}__{p}") for p in own])
-        df = self.df.join(edge, F.col(f"{from_}__id") == F.col(f"{name}__near"))
-        if to in self.labels:
+        begun = self._df is not None
+        edge = rows.select(near.alias(f"{name}__near" if begun else f"{from_}__id"), far.alias(f"{name}__far"), F.col("eid").alias(f"{name}__eid"), *named, *[F.col(p).alias(f"{name}__{p}") for p in own])
+        df = self._reduced().df.join(edge, F.col(f"{from_}__id") == F.col(f"{name}__near")) if begun else edge
+        if self._bound(to):
             df = df.where(F.col(f"{to}__id") == F.col(f"{name}__far"))
         else:
             df = df.join(_nodes(self.graph, end, to), F.col(f"{name}__far") == F.col(f"{to}__id"))
@@ -172,8 +264,10 @@ class Match:
         """A further pattern part; without a condition it is a Cartesian product, so say so by on=F.lit(True)."""
         if on is None:
             raise ValueError("a part that shares no variable needs a condition; F.lit(True) allows the product")
+        if self._bound(var):
+            raise ValueError(f"{var} is bound already")
         far = _nodes(self.graph, label, var)
-        return self._with(self.df.join(far, on), self.labels | {var: label})
+        return self._with(self._resolved(lambda df: df.join(far, on)), self.labels | {var: label})
 
     def also(self, other: Match) -> Match:
         """Another pattern of the same clause that shares variables: an equi-join on their ids. Its relationships are others."""
@@ -187,19 +281,21 @@ class Match:
         for new in other.used:
             checked = self._using(made.df, made.labels, new)
             made = made._with(checked.df)
-        return made._with(made.df, used=self.used + other.used)
+        out = made._with(made.df, used=self.used + other.used, differ=self.differ and other.differ)
+        out.types = self.types | other.types
+        return out
 
     def with_(self, *variables: str, distinct: bool = False, **items: Column) -> Match:
         """WITH: the variables, whole, and items under their names; the rest is out of scope."""
         kept = [c for c in self.df.columns if c.split("__")[0] in variables and "__" in c or c in variables]
-        df = self.df.select(*kept, *[x.alias(n) for n, x in items.items()])
-        return self._with(df.distinct() if distinct else df, {k: x for k, x in self.labels.items() if k in variables}, ())
+        df = self._resolved(lambda df: df.select(*kept, *[x.alias(n) for n, x in items.items()]))
+        return self._with(df.distinct() if distinct else df, {k: x for k, x in self.labels.items() if k in variables}, (), differ=distinct)
 
     def group(self, *variables: str, **aggs: Column) -> Match:
         """WITH variables and aggregates, grouped by the variables."""
         kept = [c for c in self.df.columns if c.split("__")[0] in variables and "__" in c or c in variables]
-        df = self.df.groupBy(*kept).agg(*[a.alias(n) for n, a in aggs.items()])
-        return self._with(df, {k: x for k, x in self.labels.items() if k in variables}, ())
+        df = self._resolved(lambda df: df.groupBy(*kept).agg(*[a.alias(n) for n, a in aggs.items()]))
+        return self._with(df, {k: x for k, x in self.labels.items() if k in variables}, (), differ=True)
 
     def order_by(self, *order: Column) -> Match:
         """ORDER BY, for a skip() or limit() that follows; see nulls_last and nulls_first."""
@@ -211,20 +307,76 @@ class Match:
     def limit(self, n: int) -> Match:
         return self._with(self.df.limit(n))
 
-    def call(self, from_: str, build: Callable[[Match], Match], order: list[Column] | None = None, limit: int | None = None) -> Match:
-        """CALL { WITH from_ ... RETURN ... ORDER BY order LIMIT limit }: rows of the sub-query for each (from_), none without
-        any. Rows of one (from_) are ranked; Spark keeps limit of them in each task before the shuffle."""
-        inner = build(start(self.graph, from_, self.labels[from_]))
-        df = inner.df
+    def _identities(self, names: list[str]) -> list[str]:
+        """The columns that tell the values of variables apart; an item of WITH is one itself."""
+        own = {c for c in self.df.columns if _variable(c) in names}
+        marks = ("__id", "__eid", "__eids", "__label")
+        return sorted(c for c in own if c in names or c.endswith(marks) and _variable(c) + c[c.rindex("__") :] == c)
+
+    def _sub(self, from_: str, build: Callable[[Match], Match], once: bool) -> tuple[DataFrame, list[str], Match]:
+        """A sub-pattern's rows, the columns of self that they belong to, and the pattern. It imports what it mentions.
+
+        once: an outer value counts once, however many rows have it (not needed where only existence is asked for).
+        """
+        imported: list[str] = []
+        while True:
+            seed, keys = self._seed(from_, imported, once)
+            try:
+                inner = build(seed)
+                return inner.df, keys, inner
+            except Unbound as e:
+                if e.name in imported or e.name != from_ and e.name not in {_variable(c) for c in self.df.columns}:
+                    raise
+                imported.append(e.name)
+
+    def _seed(self, from_: str, imported: list[str], once: bool) -> tuple[Match, list[str]]:
+        if not self._bound(from_):
+            raise KeyError(f"{from_} is not bound")
+        around = self.outer | ({_variable(c) for c in self.df.columns} if self._df is not None else set())
+        if not imported and self.labels[from_] in self.graph.nodes:
+            # Begun by its first hop. The ids of a filtered start are worth a semi-join before a second one.
+            within = self.df.select(f"{from_}__id") if self._df is not None and self.narrow and not self.used else None
+            return Match(self.graph, None, {from_: self.labels[from_]}, outer=frozenset(around - {from_}), within=within), [f"{from_}__id"]
+        names = [from_, *[x for x in imported if x != from_]]
+        keys = self._identities(names)
+        df = self.df.select(*[c for c in self.df.columns if _variable(c) in names])
+        if once and not (self.differ and set(keys) >= set(self._identities([_variable(c) for c in self.df.columns]))):
+            df = df.dropDuplicates(keys)
+        return Match(self.graph, df, {k: x for k, x in self.labels.items() if k in names}, outer=frozenset(around - set(names)), narrow=True), keys
+
+    def _joined(self, rows: DataFrame, keys: list[str], how: str, from_: str) -> DataFrame:
+        """self.df joined on keys with rows, which have them under other names."""
+        renamed = {k: f"__key{i}" for i, k in enumerate(keys)}
+        right = rows.select(*[F.col(c).alias(renamed.get(c, c)) for c in rows.columns])
+        on = F.lit(True)
+        for k, r in renamed.items():
+            on &= F.col(k) == F.col(r) if _variable(k) == from_ else F.col(k).eqNullSafe(F.col(r))
+        out = self.df.join(right, on, how)
+        return out if how in ("left_semi", "left_anti") else out.drop(*renamed.values())
+
+    def _widened(self, from_: str, rows: DataFrame, keys: list[str], inner: Match, how: str) -> Match:
+        """self with the columns that a sub-pattern has added, as another clause."""
+        known = {_variable(k) for k in keys}
+        new = [c for c in rows.columns if _variable(c) not in known]
+        if clash := sorted(set(new) & set(self.df.columns)):
+            raise ValueError(f"the sub-pattern binds {clash} again")
+        df = self._joined(rows.select(*keys, *new), keys, how, from_)
+        out = self._with(df, self.labels | {k: x for k, x in inner.labels.items() if k not in known}, (), differ=self.differ and inner.differ)
+        out.types = inner.types | self.types
+        return out
+
+    def call(self, from_: str, build: Callable[[Match], Match], order: list[Column] | None = None, limit: int | None = None, **aggs: tuple[Column, Column]) -> Match:
+        """CALL { WITH from_, ... RETURN ... ORDER BY order LIMIT limit }: rows of the sub-query for each outer row, none
+        without any. Rows are ranked for each value of what it imports; Spark keeps limit of them in each task before the
+        shuffle. With aggregates, as in aggregate(), the sub-query has one row whatever it matches."""
+        if aggs:
+            return self.aggregate(from_, build, **aggs)
+        df, keys, inner = self._sub(from_, build, once=True)
         if limit is not None:
             if not order:
                 raise ValueError("a limit needs an order")
-            rank = F.row_number().over(Window.partitionBy(f"{from_}__id").orderBy(*order))
-            df = df.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
-        new = [c for c in df.columns if not c.startswith(f"{from_}__")]
-        right = df.select(F.col(f"{from_}__id").alias("__anchor"), *new)
-        joined = self.df.join(right, F.col(f"{from_}__id") == F.col("__anchor")).drop("__anchor")
-        return self._with(joined, self.labels | {k: x for k, x in inner.labels.items() if k != from_})
+            df = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rank") <= limit).drop("__rank")
+        return self._widened(from_, df, keys, inner, "inner")
 
     def labels_of(self, var: str) -> Column:
         """labels(var): the table's label and its further ones."""
@@ -235,7 +387,7 @@ class Match:
         """type(rel) of a named relationship."""
         if f"{rel}__type" in self.df.columns:
             return F.col(f"{rel}__type")
-        return F.lit(next(iter(next(u.types for u in self.used if u.column == f"{rel}__eid"))))
+        return F.lit(self.types[rel])
 
     def _properties(self, var: str) -> list[str]:
         inner = {"id", "eid", "src", "dst"}
@@ -250,43 +402,40 @@ class Match:
         return F.struct(*[F.col(f"{var}__{p}").alias(p) for p in self._properties(var)])
 
     def optional(self, from_: str, build: Callable[[Match], Match]) -> Match:
-        """OPTIONAL MATCH: what build adds to (from_), or nulls. Its filters belong inside build."""
-        inner = build(start(self.graph, from_, self.labels[from_]))
-        new = [c for c in inner.df.columns if not c.startswith(f"{from_}__")]
-        right = inner.df.select(F.col(f"{from_}__id").alias("__anchor"), *new)
-        df = self.df.join(right, F.col(f"{from_}__id") == F.col("__anchor"), "left").drop("__anchor")
-        return self._with(df, self.labels | {k: x for k, x in inner.labels.items() if k != from_})
+        """OPTIONAL MATCH: what build adds to the row, or nulls. Its filters belong inside build; what follows is another MATCH."""
+        df, keys, inner = self._sub(from_, build, once=True)
+        return self._widened(from_, df, keys, inner, "left")
 
-    def _keys(self, from_: str, build: Callable[[Match], Match]) -> DataFrame:
-        return build(start(self.graph, from_, self.labels[from_])).df
+    def _matched(self, from_: str, build: Callable[[Match], Match], how: str) -> Match:
+        df, keys, _ = self._sub(from_, build, once=False)
+        return self._with(self._joined(df.select(*keys), keys, how, from_))
 
     def exists(self, from_: str, build: Callable[[Match], Match]) -> Match:
         """WHERE EXISTS { (from_)… }: a semi-join."""
-        keys = self._keys(from_, build).select(F.col(f"{from_}__id").alias("__anchor"))
-        return self._with(self.df.join(keys, F.col(f"{from_}__id") == F.col("__anchor"), "left_semi"))
+        return self._matched(from_, build, "left_semi")
 
     def not_exists(self, from_: str, build: Callable[[Match], Match]) -> Match:
-        keys = self._keys(from_, build).select(F.col(f"{from_}__id").alias("__anchor"))
-        return self._with(self.df.join(keys, F.col(f"{from_}__id") == F.col("__anchor"), "left_anti"))
+        return self._matched(from_, build, "left_anti")
 
     def exists_flag(self, from_: str, build: Callable[[Match], Match], name: str) -> Match:
         """EXISTS as a boolean column, for use inside OR and projections."""
-        keys = self._keys(from_, build).select(F.col(f"{from_}__id").alias("__anchor")).distinct().withColumn(name, F.lit(True))
-        df = self.df.join(keys, F.col(f"{from_}__id") == F.col("__anchor"), "left").drop("__anchor")
-        return self._with(df.withColumn(name, F.coalesce(name, F.lit(False))))
+        df, keys, _ = self._sub(from_, build, once=False)
+        out = self._joined(df.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left", from_)
+        return self._with(out.withColumn(name, F.coalesce(name, F.lit(False))))
 
     def aggregate(self, from_: str, build: Callable[[Match], Match], **aggs: tuple[Column, Column]) -> Match:
-        """COUNT { } and COLLECT { }: name=(aggregate, value without a match), grouped by (from_) before the join."""
-        keys = self._keys(from_, build).groupBy(F.col(f"{from_}__id").alias("__anchor")).agg(*[a.alias(n) for n, (a, _) in aggs.items()])
-        df = self.df.join(keys, F.col(f"{from_}__id") == F.col("__anchor"), "left").drop("__anchor")
-        return self._with(df.withColumns({n: F.coalesce(F.col(n), none) for n, (_, none) in aggs.items()}))
+        """COUNT { }, COLLECT { } and pattern comprehensions: name=(aggregate, value without a match), grouped by what the
+        sub-pattern imports before the join."""
+        df, keys, _ = self._sub(from_, build, once=True)
+        out = self._joined(df.groupBy(*keys).agg(*[a.alias(n) for n, (a, _) in aggs.items()]), keys, "left", from_)
+        return self._with(out.withColumns({n: F.coalesce(F.col(n), none) for n, (_, none) in aggs.items()}))
 
     def count_of(self, from_: str, build: Callable[[Match], Match], name: str) -> Match:
         return self.aggregate(from_, build, **{name: (F.count(F.lit(1)), F.lit(0).cast("long"))})
 
     def unwind(self, values: Column, name: str) -> Match:
         """One row per element; null and empty lists give none."""
-        return self._with(self.df.withColumn(name, F.explode(values)))
+        return self._with(self._resolved(lambda df: df.withColumn(name, F.explode(values))), differ=False)
 
     def returns(self, distinct: bool = False, **items: Column) -> DataFrame:
         """RETURN without aggregates, under the names given."""

@@ -632,3 +632,63 @@ def schema_moved_ends(spark, d):
     new = g.to_dict()
     new["relationships"]["CUSTOMER_OF"][1] = "Region"
     return schema.moved_ends(schema.described_from(spark, g.to_json()), schema.described_from(spark, new))
+
+
+#: Customers and suppliers of one nation, and the orders of the one that the other delivers.
+_TRADE = """pairs AS (SELECT n_name AS nation, c_custkey AS c, c_acctbal AS bal, s_suppkey AS s FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey),
+lines AS (SELECT o_custkey AS c, l_suppkey AS s, o_orderkey AS o, o_totalprice AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+
+
+def _compatriot_traders(spark, d):
+    return start(star_graph(spark, d), "n", "Nation").into("n", "CUSTOMER_OF", "c").into("n", "SUPPLIER_OF", "s")
+
+
+def _bought(x):
+    """(c)-[:PLACED]->(o)-[:SUPPLIED_BY]->(s), for a customer and a supplier that are bound outside."""
+    return x.out("c", "PLACED", "o").out("o", "SUPPLIED_BY", "s")
+
+
+@query(f"WITH {_TRADE} SELECT nation, count(*) AS n FROM pairs WHERE EXISTS (SELECT 1 FROM lines WHERE lines.c = pairs.c AND lines.s = pairs.s) GROUP BY 1")
+def exists_two_bound(spark, d):
+    return _compatriot_traders(spark, d).exists("c", _bought).returns_grouped({"nation": v("n.n_name")}, n=A.count())
+
+
+@query(f"WITH {_TRADE} SELECT nation, count(*) AS n FROM pairs WHERE NOT EXISTS (SELECT 1 FROM lines WHERE lines.c = pairs.c AND lines.s = pairs.s AND price > 20 * bal) GROUP BY 1")
+def not_exists_outer_property(spark, d):
+    dear = lambda x: _bought(x).where(v("o.o_totalprice") > 20 * v("c.c_acctbal"))
+    return _compatriot_traders(spark, d).not_exists("c", dear).returns_grouped({"nation": v("n.n_name")}, n=A.count())
+
+
+@query(f"WITH {_TRADE} SELECT nation, count(*) AS n, count(o) AS orders FROM pairs LEFT JOIN lines ON lines.c = pairs.c AND lines.s = pairs.s GROUP BY 1")
+def optional_two_bound(spark, d):
+    return _compatriot_traders(spark, d).optional("c", _bought).returns_grouped({"nation": v("n.n_name")}, n=A.count(), orders=A.count(v("o.id")))
+
+
+@query(f"WITH {_TRADE}, k AS (SELECT nation, (SELECT count(*) FROM lines WHERE lines.c = pairs.c AND lines.s = pairs.s) AS k FROM pairs) SELECT nation, k, count(*) AS n FROM k GROUP BY 1, 2")
+def count_two_bound(spark, d):
+    return _compatriot_traders(spark, d).count_of("c", _bought, "k").returns_grouped({"nation": v("n.n_name"), "k": F.col("k")}, n=A.count())
+
+
+@query(f"WITH {_TRADE} SELECT pairs.c AS c, pairs.s AS s, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS orders FROM pairs JOIN lines ON lines.c = pairs.c AND lines.s = pairs.s GROUP BY 1, 2")
+def collect_two_bound(spark, d):
+    m = _compatriot_traders(spark, d).aggregate("c", _bought, found=(A.collect(v("o.id")), F.array().cast("array<bigint>")))
+    return m.where(F.size("found") > 0).returns(c=v("c.id"), s=v("s.id"), orders=F.array_join(F.array_sort("found"), ","))
+
+
+@query(f"WITH {_TRADE} SELECT pairs.c AS c, pairs.s AS s, string_agg(CAST(floor(price) AS BIGINT), ';' ORDER BY floor(price)) AS prices FROM pairs JOIN lines ON lines.c = pairs.c AND lines.s = pairs.s WHERE price > 200000 GROUP BY 1, 2")
+def comprehension_two_bound(spark, d):
+    dear = lambda x: _bought(x).where(v("o.o_totalprice") > 200000)
+    m = _compatriot_traders(spark, d).aggregate("c", dear, prices=(A.collect(F.floor(v("o.o_totalprice"))), F.array().cast("array<bigint>")))
+    return m.where(F.size("prices") > 0).returns(c=v("c.id"), s=v("s.id"), prices=F.array_join(F.array_sort("prices"), ";"))
+
+
+@query(f"WITH {_TRADE} SELECT c, s, o FROM (SELECT pairs.c, pairs.s, o, row_number() OVER (PARTITION BY pairs.c, pairs.s ORDER BY price DESC, o) AS r FROM pairs JOIN lines ON lines.c = pairs.c AND lines.s = pairs.s) WHERE r <= 1")
+def call_two_bound(spark, d):
+    m = _compatriot_traders(spark, d).call("c", _bought, [F.desc("o__o_totalprice"), F.col("o__id")], 1)
+    return m.returns(c=v("c.id"), s=v("s.id"), o=v("o.id"))
+
+
+@query("SELECT n_name AS nation, label, count(*) AS n FROM (SELECT c_nationkey AS k, 'Customer' AS label FROM customer UNION ALL SELECT s_nationkey, 'Supplier' FROM supplier) JOIN nation ON n_nationkey = k WHERE label = 'Customer' GROUP BY 1, 2")
+def joint_label_hop(spark, d):
+    m = start(star_graph(spark, d), "x", "Party").out("x", "CUSTOMER_OF", "n")
+    return m.returns_grouped({"nation": v("n.n_name"), "label": v("x.label")}, n=A.count())

@@ -37,8 +37,9 @@ class NodeTable:
 @dataclass(frozen=True)
 class EdgeTable:
     """on: None for a table of its own; "source" or "target" if src and dst are columns of that end's table (a foreign
-    key), so that a hop to or from that end needs no edge table. key: the columns that tell relationships apart (all
-    columns if none are named, so that equal rows are one; a foreign key's row is told apart by its node's key)."""
+    key), so that a hop to or from that end needs no edge table. key: the columns that tell relationships apart (a foreign
+    key's row is told apart by its node's key); by_place: rows of Parquet files are told apart by their place in them.
+    With neither, all columns tell them apart, and equal rows are one relationship."""
 
     type: str
     table: Table
@@ -48,6 +49,7 @@ class EdgeTable:
     dst: str
     on: str | None = None
     key: tuple[str, ...] = ()
+    by_place: bool = False
 
     @property
     def identity(self) -> list[str]:
@@ -72,11 +74,12 @@ class GraphCatalog:
         self.nodes[label] = NodeTable(label, df, key, labels)
         return self
 
-    def add_edges(self, type_: str, df: Table, source: str, target: str, src: str, dst: str, key: tuple[str, ...] = ()) -> GraphCatalog:
-        """key: columns that tell relationships apart; without it all columns are read for that where it matters."""
+    def add_edges(self, type_: str, df: Table, source: str, target: str, src: str, dst: str, key: tuple[str, ...] = (), by_place: bool = False) -> GraphCatalog:
+        """key: columns that tell relationships apart. by_place: each row of a table of Parquet files is a relationship,
+        equal or not. With neither, equal rows are one, which takes a shuffle at each use."""
         for end in (source, target):
             self.node(end)
-        self.edges[type_] = EdgeTable(type_, df, source, target, src, dst, key=tuple(key))
+        self.edges[type_] = EdgeTable(type_, df, source, target, src, dst, key=tuple(key), by_place=by_place)
         return self
 
     def add_foreign_key(self, type_: str, source: str, target: str, column: str, on: str) -> GraphCatalog:
@@ -99,9 +102,13 @@ class GraphCatalog:
     def edge_rows(self, type_: str) -> DataFrame:
         """(src, dst, eid) and the properties of a type; rows without either end are no relationship."""
         e = self.edge(type_)
+        df = e.df if e.on or e.key or e.by_place else e.df.distinct()
         own = [F.col(c).cast("long") if e.on else F.col(c) for c in e.identity]
+        if e.by_place:
+            place = df.metadataColumn("_metadata")
+            own = [place["file_path"], place["row_index"]]
         columns = [F.col(e.src).cast("long").alias("src"), F.col(e.dst).cast("long").alias("dst"), F.xxhash64(F.lit(type_), *own).alias("eid")]
-        return e.df.select(*columns, *e.properties).where("src IS NOT NULL AND dst IS NOT NULL")
+        return df.select(*columns, *e.properties).where("src IS NOT NULL AND dst IS NOT NULL")
 
     def tables_of(self, *labels: str) -> list[NodeTable]:
         """The tables whose rows have all of these labels, their own or further ones."""

@@ -35,8 +35,8 @@ def star_graph(spark: SparkSession, folder: str) -> GraphCatalog:
     g.add_foreign_key("SUPPLIER_OF", "Supplier", "Nation", "s_nationkey", on="source")
     g.add_foreign_key("PLACED", "Customer", "Order", "o_custkey", on="target")
     g.add_foreign_key("DID", "User", "Event", "user_id", on="target")
-    g.add_edges("CONTAINS", t("lineitem"), "Order", "Part", "l_orderkey", "l_partkey")
-    g.add_edges("SUPPLIED_BY", t("lineitem"), "Order", "Supplier", "l_orderkey", "l_suppkey")
+    g.add_edges("CONTAINS", t("lineitem"), "Order", "Part", "l_orderkey", "l_partkey", by_place=True)
+    g.add_edges("SUPPLIED_BY", t("lineitem"), "Order", "Supplier", "l_orderkey", "l_suppkey", by_place=True)
     g.add_edges("SUPPLIES", lambda: t("lineitem")().select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part", "l_suppkey", "l_partkey", key=("l_suppkey", "l_partkey"))
 
     def following() -> DataFrame:
