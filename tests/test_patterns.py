@@ -1,6 +1,7 @@
 """Relationship uniqueness, paths, clauses and labels of patterns on a small graph, held against loops."""
 
 import importlib.util
+import random
 import shutil
 import subprocess
 import sys
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import scalar as S
 from weftgraph.operators import paths, vector
+from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import start, v
 from weftgraph.plans.lineage import materialized, remove_table
 from weftgraph.sources.catalog import GraphCatalog
@@ -206,3 +208,39 @@ def test_rest_works_without_the_text_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and 'pipeline' not in q and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=True, timeout=60)
     assert importlib.util.find_spec("weftgraph.operators") is not None
+
+
+def _random_graph(spark, seed):
+    rnd = random.Random(seed)
+    g = GraphCatalog()
+    g.add_nodes("A", spark.createDataFrame([(i, i % 3) for i in range(6)], "a long, x long"), "a")
+    g.add_nodes("B", spark.createDataFrame([(i, i % 2) for i in range(5)], "b long, y long"), "b")
+    for type_, n in (("T", 22), ("U", 9)):
+        rows = [(i, rnd.randrange(7), rnd.randrange(6), rnd.randrange(4)) for i in range(n)]
+        g.add_edges(type_, spark.createDataFrame(rows, "k long, p long, q long, w long"), "A", "B", "p", "q", key=("k",))
+    return g
+
+
+def test_counted_patterns(spark):
+    """Counts without pairs equal those of hops: siblings, three alike, conditions, and there and back."""
+    g = _random_graph(spark, 4)
+    heavy = v("rel.w") > 1
+    cases = [
+        ([Hop("T", "p"), Hop("T", "q")], lambda m: m.out("a", "T", "p").out("a", "T", "q")),
+        ([Hop("T", "p", where=heavy), Hop("T", "q"), Hop("T", "r")], lambda m: m.out("a", "T", "p", rel="rel").where(heavy).out("a", "T", "q").out("a", "T", "r")),
+        ([Hop("T", "p", where=heavy), Hop("T", "q", where=v("q.y") == 1), Hop("U", "u")], lambda m: m.out("a", "T", "p", rel="rel").where(heavy).out("a", "T", "q").where(v("q.y") == 1).out("a", "U", "u")),
+        ([Hop("T", "p", then=(Hop("T", "b", forward=False),))], lambda m: m.out("a", "T", "p").into("p", "T", "b")),
+        ([Hop("T", "p", then=(Hop("T", "b", forward=False, where=v("b.x") > 0), Hop("T", "c", forward=False)))], lambda m: m.out("a", "T", "p").into("p", "T", "b").where(v("b.x") > 0).into("p", "T", "c")),
+        ([Hop("T", "p", then=(Hop("U", "b", forward=False),)), Hop("T", "q")], lambda m: m.out("a", "T", "p").into("p", "U", "b").out("a", "T", "q")),
+    ]
+    for hops, walk in cases:
+        want = Counter({r.id: r.n for r in walk(start(g, "a", "A")).returns_grouped({"id": v("a.id")}, n=F.count("*")).collect()})
+        got = times(start(g, "a", "A"), "a", hops, "n")
+        assert Counter({r.id: r.n for r in got.returns(id=v("a.id"), n=F.col("n")).collect()}) == want and want
+    for hops in ([Hop("T", "p", then=(Hop("U", "b", forward=False, then=(Hop("T", "c"),)),))], [Hop("U", "u", then=(Hop("T", "z", forward=False),)), Hop("T", "q")]):
+        with pytest.raises(ValueError, match="twice"):
+            times(start(g, "a", "A"), "a", hops, "n")
+    with pytest.raises(ValueError, match="already"):
+        times(start(g, "a", "A").out("a", "T", "p"), "a", [Hop("T", "q")], "n")
+    with pytest.raises(ValueError, match="does not start"):
+        times(start(g, "b", "B"), "b", [Hop("T", "q")], "n")

@@ -220,7 +220,7 @@ class Match:
         if self._bound(to):
             df = df.where(F.col(f"{to}__id") == F.col(f"{name}__end"))
         else:
-            df = df.join(_nodes(self.graph, e.target, to), F.col(f"{name}__end") == F.col(f"{to}__id"))
+            df = df.join(nodes_as(self.graph, e.target, to), F.col(f"{name}__end") == F.col(f"{to}__id"))
         return self._using(df.drop(f"{name}__start", f"{name}__end"), self.labels | {to: e.target}, Used(frozenset([type_]), f"{name}__eids", "path"))
 
     def _hop(self, from_: str, type_: str, to: str, rel: str | None, forward: bool) -> Match:
@@ -236,7 +236,7 @@ class Match:
 
     def _by_key(self, e: EdgeTable, from_: str, to: str, end: str, key_is_here: bool) -> Match:
         """A foreign key: the far node's table joins without an edge table. The row that holds the key is the relationship."""
-        far = _nodes(self.graph, end, to)
+        far = nodes_as(self.graph, end, to)
         key = e.dst if e.on == "source" else e.src
         used = Used(frozenset([e.type]), f"{from_ if key_is_here else to}__id", "key")
         if self._df is None and not key_is_here:
@@ -257,7 +257,7 @@ class Match:
         if self._bound(to):
             df = df.where(F.col(f"{to}__id") == F.col(f"{name}__far"))
         else:
-            df = df.join(_nodes(self.graph, end, to), F.col(f"{name}__far") == F.col(f"{to}__id"))
+            df = df.join(nodes_as(self.graph, end, to), F.col(f"{name}__far") == F.col(f"{to}__id"))
         return self._using(df.drop(f"{name}__near", f"{name}__far"), self.labels | {to: end}, Used(frozenset(types), f"{name}__eid"))
 
     def part(self, var: str, label: str, on: Column | None = None) -> Match:
@@ -266,7 +266,7 @@ class Match:
             raise ValueError("a part that shares no variable needs a condition; F.lit(True) allows the product")
         if self._bound(var):
             raise ValueError(f"{var} is bound already")
-        far = _nodes(self.graph, label, var)
+        far = nodes_as(self.graph, label, var)
         return self._with(self._resolved(lambda df: df.join(far, on)), self.labels | {var: label})
 
     def also(self, other: Match) -> Match:
@@ -447,7 +447,8 @@ class Match:
         return self.df.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
-def _nodes(graph: GraphCatalog, label: str, var: str) -> DataFrame:
+def nodes_as(graph: GraphCatalog, label: str, var: str) -> DataFrame:
+    """A label's nodes under a variable's column names."""
     n = graph.node(label)
     return n.df.select(F.col(n.key).cast("long").alias(f"{var}__id"), *[F.col(c).alias(f"{var}__{c}") for c in n.properties if c != "id"])
 
@@ -460,13 +461,13 @@ def start(graph: GraphCatalog, var: str, label: str) -> Match:
     """
     wanted = label.split(":")
     if len(wanted) == 1 and label in graph.nodes:
-        return Match(graph, _nodes(graph, label, var), {var: label})
+        return Match(graph, nodes_as(graph, label, var), {var: label})
     tables = graph.tables_of(*wanted)
     if len(tables) == 1:
-        return Match(graph, _nodes(graph, tables[0].label, var), {var: tables[0].label})
+        return Match(graph, nodes_as(graph, tables[0].label, var), {var: tables[0].label})
     df = None
     for n in tables:
-        part = _nodes(graph, n.label, var).withColumn(f"{var}__label", F.lit(n.label))
+        part = nodes_as(graph, n.label, var).withColumn(f"{var}__label", F.lit(n.label))
         df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     return Match(graph, df, {var: label})
 

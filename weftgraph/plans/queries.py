@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import aggregates as A
 from weftgraph.functions import scalar as S
 from weftgraph.operators import paths, schema, text, vector, writes
+from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import nulls_first, nulls_last, relationships, start, v
 from weftgraph.sources.tables import star_graph, table
 
@@ -114,9 +115,8 @@ def cartesian_two_parts(spark, d):
 
 @query("SELECT n_name AS nation, count(*) AS pairs FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def shared_var_parts(spark, d):
-    g = star_graph(spark, d)
-    m = start(g, "n", "Nation").into("n", "CUSTOMER_OF", "c").also(start(g, "n", "Nation").into("n", "SUPPLIER_OF", "s"))
-    return m.returns_grouped({"nation": v("n.n_name")}, pairs=A.count())
+    m = times(start(star_graph(spark, d), "n", "Nation"), "n", [Hop("CUSTOMER_OF", "c", forward=False), Hop("SUPPLIER_OF", "s", forward=False)], "ways")
+    return m.returns_grouped({"nation": v("n.n_name")}, pairs=F.sum("ways"))
 
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
@@ -183,14 +183,14 @@ def call_subquery_topk(spark, d):
 @query("""WITH l AS (SELECT *, hash(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS eid FROM lineitem)
 SELECT a.l_orderkey AS o, count(*) AS pairs FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.eid <> b.eid GROUP BY 1""")
 def rel_uniqueness_pair(spark, d):
-    m = start(star_graph(spark, d), "o", "Order").out("o", "CONTAINS", "p").out("o", "CONTAINS", "q")
-    return m.returns_grouped({"o": v("o.id")}, pairs=A.count())
+    m = times(start(star_graph(spark, d), "o", "Order"), "o", [Hop("CONTAINS", "p"), Hop("CONTAINS", "q")], "ways")
+    return m.returns_grouped({"o": v("o.id")}, pairs=F.sum("ways"))
 
 
 @query("SELECT a.s_nationkey AS nation, count(*) AS pairs FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) y ON x.l_partkey = y.l_partkey AND x.l_suppkey <> y.l_suppkey JOIN supplier a ON a.s_suppkey = x.l_suppkey GROUP BY 1")
 def hop2_same_type(spark, d):
-    m = start(star_graph(spark, d), "a", "Supplier").out("a", "SUPPLIES", "p").into("p", "SUPPLIES", "b")
-    return m.returns_grouped({"nation": v("a.s_nationkey")}, pairs=A.count())
+    m = times(start(star_graph(spark, d), "a", "Supplier"), "a", [Hop("SUPPLIES", "p", then=(Hop("SUPPLIES", "b", forward=False),))], "ways")
+    return m.returns_grouped({"nation": v("a.s_nationkey")}, pairs=F.sum("ways"))
 
 
 @query("SELECT o_orderpriority AS priority, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2))::DOUBLE AS mean FROM orders GROUP BY 1".replace("CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2))::DOUBLE", "round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4)"))
@@ -556,15 +556,14 @@ def entity_status(spark, d):
 
 @query("SELECT n_nationkey AS nation, count(*) AS pairs FROM nation JOIN customer c ON c.c_nationkey = n_nationkey JOIN customer e ON e.c_nationkey = n_nationkey AND e.c_custkey <> c.c_custkey GROUP BY 1")
 def fk_uniqueness_pair(spark, d):
-    m = start(star_graph(spark, d), "n", "Nation").into("n", "CUSTOMER_OF", "c").into("n", "CUSTOMER_OF", "e")
-    return m.returns_grouped({"nation": v("n.id")}, pairs=A.count())
+    m = times(start(star_graph(spark, d), "n", "Nation"), "n", [Hop("CUSTOMER_OF", "c", forward=False), Hop("CUSTOMER_OF", "e", forward=False)], "ways")
+    return m.returns_grouped({"nation": v("n.id")}, pairs=F.sum("ways"))
 
 
 @query("SELECT l_suppkey AS supplier, sum(k * (k - 1))::BIGINT AS pairs FROM (SELECT l_suppkey, count(*) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1) GROUP BY 1")
 def comma_uniqueness(spark, d):
-    g = star_graph(spark, d)
-    m = start(g, "s", "Supplier").out("s", "SUPPLIES", "p").also(start(g, "s", "Supplier").out("s", "SUPPLIES", "q"))
-    return m.returns_grouped({"supplier": v("s.id")}, pairs=A.count())
+    m = times(start(star_graph(spark, d), "s", "Supplier"), "s", [Hop("SUPPLIES", "p"), Hop("SUPPLIES", "q")], "ways")
+    return m.returns_grouped({"supplier": v("s.id")}, pairs=F.sum("ways"))
 
 
 @query(f"WITH {_NEXT} SELECT a.event_id AS a, x.dst AS b, y.dst AS c, z.src AS d FROM events a JOIN e x ON x.src = a.event_id LEFT JOIN e y ON y.src = a.event_id LEFT JOIN e z ON z.dst = a.event_id WHERE a.event_type = 'purchase'")
@@ -692,3 +691,22 @@ def call_two_bound(spark, d):
 def joint_label_hop(spark, d):
     m = start(star_graph(spark, d), "x", "Party").out("x", "CUSTOMER_OF", "n")
     return m.returns_grouped({"nation": v("n.n_name"), "label": v("x.label")}, n=A.count())
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER () AS e, l_quantity > 25 AS big FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT o_orderpriority AS priority, count(*) AS triples FROM orders JOIN l a ON a.l_orderkey = o_orderkey AND a.big JOIN l b ON b.l_orderkey = o_orderkey AND b.e <> a.e JOIN l c ON c.l_orderkey = o_orderkey AND c.e NOT IN (a.e, b.e) GROUP BY 1""")
+def count_three_branches(spark, d):
+    # Three different lines of an order, one of them large.
+    hops = [Hop("CONTAINS", "p", where=v("rel.l_quantity") > 25), Hop("CONTAINS", "q"), Hop("CONTAINS", "r")]
+    m = times(start(star_graph(spark, d), "o", "Order"), "o", hops, "ways")
+    return m.returns_grouped({"priority": v("o.o_orderpriority")}, triples=F.sum("ways"))
+
+
+@query("""SELECT n_name AS nation, sum(k * g)::BIGINT AS ways FROM nation JOIN (SELECT c_nationkey, count(*) AS k FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1) ON c_nationkey = n_nationkey
+JOIN (SELECT s_nationkey, count(*) AS g FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1) ON s_nationkey = n_nationkey GROUP BY 1""")
+def count_deep_branches(spark, d):
+    # Orders of a nation's customers, beside finished orders that its suppliers had lines of.
+    done = Hop("SUPPLIED_BY", "x", forward=False, where=v("x.o_orderstatus") == "F")
+    hops = [Hop("CUSTOMER_OF", "c", forward=False, then=(Hop("PLACED", "o"),)), Hop("SUPPLIER_OF", "s", forward=False, then=(done,))]
+    m = times(start(star_graph(spark, d), "n", "Nation"), "n", hops, "ways")
+    return m.returns_grouped({"nation": v("n.n_name")}, ways=F.sum("ways"))
