@@ -1,5 +1,6 @@
 """Operators on micro graphs, against brute force and by hand."""
 
+import collections
 import itertools
 import re
 
@@ -183,3 +184,51 @@ def test_relations_share_words_of_any_script(spark):
         want |= {(d, a, "OF", b) for a, v, b in zip(w, w[1:], w[2:]) if v.lower() == "of" and a[0].isalpha() and b[0].isalpha()}
     found = text.relations(spark.createDataFrame(rows, "id long, t string"), "id", "t", {"of": "OF"}).collect()
     assert set(map(tuple, found)) == want and len(found) == len(want) == 8
+
+
+def _shortest(edges, source, target, most):
+    """All shortest paths by brute force."""
+    level = [[source]]
+    for k in range(most + 1):
+        hit = [p for p in level if p[-1] == target]
+        if hit:
+            return sorted({tuple(p) for p in hit})
+        level = [[*p, b] for p in level for a, b in set(edges) if a == p[-1] and b not in p]
+    return []
+
+
+def test_searches_from_both_ends(spark):
+    import random
+
+    rnd = random.Random(8)
+    pairs_of = [(rnd.randrange(14), rnd.randrange(14)) for _ in range(26)] + [(20 + i, 21 + i) for i in range(9)] + [(29, 20), (3, 3), (40, 41), (40, 41)]
+    graph = spark.createDataFrame(pairs_of, "src long, dst long")
+    asked = [(a, b) for a in (0, 3, 5, 7, 20, 25, 40, 99) for b in (0, 2, 3, 7, 9, 20, 24, 29, 41, 99)] + [(0, 2)] * 2
+    pairs = spark.createDataFrame([*asked, (None, 1), (1, None)], "source long, target long")
+    for most in (0, 3, 6):
+        want = {p: _shortest(pairs_of, *p, most) for p in set(asked)}
+        got = collections.defaultdict(list)
+        for r in paths.shortest_paths(graph, pairs, most, every=True).collect():
+            assert r.distance == len(r.path) - 1
+            got[r.source, r.target].append(tuple(r.path))
+        assert {p: sorted(x) for p, x in got.items()} == {p: x for p, x in want.items() if x}
+        assert {(r.source, r.target): tuple(r.path) for r in paths.shortest_paths(graph, pairs, most).collect()} == {p: x[0] for p, x in want.items() if x}
+        assert {(r.source, r.target): (r.distance, r.n) for r in paths.count_shortest_paths(graph, pairs, most).collect()} == {p: (len(x[0]) - 1, len(x)) for p, x in want.items() if x}
+
+
+def test_closure_by_doubling(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(12), rnd.randrange(12)) for _ in range(14)] + [(100 + i, 101 + i) for i in range(37)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
+    want = {}
+    for a in {x for e in rows for x in e}:
+        front, k = {a}, 0
+        while front:
+            want |= {(a, n): k for n in front}
+            front, k = {q for p, q in rows if p in front and (a, q) not in want}, k + 1
+    graph = spark.createDataFrame(rows, "src long, dst long")
+    assert {(r.seed, r.node): r.distance for r in paths.closure(graph).collect()} == want
+    seeds = spark.createDataFrame([(100,), (201,), (999,), (100,)], "id long")
+    assert {(r.seed, r.node): r.distance for r in paths.closure(graph, seeds).collect()} == {k: d for k, d in want.items() if k[0] in (100, 201)} | {(999, 999): 0}
+    assert paths.closure(graph.where("src < 0")).collect() == []

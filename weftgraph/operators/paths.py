@@ -36,12 +36,18 @@ def var_length(edges: DataFrame, starts: DataFrame, least: int, most: int) -> Da
     return out
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    """The distinct (src, dst) of a graph as a table, so that what makes them runs once and not at each level."""
+    return materialized(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "step")
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(seed, node, distance) for all nodes within most hops of each seed, the seed itself at 0.
 
     A breadth-first search for all seeds at once: each level joins the frontier with the edges and drops what was seen.
+    closure() has no bound of hops.
     """
-    step = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
+    step = _steps(edges).toDF("__s", "__d")
     seen = materialized(seeds.select(F.col("id").cast("long").alias("seed"), F.col("id").cast("long").alias("node"), F.lit(0).alias("distance")).distinct(), "level")
     frontier = seen
     for k in range(1, most + 1):
@@ -53,40 +59,141 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int, every: bool = False) -> DataFrame:
-    """(source, target, distance, path) for the pairs (source, target) that are within most hops; path is the nodes' ids.
+def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(seed, node, distance) for every node that a seed reaches over any number of hops, itself at 0; without seeds, from
+    all nodes that have an edge.
 
-    One path for each pair, the least by its ids, or every shortest one. There is one search for each source, whatever
-    the number of its targets; it stops when all of them are reached. Pairs of a node with itself have distance 0.
+    Reach doubles: a pair at a distance of 2^k + d (d up to 2^k) is one at exactly 2^k and one at d, so there are as many
+    rounds as the longest shortest path has binary digits, and no pair is made twice over one node. Reach is found for all
+    nodes, then kept for the seeds: it serves many seeds; for a few of them reachable() holds less.
     """
-    step = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
-    wanted = materialized(pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct(), "pairs")
-    frontier = wanted.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
-    open_pairs, done = wanted, []
-    seen = frontier.select("source", "node")
-    for k in range(most + 1):
-        if k:
-            met = frontier.join(step, F.col("node") == F.col("__s")).select("source", F.col("__d").alias("node"), F.concat("path", F.array("__d")).alias("path"))
-            met = met.join(seen, ["source", "node"], "left_anti")
-            if not every:
-                met = met.groupBy("source", "node").agg(F.min("path").alias("path"))
-            elif k == most:
-                # Paths that may not go on count only where they end at a target.
-                met = met.join(open_pairs.withColumnRenamed("target", "node"), ["source", "node"], "left_semi")
-            frontier = materialized(met, "bfs")
-            seen = seen.unionByName(frontier.select("source", "node").distinct())
-        hit = frontier.join(open_pairs.withColumnRenamed("target", "node"), ["source", "node"])
-        done.append(hit.select("source", F.col("node").alias("target"), F.lit(k).alias("distance"), "path"))
-        open_pairs = materialized(open_pairs.join(hit.select("source", F.col("node").alias("target")).distinct(), ["source", "target"], "left_anti"), "open")
-        frontier = frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
-        if frontier.isEmpty():
+    near = materialized(_steps(edges).where("src != dst").select("src", "dst", F.lit(1).cast("long").alias("distance")), "reach")
+    parts, reach, k = [near], near, 1
+    while True:
+        far = reach.where(F.col("distance") == k).select(F.col("src").alias("__a"), F.col("dst").alias("__m"))
+        made = far.join(reach, F.col("__m") == F.col("src")).where("__a != dst").groupBy(F.col("__a").alias("src"), "dst").agg((F.min("distance") + k).alias("distance"))
+        new = materialized(made.join(reach.select("src", "dst"), ["src", "dst"], "left_anti"), "reach")
+        if new.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        parts.append(new)
+        reach, k = reach.unionByName(new), 2 * k
+    ends = _steps(edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct() if seeds is None else seeds.select(F.col("id").cast("long").alias("id")).distinct()
+    found = reach.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "distance")
+    if seeds is not None:
+        found = found.join(ends, F.col("seed") == F.col("id"), "left_semi")
+    return found.unionByName(ends.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).cast("long").alias("distance")))
+
+
+class _Search:
+    """Shortest paths between pairs, searched from both ends in turn.
+
+    Level k of a side holds the nodes at distance k of each end, and in how many ways they are reached; no path is kept. A
+    pair is met at distance d where level i of its source and level d - i of its target have a node in common.
+    """
+
+    def __init__(self, edges: DataFrame, pairs: DataFrame, most: int, ways: bool) -> None:
+        self.step = _steps(edges)
+        wanted = materialized(pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).where("source IS NOT NULL AND target IS NOT NULL").distinct(), "pairs")
+        self.open, self.ways = wanted.where("source != target"), ways
+        self.levels = {side: [self.open.select(F.col(side).alias("end"), F.col(side).alias("node"), F.lit(1).cast("long").alias("n")).distinct()] for side in ("source", "target")}
+        self.seen = {side: own[0].select("end", "node") for side, own in self.levels.items()}
+        #: (source, target, node, distance, at): the nodes where pairs meet, at hops from the source.
+        self.meets: list[DataFrame] = []
+        self.found = [wanted.where("source = target").select("source", "target", F.lit(0).alias("distance"), F.lit(1).cast("long").alias("n"))]
+        for d in range(1, most + 1):
+            if not self._extend("source" if d % 2 else "target"):
+                break
+            self._meet(d)
+            if self.open.isEmpty():
+                break
+
+    def _extend(self, side: str) -> bool:
+        """Another level of a side, for the ends that still have an open pair."""
+        a, b = ("src", "dst") if side == "source" else ("dst", "src")
+        ends = self.open.select(F.col(side).alias("end")).distinct()
+        front = self.levels[side][-1].join(ends, "end", "left_semi")
+        met = front.join(self.step, F.col("node") == F.col(a)).select("end", F.col(b).alias("node"), "n")
+        met = met.groupBy("end", "node").agg(F.sum("n").alias("n")) if self.ways else met.select("end", "node", F.lit(1).cast("long").alias("n")).distinct()
+        level = materialized(met.join(self.seen[side], ["end", "node"], "left_anti"), "bfs")
+        self.levels[side].append(level)
+        self.seen[side] = self.seen[side].unionByName(level.select("end", "node"))
+        return not level.isEmpty()
+
+    def _meet(self, d: int) -> None:
+        fore, back = self.levels["source"][-1], self.levels["target"][-1]
+        rows = self.open.join(fore.select(F.col("end").alias("source"), "node", F.col("n").alias("__f")), "source")
+        rows = rows.join(back.select(F.col("end").alias("target"), "node", F.col("n").alias("__b")), ["target", "node"])
+        met = materialized(rows.select("source", "target", "node", F.lit(d).alias("distance"), F.lit(len(self.levels["source"]) - 1).alias("at"), (F.col("__f") * F.col("__b")).alias("n")), "meet")
+        self.meets.append(met)
+        self.found.append(met.groupBy("source", "target", "distance").agg(F.sum("n").alias("n")))
+        self.open = materialized(self.open.join(met.select("source", "target").distinct(), ["source", "target"], "left_anti"), "open")
+
+    def lengths(self) -> DataFrame:
+        return _union(self.found)
+
+    def links(self) -> list[DataFrame]:
+        """For each number of hops from the source, (source, target, node, next): the edges that shortest paths take there.
+
+        Predecessors are looked up in the levels from where a pair meets, back to its source and on to its target.
+        """
+        out = []
+        for side, a, b in (("source", "dst", "src"), ("target", "src", "dst")):
+            carried = None
+            own = F.col("at") if side == "source" else F.col("distance") - F.col("at")
+            for k in range(len(self.levels[side]) - 1 if self.meets else 0, 0, -1):
+                here = [m.where(own == k).select("source", "target", "node", "distance", "at") for m in self.meets]
+                cur = _union(here + ([carried] if carried is not None else [])).distinct()
+                level = self.levels[side][k - 1].select(F.col("end").alias(side), F.col("node").alias("__next"))
+                edges = cur.join(self.step, F.col("node") == F.col(a)).select("source", "target", "node", "distance", "at", F.col(b).alias("__next")).join(level, [side, "__next"])
+                edges = materialized(edges.select("source", "target", "node", "__next", "distance", "at"), "links")
+                hops = F.lit(k - 1) if side == "source" else F.col("distance") - k
+                pair = (F.col("__next").alias("node"), F.col("node").alias("next")) if side == "source" else (F.col("node"), F.col("__next").alias("next"))
+                out.append(edges.select("source", "target", hops.alias("hop"), *pair))
+                carried = edges.select("source", "target", F.col("__next").alias("node"), "distance", "at").distinct()
+        if not out:
+            return []
+        rows = _union(out).distinct()
+        longest = rows.agg(F.max("hop")).first()[0]
+        return [] if longest is None else [rows.where(F.col("hop") == k).drop("hop") for k in range(longest + 1)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
+def shortest_lengths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(source, target, distance) for the pairs (source, target) that are within most hops; a node is at 0 from itself."""
+    return _Search(edges, pairs, most, ways=False).lengths().drop("n")
+
+
+def count_shortest_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(source, target, distance, n): how many shortest paths, over distinct edges, lead from source to target."""
+    return _Search(edges, pairs, most, ways=True).lengths()
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int, every: bool = False) -> DataFrame:
+    """(source, target, distance, path) for the pairs (source, target) that are within most hops; path is the nodes' ids.
+
+    One path for each pair, the least by its ids, or every shortest one. Paths are built only for pairs that were met, and
+    only over edges that are on one of their shortest paths. Pairs of a node with itself have distance 0.
+    """
+    search = _Search(edges, pairs, most, ways=False)
+    rows = search.lengths().select("source", "target", "distance", F.array("source").alias("path"))
+    for k, links in enumerate(search.links()):
+        last = F.element_at("path", -1)
+        ahead = links.select(F.col("source").alias("__s"), F.col("target").alias("__t"), F.col("node").alias("__n"), F.col("next").alias("__next"))
+        if not every:
+            ahead = ahead.groupBy("__s", "__t", "__n").agg(F.min("__next").alias("__next"))
+        going, done = rows.where(F.col("distance") > k), rows.where(F.col("distance") <= k)
+        on = (F.col("source") == F.col("__s")) & (F.col("target") == F.col("__t")) & (last == F.col("__n"))
+        going = going.join(ahead, on).select("source", "target", "distance", F.concat("path", F.array("__next")).alias("path"))
+        rows = materialized(done.unionByName(going), "paths")
+    return rows
+
+
 def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:
     """(id, neighbour) in one direction, or both; a row per relationship."""
     rows = {"out": edges, "in": edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}), "both": undirected(edges)}
@@ -117,7 +224,7 @@ def common_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def path_exists(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
     """(source, target, connected) for each pair, over edges in their direction."""
-    found = shortest_paths(edges, pairs, most).select("source", "target", F.lit(True).alias("connected"))
+    found = shortest_lengths(edges, pairs, most).select("source", "target", F.lit(True).alias("connected"))
     wanted = pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct()
     return wanted.join(found, ["source", "target"], "left").withColumn("connected", F.coalesce("connected", F.lit(False)))
 

@@ -392,12 +392,28 @@ _PAIRS = "p AS (SELECT a.s_suppkey AS source, c.s_suppkey AS target FROM supplie
 @query(f"""WITH {_BIP}, {_PAIRS}, two AS (SELECT DISTINCT q.x AS f, r.y AS g FROM b q JOIN b r ON r.x = q.y WHERE q.x < 1000000000), four AS (SELECT DISTINCT h.f, k.g FROM two h JOIN two k ON k.f = h.g)
 SELECT source, target, CASE WHEN two.f IS NOT NULL THEN 2 ELSE 4 END AS distance FROM p JOIN four ON four.f = source AND four.g = target LEFT JOIN two ON two.f = source AND two.g = target""")
 def shortest_path_length(spark, d):
-    return paths.shortest_paths(_supplies(spark, d), _compatriots(spark, d), 4).select("source", "target", "distance")
+    return paths.shortest_lengths(_supplies(spark, d), _compatriots(spark, d), 4)
 
 
-@query(f"WITH {_BIP}, {_PAIRS} SELECT source, target, count(*) AS n FROM p JOIN b q ON q.x = source JOIN b r ON r.x = q.y AND r.y = target GROUP BY 1, 2")
+@query(f"""WITH {_BIP}, {_PAIRS}, two AS (SELECT q.x AS f, r.y AS g, count(*) AS n FROM b q JOIN b r ON r.x = q.y WHERE q.x < 1000000000 GROUP BY 1, 2),
+four AS (SELECT h.f, k.g, sum(h.n * k.n) AS n FROM two h JOIN two k ON k.f = h.g WHERE h.f <> h.g AND k.f <> k.g GROUP BY 1, 2)
+SELECT source, target, CASE WHEN two.f IS NOT NULL THEN 2 ELSE 4 END AS distance, coalesce(two.n, four.n)::BIGINT AS n FROM p LEFT JOIN two ON two.f = source AND two.g = target LEFT JOIN four ON four.f = source AND four.g = target WHERE two.f IS NOT NULL OR four.f IS NOT NULL""")
 def all_shortest_paths(spark, d):
-    return paths.shortest_paths(_supplies(spark, d), _compatriots(spark, d), 2, every=True).groupBy("source", "target").agg(A.count().alias("n"))
+    return paths.count_shortest_paths(_supplies(spark, d), _compatriots(spark, d), 4)
+
+
+#: Events of one user over days: a NEXT chain taken both ways, between all events of a user within a part of it.
+@query(f"WITH {_NEXT}, o AS (SELECT event_id AS x, user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT a.x AS source, b.x AS target, abs(a.i - b.i) AS distance, 1::BIGINT AS n FROM o a JOIN o b ON b.u = a.u AND b.x > a.x AND abs(a.i - b.i) <= 7")
+def shortest_paths_of_users(spark, d):
+    ids = table(spark, d, "events").select(F.col("event_id").alias("source"), "user_id")
+    pairs = ids.join(ids.withColumnRenamed("source", "target"), "user_id").where("source < target").select("source", "target")
+    return paths.count_shortest_paths(paths.undirected(_next(spark, d)), pairs, 7)
+
+
+@query(f"WITH RECURSIVE {_NEXT}, r(seed, node, distance) AS (SELECT event_id, event_id, 0 FROM events UNION ALL SELECT seed, dst, distance + 1 FROM r JOIN e ON src = node) SELECT seed, count(*) AS reached, max(distance)::BIGINT AS farthest FROM r GROUP BY 1")
+def varlen_unbounded(spark, d):
+    ids = table(spark, d, "events").select(F.col("event_id").alias("id"))
+    return paths.closure(_next(spark, d), ids).groupBy("seed").agg(A.count().alias("reached"), F.max("distance").alias("farthest"))
 
 
 @query("SELECT s_suppkey AS id, count(l_partkey) AS degree FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey GROUP BY 1")
@@ -425,9 +441,9 @@ def path_exists(spark, d):
     return paths.path_exists(_next(spark, d), ev.join(first, "user_id").select("source", F.col("event_id").alias("target")), 5)
 
 
-@query(f"WITH {_NEXT}, n0 AS (SELECT event_id AS x FROM events WHERE event_type = 'error'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n1 AS (SELECT x FROM n0 UNION SELECT dst FROM n0 JOIN b ON src = x) SELECT src, dst FROM e WHERE src IN (SELECT x FROM n1) AND dst IN (SELECT x FROM n1)")
+@query(f"WITH {_NEXT}, n0 AS (SELECT event_id AS x FROM events WHERE event_type = 'error'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n1 AS (SELECT x FROM n0 UNION SELECT dst FROM n0 JOIN b ON src = x), n2 AS (SELECT x FROM n1 UNION SELECT dst FROM n1 JOIN b ON src = x) SELECT src, dst FROM e WHERE src IN (SELECT x FROM n2) AND dst IN (SELECT x FROM n2)")
 def subgraph(spark, d):
-    return paths.subgraph(_next(spark, d), table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id")), 1)
+    return paths.subgraph(_next(spark, d), table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id")), 2)
 
 
 @query("""WITH l AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings),
