@@ -12,6 +12,7 @@ from weftgraph.functions import scalar as S
 from weftgraph.operators import paths, schema, text, vector, writes
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import nulls_first, nulls_last, relationships, start, v
+from weftgraph.operators.vector_index import build_index
 from weftgraph.sources.tables import star_graph, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -726,3 +727,12 @@ def count_deep_branches(spark, d):
     hops = [Hop("CUSTOMER_OF", "c", forward=False, then=(Hop("PLACED", "o"),)), Hop("SUPPLIER_OF", "s", forward=False, then=(done,))]
     m = times(start(star_graph(spark, d), "n", "Nation"), "n", hops, "ways")
     return m.returns_grouped({"nation": v("n.n_name")}, ways=F.sum("ways"))
+
+
+@query()
+def vector_index_topk(spark, d):
+    """As vector_topk, by the index; tests hold its recall against the exact search."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    index = build_index(rows, "vec_id", "embedding")
+    return index.search(asked, 20).select("query", "vec_id", F.round("score", 6).alias("score"))
