@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -67,22 +67,15 @@ def relations(df: DataFrame, doc: str, text: str, verbs: dict[str, str]) -> Data
     Words are of letters, marks, digits and _ of any script. An object may be the next subject, and a verb a subject or
     an object: each word that a verb and a word follow gives a row.
     """
-    word, gap = r"[\p{L}\p{M}\p{N}_]+", r"[\s\p{Z}]+"
-    pattern = f"(?iu)({word})(?={gap}(" + "|".join(re.escape(x) for x in sorted(verbs, key=len, reverse=True)) + f"){gap}({word}))"
-    part = lambda i: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i))
-    found = df.select(doc, F.explode(F.arrays_zip(part(1).alias("s"), part(2).alias("v"), part(3).alias("o"))).alias("__m"))
+    letter, gap = r"[\p{L}\p{M}\p{N}_]", r"[\s\p{Z}]"
+    verb = "|".join(re.escape(x) for x in sorted(verbs, key=len, reverse=True))
+    # At the start of each word, one look ahead that never gives back what it has taken.
+    pattern = f"(?iu)(?<!{letter})(?=({letter}++{gap}++(?:{verb}){gap}++{letter}++))"
+    found = df.select(doc, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("__m"))
+    found = found.select(doc, F.split("__m", f"{gap}+").alias("__m"))
     types = F.create_map(*[F.lit(x) for k, t in verbs.items() for x in (k.upper().lower(), t.upper())])
-    verb = F.lower(F.upper(F.col("__m.v")))
-    return found.select(doc, F.col("__m.s").alias("subject"), F.try_element_at(types, verb).alias("type"), F.col("__m.o").alias("object"))
-
-
-def apart_relations(df: DataFrame, doc: str, text: str, verbs: dict[str, str]) -> DataFrame:
-    """relations() as SQL's regexp_extract_all finds them: of ASCII words, in matches that share no word."""
-    pattern = r"(?i)(\w+)\s+(" + "|".join(re.escape(x) for x in sorted(verbs, key=len, reverse=True)) + r")\s+(\w+)"
-    found = df.select(doc, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("__m"))
-    part = lambda i: F.regexp_extract("__m", pattern, i)
-    types = F.create_map(*[F.lit(x) for k, t in verbs.items() for x in (k.lower(), t.upper())])
-    return found.select(doc, part(1).alias("subject"), F.try_element_at(types, F.lower(part(2))).alias("type"), part(3).alias("object"))
+    part = lambda i: F.get("__m", F.lit(i))
+    return found.select(doc, part(0).alias("subject"), F.try_element_at(types, F.lower(F.upper(part(1)))).alias("type"), part(2).alias("object"))
 
 
 def triples(found: DataFrame) -> DataFrame:
@@ -101,8 +94,3 @@ def entity_status(found: DataFrame, existing: DataFrame) -> DataFrame:
 def provenance(found: DataFrame, doc: str) -> DataFrame:
     """(name, doc): MENTIONED_IN edges from each entity to the texts that name it."""
     return found.select(F.explode(F.array("subject", "object")).alias("name"), doc).distinct()
-
-
-def render_match(subject: Column, type_: Column, object_: Column) -> Column:
-    """The text of a query for one triple, values as parameters."""
-    return F.concat(F.lit("MATCH (a {name: $subject})-[:"), type_, F.lit("]->(b {name: $object}) RETURN a, b"))
