@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import aggregates as A
 from weftgraph.functions import scalar as S
-from weftgraph.operators import paths, schema, text, vector, writes
+from weftgraph.operators import ordered, paths, schema, text, vector, writes
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import nulls_first, nulls_last, relationships, start, v
 from weftgraph.operators.vector_index import build_index
@@ -736,3 +736,18 @@ def vector_index_topk(spark, d):
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     index = build_index(rows, "vec_id", "embedding")
     return index.search(asked, 20).select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT l_returnflag AS flag, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.99) AS high FROM lineitem GROUP BY 1
+UNION ALL SELECT NULL, quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.99) FROM lineitem""")
+def percentiles_of_prices(spark, d):
+    rows = table(spark, d, "lineitem")
+    by_flag = ordered.percentiles(rows.withColumnRenamed("l_returnflag", "flag"), ["flag"], "l_extendedprice", {"median": 0.5, "high": 0.99})
+    whole = ordered.percentiles(rows, [], "l_extendedprice", {"median": 0.5, "high": 0.99})
+    return by_flag.unionByName(whole, allowMissingColumns=True)
+
+
+@query("SELECT l_suppkey AS supplier, quantile_disc(l_extendedprice, 0.25) AS low, quantile_disc(l_extendedprice, 0.75) AS high FROM lineitem GROUP BY 1")
+def percentiles_disc(spark, d):
+    rows = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "supplier")
+    return ordered.percentiles(rows, ["supplier"], "l_extendedprice", {"low": 0.25, "high": 0.75}, discrete=True)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from weftgraph.operators.ordered import following
 from weftgraph.sources.catalog import GraphCatalog
 
 
@@ -39,10 +39,8 @@ def star_graph(spark: SparkSession, folder: str) -> GraphCatalog:
     g.add_edges("SUPPLIED_BY", t("lineitem"), "Order", "Supplier", "l_orderkey", "l_suppkey", by_place=True)
     g.add_edges("SUPPLIES", lambda: t("lineitem")().select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part", "l_suppkey", "l_partkey", key=("l_suppkey", "l_partkey"))
 
-    def following() -> DataFrame:
-        # The events of one user are ordered in one task: its memory spills, its time follows the busiest user.
-        per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        return t("events")().select("event_id", F.lead("event_id").over(per_user).alias("next_id")).where("next_id IS NOT NULL")
+    def next_events() -> DataFrame:
+        return following(t("events")().select("user_id", "ts", "event_id"), "user_id", ["ts"], "event_id").toDF("event_id", "next_id")
 
-    g.add_edges("NEXT", following, "Event", "Event", "event_id", "next_id", key=("event_id",))
+    g.add_edges("NEXT", next_events, "Event", "Event", "event_id", "next_id", key=("event_id",))
     return g
