@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from weftgraph.plans.lineage import materialized
 #: Bytes between words: space and \t \n \v \f \r, exactly what bytes.split() splits at.
 BLANK = r"[\x20\x09-\x0D]"
 
+_A_BLANK = re.compile(r"\s")
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -92,6 +95,19 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2_0
     give_back()
 
 
+def stretches(text: str, most: int) -> Iterator[str]:
+    """The text in parts of about so many characters, cut before blanks, so that what is made of a very long text at once
+    stays small. A longer word stays whole."""
+    at = 0
+    while len(text) - at > most:
+        cut = _A_BLANK.search(text, at + most)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def give_back() -> None:
     """Return freed memory to the machine: a Python worker outlives its task, and shares its executor with the next stage."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import held_out, kept, sliced
+from weftgraph.llm.common import held_out, kept, sliced, stretches
 
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -62,9 +62,31 @@ def clean(text: str) -> bytes:
     return b" " + b" ".join(_OTHERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass").split()) + b" "
 
 
+def blocks(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """clean(text) in blocks, each with up to two bytes of the one before, and how many they are."""
+    before = b""
+    for part in stretches(text, _BLOCK):
+        made = clean(part)
+        if made == b"  ":
+            continue
+        made = made[1:] if before else made
+        yield np.frombuffer(before + made, np.uint8), len(before)
+        before = (before + made)[-2:]
+    if not before:
+        yield np.frombuffer(b"  ", np.uint8), 0
+
+
+def block_cells(data: np.ndarray, old: int, order: int) -> np.ndarray:
+    """The cells of a block's n-grams that end in its new bytes."""
+    own = data[max(0, old - order + 1) :]
+    return gram_cells(own, order) if len(own) >= order else np.zeros(0, np.int64)
+
+
 def histogram(text: str) -> np.ndarray:
-    data = np.frombuffer(clean(text), np.uint8)
-    counts = sum(np.bincount(gram_cells(data, n), minlength=CELLS) for n in (1, 2, 3) if len(data) >= n)
+    counts = np.zeros(CELLS, np.int64)
+    for data, old in blocks(text):
+        for n in (1, 2, 3):
+            counts += np.bincount(block_cells(data, old, n), minlength=CELLS)
     return (counts / max(1, counts.sum())).astype(np.float32)
 
 
@@ -194,6 +216,18 @@ def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
     return out
 
 
+def score_long(text: str, model: Model) -> np.ndarray:
+    """score_texts for one text of any length, a block at a time."""
+    sums, grams = np.zeros(model.weights.shape[1]), 0
+    for data, old in blocks(text):
+        for order in (1, 2, 3):
+            cells = block_cells(data, old, order)
+            grams += len(cells)
+            for at in range(0, len(cells), _BLOCK):
+                sums += model.weights[cells[at : at + _BLOCK]].sum(axis=0, dtype=np.float64)
+    return sums / max(1, grams) + model.bias
+
+
 def decide(values: np.ndarray, model: Model) -> tuple[list[str], np.ndarray]:
     """The language and a score from 0 to 1 (the family's margin times that of the closest pair, as logistic values)."""
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(2 * v, -50, 50)))
@@ -247,7 +281,12 @@ def predict_language(df: DataFrame, doc: str, text: str, model: Model | None, ke
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model is not None else []
             if at:
-                found, sure = decide(score_texts([clean(texts[i]) for i in at], model), model)
+                short = [i for i in at if len(texts[i]) <= _BLOCK]
+                values = np.zeros((len(texts), model.weights.shape[1]))
+                values[short] = score_texts([clean(texts[i]) for i in short], model)
+                for i in set(at).difference(short):
+                    values[i] = score_long(texts[i], model)
+                found, sure = decide(values[at], model)
                 scores[at] = sure
                 for i, lang in zip(at, found):
                     langs[i] = lang

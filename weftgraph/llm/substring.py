@@ -148,10 +148,11 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, packed binary")
 
 
-def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> DataFrame:
+def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20, numbers: DataFrame | None = None) -> DataFrame:
     """(doc, phrases, starts) of each document that repeats an earlier one or itself: its phrases that are duplicates as a
     whole, as (at, source, source_at): their numbers here and where they first stand; and the starts of further windows.
-    factors() and covered() turn them into words.
+    factors() and covered() turn them into words. With numbers, told_apart's table of (id, row_no), phrases also have
+    source_id, the id behind the source's row number.
 
     A window of `window` words is a duplicate if the same words start earlier: in a smaller doc, or earlier in the same.
     Words are separated by blanks; null and short texts have no window. A null id counts as the largest. Rows that repeat
@@ -164,10 +165,14 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
     first_at = F.min_by("at", F.when(~F.col("again"), F.col("doc")))
     index = found.groupBy("anchor", "phrase").agg(F.min("doc").alias("first_doc"), first_at.alias("first_at"), F.count(F.lit(1)).alias("n"))
     blocks = index.join(varied, "anchor", "left")
-    common = written(blocks.where("n > 1 OR v").select("phrase", "first_doc", "first_at", F.coalesce("v", F.lit(False)).alias("varied")), "common")
+    blocks = blocks.where("n > 1 OR v").select("phrase", "first_doc", "first_at", F.coalesce("v", F.lit(False)).alias("varied"))
+    if numbers is not None:
+        blocks = blocks.join(numbers.select(F.col("row_no").alias("first_doc"), F.nullif("id", F.lit(2**63 - 1)).alias("source_id")), "first_doc", "left")
+    common = written(blocks, "common")
+    named = ["source_id"] if numbers is not None else []
     met = found.drop("anchor").join(common, "phrase").where("first_doc < doc OR again OR varied")
     whole = (F.col("first_doc") < F.col("doc")) | F.col("again")
-    lists = met.groupBy("doc").agg(F.collect_set(F.when(whole, F.struct("at", F.col("first_doc").alias("source"), F.col("first_at").alias("source_at")))).alias("phrases"), F.collect_set(F.when(~whole, F.col("at"))).alias("check"))
+    lists = met.groupBy("doc").agg(F.collect_set(F.when(whole, F.struct("at", F.col("first_doc").alias("source"), F.col("first_at").alias("source_at"), *named))).alias("phrases"), F.collect_set(F.when(~whole, F.col("at"))).alias("check"))
     lists = written(lists, "phrases")
     # Half of the operator's disk space; what follows reads lists alone.
     remove_table(found)
@@ -180,18 +185,18 @@ def duplicate_spans(df: DataFrame, doc: str, text: str, window: int = 20) -> Dat
     return lists.select("doc", "phrases").join(starts, "doc", "left").where("size(phrases) > 0 OR starts IS NOT NULL")
 
 
-def factors(own: Phrases, at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, source) of the greedy factors of a text, in words: the longest runs of known phrases, from left to
-    right, that follow one another in one source."""
-    keep = at < len(own.first)
-    order = np.argsort(at[keep], kind="stable")
-    at, source, source_at = at[keep][order], source[keep][order], source_at[keep][order]
+def factors(own: Phrases, at: np.ndarray, source_at: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, place) of the greedy factors of a text, in words: the longest runs of known phrases, from left to
+    right, that follow one another in one source; place: where the lists have a factor's first phrase."""
+    order = np.argsort(at, kind="stable")
+    order = order[at[order] < len(own.first)]
+    at, source, source_at = at[order], source[order], source_at[order]
     if not len(at):
-        return at, at, source
+        return at, at, order
     goes_on = (np.diff(at) == 1) & (np.diff(source) == 0) & (np.diff(source_at) == 1)
     heads = np.flatnonzero(np.concatenate([[True], ~goes_on]))
     tails = np.append(heads[1:], len(at)) - 1
-    return own.first[at[heads]], own.last[at[tails]] + own.window, source[heads]
+    return own.first[at[heads]], own.last[at[tails]] + own.window, order[heads]
 
 
 def covered(own: Phrases, begins: np.ndarray, stops: np.ndarray, starts: list[int] | None) -> np.ndarray:
@@ -219,15 +224,15 @@ def _cut(raw: bytes, flips: np.ndarray) -> bytes:
 
 def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str], window: int = 20, join_words: bool = True) -> DataFrame:
     """keep columns of every row with text (what is left), n_words, n_removed, removed, the spans as (start, words), and
-    factors, the parse as (start, words, source): source is the document that first holds the factor's phrases (its id, or
-    its row number where rows had to be told apart).
+    factors, the parse as (start, words, source): source is the id of the document that first holds the factor's phrases,
+    null for one without an id.
 
     What is left are the kept words joined by one space and a null text is empty; with join_words=False the blanks between
     kept words stay as they are and a null text is null. Rows with the same id, or none, and different texts are documents
     of their own, in the order of the texts' hashes. A column of keep that is named like a result gives way to it. See
     duplicate_spans.
     """
-    df, doc, _ = told_apart(df, doc, text)
+    df, doc, numbers = told_apart(df, doc, text)
     others = kept(keep, [text, "n_words", "n_removed", "removed", "factors"])
     schema = T.StructType(
         [
@@ -255,7 +260,7 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
         for batch in sliced(batches, width):
             texts, counts, gone, spans, parses = [], [], [], [], []
-            for packed, starts, *phrases in zip(*[batch.column(width + i).to_pylist() for i in range(5)]):
+            for packed, starts, *phrases in zip(*[c.to_pylist() for c in batch.columns[width:]]):
                 raw = b"" if packed is None else unpack.decompress(packed)
                 words = raw.split()
                 counts.append(len(words))
@@ -266,8 +271,8 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
                     texts.append((b" ".join(words) if join_words else raw).decode("utf-8", "surrogatepass") if packed is not None or join_words else None)
                     continue
                 own = Phrases(hashes.of(words), window)
-                begins, stops, sources = factors(own, *[np.array(x or [], np.int64) for x in phrases])
-                parses.append([{"start": i, "words": j - i, "source": x} for i, j, x in zip(begins.tolist(), stops.tolist(), sources.tolist())])
+                begins, stops, places = factors(own, *[np.array(x or [], np.int64) for x in phrases[:3]])
+                parses.append([{"start": i, "words": j - i, "source": phrases[-1][k]} for i, j, k in zip(begins.tolist(), stops.tolist(), places.tolist())])
                 out = covered(own, begins, stops, starts)
                 gone.append(int(out.sum()))
                 flips = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
@@ -282,7 +287,9 @@ def remove_duplicate_spans(df: DataFrame, doc: str, text: str, keep: list[str],
     rows = df.select(*named, F.col(text).alias("packed"), order_id(doc).alias("__doc"))
     names = rows.columns
     kinds = T.StructType([T.StructField("packed", T.BinaryType()) if f.name == "packed" else f for f in rows.schema])
-    spans_of = duplicate_spans(df, doc, text, window)
+    spans_of = duplicate_spans(df, doc, text, window, numbers)
     joined = rows.mapInArrow(pack, kinds).join(spans_of.withColumnRenamed("doc", "__d"), F.col("__doc") == F.col("__d"), "left")
-    parts = [F.col(f"phrases.{c}").alias(f"p_{c}") for c in ("at", "source", "source_at")]
+    parts = [F.col(f"phrases.{c}").alias(f"p_{c}") for c in ("at", "source_at", "source")]
+    if numbers is not None:
+        parts.append(F.col("phrases.source_id").alias("p_id"))
     return joined.select(*names[:width], "packed", "starts", *parts).mapInArrow(apply, schema)

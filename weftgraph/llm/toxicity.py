@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import held_out, kept, sliced
+from weftgraph.llm.common import held_out, kept, sliced, stretches
 
-#: Labelled documents that a model is fitted on at most, as a target for each class, and the longest of them in characters.
+#: Labelled documents that a model is fitted on at most, as a target for each class, and the characters learnt of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8000
 #: Words of a window, n-gram sizes, bits of a hash bucket and vector length.
 WINDOW, SIZES, BUCKET_BITS, WIDTH = 5, (3, 4, 5), 18, 6
@@ -66,12 +66,18 @@ def word_scores(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The mean of the n-gram values of each word of cleaned bytes that begin and end with a space."""
     spaces = np.flatnonzero(data == 32)
     lengths = np.diff(spaces) - 1
-    word = np.cumsum(data == 32) - 1
     sums, counts = np.zeros(len(lengths)), np.zeros(len(lengths))
     for size in SIZES:
-        at, bucket = gram_buckets(data, size)
-        sums += np.bincount(word[at + 1], values[bucket], len(lengths))
         counts += np.maximum(0, lengths + 3 - size)
+        for begin in range(0, len(data), _BLOCK):
+            # A block has the grams that begin in it; a word may go through many blocks.
+            block = data[begin : begin + _BLOCK + size - 1]
+            at, bucket = gram_buckets(block, size)
+            if len(at):
+                word = np.searchsorted(spaces, begin) - 1 + np.cumsum(block == 32)[at + 1]
+                first = word[0]
+                met = np.bincount(word - first, values[bucket])
+                sums[first : first + len(met)] += met
     real = lengths > 0
     return sums[real] / counts[real]
 
@@ -101,18 +107,37 @@ def text_logits(texts: list[bytes], values: np.ndarray, bias: float) -> np.ndarr
     return out
 
 
+def long_logit(text: str, values: np.ndarray, bias: float) -> float:
+    """text_logits for one text of any length: stretches that share WINDOW - 1 words with the one before."""
+    best, words = -np.inf, b" "
+    for part in stretches(text, _BLOCK):
+        words += clean(part)[1:]
+        if words.count(b" ") > WINDOW:
+            best = max(best, text_logits([words], values, bias)[0])
+            words = b" " + b" ".join(words.rsplit(b" ", WINDOW)[1:])
+    return float(text_logits([words], values, bias)[0] if best == -np.inf else best)
+
+
+def spread(text: Column, most: int, parts: int = 16) -> Column:
+    """The text, or where it is longer than most, so many stretches of whole words from all over it, most long together."""
+    size = most // parts
+    begin = lambda k: F.floor((F.length(text) - size) * k / (parts - 1)).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.regexp_replace(F.substring(text, begin(k), F.lit(size)), r"^\S*|\S*$", ""))
+    return F.when(F.length(text) > most, F.array_join(cut, " ")).otherwise(text)
+
+
 def training_sample(df: DataFrame, labels: DataFrame, doc: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, label) of about rows documents of each class at most, by a hash of their id, none of them held out.
 
-    Only documents of up to SAMPLE_CHARS characters are learnt from. The ids taken are bounded by rows, so they are
-    broadcast to the scan of the texts.
+    Of texts longer than SAMPLE_CHARS, stretches from all over the text are learnt, so many characters together. The ids
+    taken are bounded by rows, so they are broadcast to the scan of the texts.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc).isNotNull() & ~held_out(doc)).groupBy(doc).agg(F.max(label).cast("int").alias("__y"))
-    # Twice the rows, since some documents are too long or missing.
+    # Twice the rows, since some documents are missing.
     draw = F.xxhash64(F.col(doc), F.lit(23))
     taken = [usable.where(F.col("__y") == y).orderBy(draw, doc).limit(2 * rows) for y in (0, 1)]
     ids = taken[0].unionByName(taken[1]).select(F.col(doc).alias("__doc"), "__y")
-    found = df.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc).alias("__id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("__id") == F.col("__doc"))
+    found = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("__id"), spread(F.col(text), SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), F.col("__id") == F.col("__doc"))
     return found.orderBy(F.xxhash64("__id", F.lit(23)), "__id").limit(3 * rows).select("text", F.col("__y").alias("label"))
 
 
@@ -235,7 +260,11 @@ def score_toxicity(df: DataFrame, text: str, model: Model | None, keep: list[str
             if table is None:
                 scores = np.zeros(len(texts))
             else:
-                logits = text_logits([clean(t) for t in texts], table, bias)
+                short = [i for i, t in enumerate(texts) if len(t or "") <= _BLOCK]
+                logits = np.zeros(len(texts))
+                logits[short] = text_logits([clean(texts[i]) for i in short], table, bias)
+                for i in set(range(len(texts))).difference(short):
+                    logits[i] = long_logit(texts[i], table, bias)
                 scores = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
             cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(scores, pa.float64())], names=schema.names)
