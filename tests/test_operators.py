@@ -232,3 +232,65 @@ def test_closure_by_doubling(spark):
     seeds = spark.createDataFrame([(100,), (201,), (999,), (100,)], "id long")
     assert {(r.seed, r.node): r.distance for r in paths.closure(graph, seeds).collect()} == {k: d for k, d in want.items() if k[0] in (100, 201)} | {(999, 999): 0}
     assert paths.closure(graph.where("src < 0")).collect() == []
+
+
+def test_phrases_of_a_dictionary(spark):
+    """Longest names first, from left to right, against a loop; labels that share a name; names that begin alike."""
+    import random
+
+    rnd = random.Random(12)
+    letters = ["a", "b", "Cé", "d"]
+    known = {(rnd.choice("XY"), " ".join(rnd.choice(letters) for _ in range(rnd.randint(1, 4)))) for _ in range(14)} | {("X", "a b"), ("Y", "A  b"), ("Z", "12"), ("Z", None)}
+    texts = [(i % 9, "".join(rnd.choice(letters).upper() + rnd.choice([" ", ", ", "\n", " 1 "]) for _ in range(rnd.randint(0, 40)))) for i in range(40)] + [(3, None), (4, ""), (5, "a b"), (5, "a b")]
+    split = lambda x: re.findall(r"[^\W\d_]+", (x or "").lower())
+    want = collections.Counter()
+    for doc, t in texts:
+        ws, at = split(t), 0
+        while at < len(ws):
+            met = [(len(split(n)), label, n) for label, n in known if split(n) and ws[at : at + len(split(n))] == split(n)]
+            longest = max((k for k, _, _ in met), default=0)
+            want.update((doc, label, n, at) for k, label, n in met if k == longest)
+            at += longest or 1
+    names = spark.createDataFrame(list(known), "label string, name string")
+    df = spark.createDataFrame(texts, "doc long, t string").repartition(3)
+    assert collections.Counter(map(tuple, text.phrase_mentions(df, "doc", "t", names).collect())) == want
+    assert text.phrase_mentions(df, "doc", "t", names.where("label = 'Z'")).collect() == []
+    assert text.phrase_mentions(df.limit(0), "doc", "t", names).collect() == []
+
+
+def _edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, i, x, b)
+    return row[-1]
+
+
+def _next_row(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+def test_upsert_of_triples(spark):
+    nodes = [(10, "Berlin"), (4, "berlin"), (7, "Hamburg"), (9, "abc"), (12, "Merlin"), (15, None)]
+    found = [(1, "Berlin", "of", "hamburk"), (1, "BERLIN", "OF", "Hamburg"), (2, "terlin", "in", "abd"), (2, "Newtown", "in", "newtown"), (3, "", "of", "x"), (3, None, "of", "x"), (4, "Xanadu", "of", "Newtow")]
+    names = {x for _, a, _, b in found if a and b for x in (a, b)}
+    want = {}
+    for key in sorted({n.lower() for n in names}):
+        exact = [i for i, n in nodes if n and n.lower() == key]
+        near = [i for i, n in nodes if n and len(key) >= text.LEAST_FUZZY and _edit(key, n.lower()) <= 1]
+        want[key] = min(exact or near, default=None)
+    fresh = iter(range(16, 99))
+    placed = {k: (i if i is not None else next(fresh), i is None) for k, i in want.items()}
+    df, have = spark.createDataFrame(found, "doc long, subject string, type string, object string"), spark.createDataFrame(nodes, "id long, name string")
+    asked = df.selectExpr("explode(array(subject, object)) AS name").where("name != '' AND name != 'x'")
+    assert {(r.name, r.id, r.created) for r in text.resolved(asked, have).collect()} == {(n, *placed[n.lower()]) for n in names}
+    edges = spark.createDataFrame([(placed["berlin"][0], "OF", placed["hamburg"][0])], "src long, type string, dst long")
+    new_nodes, new_edges, mentions = text.upsert_triples(df, have, edges, "doc")
+    assert {tuple(r) for r in new_nodes.collect()} == {(i, k) for k, (i, made) in placed.items() if made}
+    all_edges = {(placed[a.lower()][0], t.upper(), placed[b.lower()][0]) for _, a, t, b in found if a and b}
+    assert {tuple(r) for r in new_edges.collect()} == all_edges - {(4, "OF", 7)}
+    assert {tuple(r) for r in mentions.collect()} == {(placed[x.lower()][0], d) for d, a, _, b in found if a and b for x in (a, b)}
+    new_nodes, new_edges, mentions = text.upsert_triples(df.limit(0), have.limit(0), edges.limit(0), "doc")
+    assert new_nodes.count() == new_edges.count() == mentions.count() == 0

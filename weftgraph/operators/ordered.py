@@ -64,3 +64,15 @@ def percentiles(df: DataFrame, groups: list[str], value: str, shares: dict[str,
     found = rows.join(wanted, (F.col("part") == F.col("__part")) & (F.col("pos") == F.col("__pos")))
     made = F.max if discrete else lambda c: F.sum(c.cast("double") * F.col("__r.weight"))
     return found.groupBy(*groups).agg(*[made(F.when(F.col("__r.name") == name, F.col(value))).alias(name) for name in shares])
+
+
+def numbered(df: DataFrame, order: list[str], name: str, first: Column | int = 0) -> DataFrame:
+    """df with a gapless number from `first` on, in this order over all rows; ties in any order.
+
+    A row's number is its place in its partition and the rows of the partitions before, a prefix sum with a row for each.
+    """
+    placed = in_order(df, order)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("__n")).select("part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    first = F.lit(first) if isinstance(first, int) else first
+    return placed.join(starts, "part").select(*df.columns, (F.col("__start") + F.col("pos") + first).cast("long").alias(name))

@@ -6,8 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftgraph.operators.ordered import numbered
+from weftgraph.plans.lineage import materialized
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -61,6 +66,44 @@ def mentions(df: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame:
     return words(df, doc, text).join(keyed, "word").select(doc, "label", "name").distinct()
 
 
+def phrase_mentions(df: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame:
+    """(doc, label, name, at): the names (label, name) of one or more words that stand in each text, ignoring case.
+
+    Words are runs of letters, at counts them from 0. From left to right the longest name that begins at a word counts, and
+    the next one begins after it; labels that share a name all count. Names and texts meet in a join on whole phrases of the
+    lengths that names have, so names that begin alike cost nothing, and the dictionary may be of any size. Names without a
+    letter, and null and empty texts, match nothing; equal rows count each for itself.
+    """
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), F.lit(1))
+    known = names.select("label", "name", split(F.col("name")).alias("own")).where(F.size("own") > 0).select("label", "name", F.array_join("own", " ").alias("phrase"), F.size("own").alias("k")).distinct()
+    lengths = sorted(r[0] for r in known.select("k").distinct().collect())
+    kind = T.StructType([df.schema[doc], T.StructField("label", names.schema["label"].dataType), T.StructField("name", names.schema["name"].dataType), T.StructField("at", T.IntegerType())])
+    if not lengths:
+        return df.sparkSession.createDataFrame([], kind)
+    rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.monotonically_increasing_id().alias("row"), split(F.col(text)).alias("ws"))
+    phrases = F.filter(F.array(*[F.when(F.col("at") + k <= F.size("ws"), F.struct(F.lit(k).alias("k"), F.array_join(F.slice("ws", F.col("at") + 1, k), " ").alias("phrase"))) for k in lengths]), lambda x: x.isNotNull())
+    words = rows.where(F.size("ws") > 0).select("doc", "row", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - 1)).alias("at"))
+    begun = words.select("doc", "row", "at", F.explode(phrases).alias("p")).select("doc", "row", "at", "p.k", "p.phrase")
+    met = begun.join(known.drop("k"), "phrase").select("doc", "row", "at", "k", "label", "name")
+    sorted_ = met.repartition("row").sortWithinPartitions("row", "at", F.desc("k"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, begin, end = None, -1, 0
+        for batch in batches:
+            keep = []
+            for i, (r, at, k) in enumerate(zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)])):
+                if r != row:
+                    row, begin, end = r, -1, 0
+                if at >= end:
+                    begin, end = at, at + k
+                if at == begin and at + k == end:
+                    keep.append(i)
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in (0, 4, 5, 2)], names=kind.names)
+
+    return sorted_.mapInArrow(chosen, kind)
+
+
 def relations(df: DataFrame, doc: str, text: str, verbs: dict[str, str]) -> DataFrame:
     """(doc, subject, type, object) of each `subject verb object` of single words in a text; verbs maps verb to type.
 
@@ -94,3 +137,52 @@ def entity_status(found: DataFrame, existing: DataFrame) -> DataFrame:
 def provenance(found: DataFrame, doc: str) -> DataFrame:
     """(name, doc): MENTIONED_IN edges from each entity to the texts that name it."""
     return found.select(F.explode(F.array("subject", "object")).alias("name"), doc).distinct()
+
+
+#: Names of fewer characters match existing ones only exactly: with one edit, most short words are near to many others.
+LEAST_FUZZY = 5
+
+
+def _near_keys(name: Column) -> Column:
+    """A name and all that is left of it without one character: names within one edit of one another share one of these."""
+    gone = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substr(name, i + 1)))
+    return F.array_distinct(F.concat(F.array(name), gone))
+
+
+def resolved(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, id, created): the node of each distinct name. nodes has (id, name).
+
+    A name is the node of the same name (ignoring case), else, from LEAST_FUZZY characters on, one within one edit; of
+    several the nearest, then the smallest id. The others are created, one node for each name in lower case, with ids from
+    the largest on, in the order of names. Candidates meet on shared deletions, never all with all. Null names go.
+    """
+    asked = materialized(names.where("name IS NOT NULL").select("name", F.lower("name").alias("key")).distinct(), "names")
+    keys = asked.select("key").distinct()
+    known = nodes.where("name IS NOT NULL").groupBy(F.lower("name").alias("known")).agg(F.min("id").alias("id"))
+    exact = keys.join(known, F.col("key") == F.col("known")).select("key", "id")
+    left = keys.join(exact, "key", "left_anti").where(F.length("key") >= LEAST_FUZZY)
+    near = left.select("key", F.explode(_near_keys(F.col("key"))).alias("part"))
+    other = known.where(F.length("known") >= LEAST_FUZZY - 1).select("known", "id", F.explode(_near_keys(F.col("known"))).alias("part"))
+    close = near.join(other, "part").select("key", "known", "id").distinct().where(F.levenshtein("key", "known") <= 1)
+    found = materialized(exact.unionByName(close.groupBy("key").agg(F.min("id").alias("id"))), "resolved")
+    top = nodes.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    made = numbered(keys.join(found, "key", "left_anti"), ["key"], "id", int(top) + 1)
+    every = found.withColumn("created", F.lit(False)).unionByName(made.withColumn("created", F.lit(True)))
+    return asked.join(every, "key").select("name", "id", "created")
+
+
+def upsert_triples(found: DataFrame, nodes: DataFrame, edges: DataFrame, doc: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Triples (doc, subject, type, object) into a graph of nodes (id, name) and edges (src, type, dst): the nodes and
+    edges to add, and (id, doc), an edge MENTIONED_IN from each node to the text, a node by its id, that names it.
+
+    Names are resolved as by resolved(); each new entity is one node, each new (src, type, dst) one edge. Triples without a
+    subject or object go.
+    """
+    ends = found.where("subject IS NOT NULL AND subject != '' AND object IS NOT NULL AND object != ''")
+    placed = materialized(resolved(ends.select(F.explode(F.array("subject", "object")).alias("name")), nodes), "placed")
+    new_nodes = placed.where("created").select("id", F.lower("name").alias("name")).distinct()
+    at = lambda side, to: placed.select(F.col("name").alias(side), F.col("id").alias(to))
+    made = ends.join(at("subject", "src"), "subject").join(at("object", "dst"), "object").select("src", F.upper("type").alias("type"), "dst").distinct()
+    new_edges = made.join(edges.select("src", "type", "dst").distinct(), ["src", "type", "dst"], "left_anti")
+    named = ends.select(doc, F.explode(F.array("subject", "object")).alias("name")).join(placed, "name").select("id", doc).distinct()
+    return new_nodes, new_edges, named

@@ -13,6 +13,7 @@ from weftgraph.operators import ordered, paths, schema, text, vector, writes
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import nulls_first, nulls_last, relationships, start, v
 from weftgraph.operators.vector_index import build_index
+from weftgraph.plans.lineage import materialized
 from weftgraph.sources.tables import star_graph, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -751,3 +752,54 @@ def percentiles_of_prices(spark, d):
 def percentiles_disc(spark, d):
     rows = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "supplier")
     return ordered.percentiles(rows, ["supplier"], "l_extendedprice", {"low": 0.25, "high": 0.75}, discrete=True)
+
+
+#: Names of two and three words, the first ones of each passage of the benchmark.
+_NAMES = r"""bw AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM benchmark), names AS (SELECT DISTINCT 'Pair' AS label, array_to_string(ws[1:2], ' ') AS name, 2 AS k FROM bw WHERE len(ws) >= 2 UNION SELECT 'Triple', array_to_string(ws[1:3], ' '), 3 FROM bw WHERE len(ws) >= 3)"""
+
+
+@query(f"""WITH RECURSIVE {_NAMES}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS i FROM d),
+r AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o AS two, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS three FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS MATERIALIZED (SELECT doc_id, i, max(k) AS k FROM (SELECT doc_id, i, k FROM r JOIN names ON name = two UNION ALL SELECT doc_id, i, k FROM r JOIN names ON name = three) GROUP BY 1, 2),
+pick(doc_id, i, k) AS (SELECT doc_id, min(i), arg_min(k, i) FROM m GROUP BY 1 UNION ALL SELECT p.doc_id, min(m.i), arg_min(m.k, m.i) FROM pick p JOIN m ON m.doc_id = p.doc_id AND m.i >= p.i + p.k GROUP BY p.doc_id)
+SELECT pick.doc_id, pick.i::INTEGER AS at, CASE k WHEN 2 THEN 'Pair' ELSE 'Triple' END AS label, CASE k WHEN 2 THEN two ELSE three END AS name FROM pick JOIN r ON r.doc_id = pick.doc_id AND r.i = pick.i""")
+def phrase_mentions(spark, d):
+    own = table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("ws"))
+    names = [own.where(F.size("ws") >= k).select(F.lit(label).alias("label"), F.array_join(F.slice("ws", 1, k), " ").alias("name")) for label, k in (("Pair", 2), ("Triple", 3))]
+    return text.phrase_mentions(table(spark, d, "documents"), "doc_id", "text", names[0].unionByName(names[1]))
+
+
+_KNOWN = r"""k0 AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS known FROM benchmark), known AS (SELECT known, row_number() OVER (ORDER BY known) * 10 AS id FROM k0)"""
+_RESOLVED = """names AS MATERIALIZED (SELECT subject AS name FROM triples UNION SELECT object FROM triples), keys AS MATERIALIZED (SELECT DISTINCT lower(name) AS key FROM names),
+exact AS (SELECT key, id FROM keys JOIN known ON known = key), open AS (SELECT key FROM keys WHERE key NOT IN (SELECT key FROM exact)),
+near AS (SELECT key, min(id) AS id FROM open JOIN known ON length(key) >= 5 AND abs(length(key) - length(known)) <= 1 AND levenshtein(key, known) <= 1 GROUP BY 1),
+placed AS (SELECT key, id, false AS created FROM exact UNION ALL SELECT key, id, false FROM near
+UNION ALL SELECT key, (SELECT max(id) FROM known) + row_number() OVER (ORDER BY key), true FROM open WHERE key NOT IN (SELECT key FROM near))"""
+
+
+def _known_nodes(spark, d):
+    own = text.words(table(spark, d, "benchmark"), "item_id", "text").select(F.col("word").alias("name")).distinct()
+    return ordered.numbered(own, ["name"], "n", 1).select((F.col("n") * 10).alias("id"), "name")
+
+
+@query("WITH " + _TRIPLES.replace("VERBS", "'of'") + f", {_KNOWN}, {_RESOLVED} SELECT name, id::BIGINT AS id, created FROM names JOIN placed ON key = lower(name)")
+def upsert_nodes(spark, d):
+    found = text.triples(text.relations(table(spark, d, "documents"), "doc_id", "text", {"of": "OF"}))
+    return text.resolved(found.select(F.explode(F.array("subject", "object")).alias("name")), _known_nodes(spark, d))
+
+
+_TOLD = _TRIPLES.replace("VERBS", "'of'").replace("met AS (SELECT", "met AS (SELECT doc_id,").replace("SELECT DISTINCT subject", "SELECT DISTINCT doc_id, subject")
+
+
+@query(f"""WITH {_TOLD}, {_KNOWN}, {_RESOLVED}, e AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM triples JOIN placed a ON a.key = lower(subject) JOIN placed b ON b.key = lower(object)),
+told AS (SELECT DISTINCT doc_id, id FROM (SELECT doc_id, unnest([lower(subject), lower(object)]) AS key FROM triples) JOIN placed USING (key))
+SELECT 'edges' AS kind, count(*) AS n FROM e WHERE src % 7 <> 0 UNION ALL SELECT 'mentions', count(*) FROM told UNION ALL SELECT 'nodes', count(*) FROM placed WHERE created""")
+def upsert_graph(spark, d):
+    # Of the graph's edges, those from nodes whose id is divisible by 7 exist already.
+    found = materialized(text.relations(table(spark, d, "documents"), "doc_id", "text", {"of": "OF"}), "found")
+    nodes = materialized(_known_nodes(spark, d), "nodes")
+    none = spark.createDataFrame([], "src long, type string, dst long")
+    _, edges, _ = text.upsert_triples(found, nodes, none, "doc_id")
+    new_nodes, new_edges, mentions = text.upsert_triples(found, nodes, materialized(edges.where("src % 7 = 0"), "edges"), "doc_id")
+    kinds = [x.agg(A.count().alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, x in (("nodes", new_nodes), ("edges", new_edges), ("mentions", mentions))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
