@@ -13,6 +13,7 @@ from weftgraph.operators import ordered, paths, schema, text, vector, writes
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import nulls_first, nulls_last, relationships, start, v
 from weftgraph.operators.vector_index import build_index
+from weftgraph.operators.versions import End, Graph, Pattern, Versions, delete_edges, merge
 from weftgraph.plans.lineage import materialized
 from weftgraph.sources.tables import star_graph, table
 
@@ -803,3 +804,25 @@ def upsert_graph(spark, d):
     new_nodes, new_edges, mentions = text.upsert_triples(found, nodes, materialized(edges.where("src % 7 = 0"), "edges"), "doc_id")
     kinds = [x.agg(A.count().alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, x in (("nodes", new_nodes), ("edges", new_edges), ("mentions", mentions))]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+_BOUGHT = "SELECT o_custkey AS c, p_brand AS brand, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = '{}' GROUP BY 1, 2"
+
+
+@query(f"""WITH v1 AS ({_BOUGHT.format('F')}), v2 AS ({_BOUGHT.format('O')}),
+one AS (SELECT *, row_number() OVER (ORDER BY c, brand) - 1 AS id FROM v1), fresh AS (SELECT v2.*, (SELECT count(*) FROM v1) + row_number() OVER (ORDER BY v2.c, v2.brand) - 1 AS id FROM v2 LEFT JOIN v1 ON v1.c = v2.c AND v1.brand = v2.brand WHERE v1.c IS NULL),
+e AS (SELECT one.id, one.c, one.brand, one.lines + coalesce(v2.lines, 0) AS lines, v2.c IS NOT NULL AS again FROM one LEFT JOIN v2 ON v2.c = one.c AND v2.brand = one.brand UNION ALL SELECT id, c, brand, lines, false FROM fresh)
+SELECT id, c, brand, lines, again FROM e WHERE lines % 5 <> 0""")
+def merge_pattern_versions(spark, d):
+    # MERGE (a:Buyer {c})-[r:LIKES]->(b:Brand {name}) of finished, then of open orders; then DELETE some; read, compacted.
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    bought = lambda status: rows.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("c"), F.col("p_brand").alias("brand")).agg(A.count().alias("n"))
+    none = lambda schema: Versions(spark.createDataFrame([], schema))
+    g = Graph({"Buyer": none("id long, c long"), "Brand": none("id long, name string")}, {"LIKES": none("id long, src long, dst long, lines long, again boolean")})
+    likes = Pattern(End("Buyer", {"c": "c"}), "LIKES", End("Brand", {"name": "brand"}))
+    made, seen = {"r.lines": F.col("n"), "r.again": F.lit(False)}, {"r.lines": F.col("r__lines") + F.col("n"), "r.again": F.lit(True)}
+    for status in ("F", "O"):
+        g = merge(g, bought(status), likes, made, seen)
+    g = delete_edges(g, "LIKES", g.edges["LIKES"].at().where("lines % 5 = 0").select("id"))
+    a, b = g.nodes["Buyer"].compacted().at().toDF("src", "c"), g.nodes["Brand"].compacted().at().toDF("dst", "brand")
+    return g.edges["LIKES"].at().join(a, "src").join(b, "dst").select("id", "c", "brand", "lines", "again")
