@@ -244,3 +244,32 @@ def test_counted_patterns(spark):
         times(start(g, "a", "A").out("a", "T", "p"), "a", [Hop("T", "q")], "n")
     with pytest.raises(ValueError, match="does not start"):
         times(start(g, "b", "B"), "b", [Hop("T", "q")], "n")
+
+
+def test_keys_of_any_type(spark):
+    people = spark.createDataFrame([("ann", 1, "x"), ("bob", 1, "y"), ("ann", 2, "z"), (None, 3, "no node")], "name string, n int, tag string")
+    towns = spark.createDataFrame([(7.5,), (1.25,)], "height double")
+    knows = [("ann", 1, "bob", 1), ("bob", 1, "ann", 2), ("ann", 2, "cid", 9), (None, 1, "ann", 1), ("ann", 1, "bob", 1)]
+    g = GraphCatalog().add_keyed_nodes("P", people, ("name", "n")).add_keyed_nodes("T", towns, ("height",))
+    g.add_keyed_edges("K", spark.createDataFrame(knows, "a string, i int, b string, j int"), "P", "P", ("a", "i"), ("b", "j"))
+    g.add_keyed_edges("IN", spark.createDataFrame([("ann", 1, 7.5), ("ann", 2, 1.25), ("bob", 1, 0.0)], "a string, i int, h double"), "P", "T", ("a", "i"), ("h",))
+    assert sorted(r.id for r in start(g, "x", "P").returns(id=v("x.id")).collect()) == [0, 1, 2]
+    m = start(g, "x", "P").out("x", "K", "y").out("y", "K", "z").out("z", "IN", "t")
+    assert [tuple(r) for r in m.returns(x=v("x.tag"), y=v("y.tag"), z=v("z.tag"), t=v("t.height")).collect()] == [("x", "y", "z", 1.25)]
+    assert start(g, "x", "P").path("x", "K", "y", 1, 3, "p").df.count() == 3
+    with pytest.raises(KeyError):
+        g.add_keyed_nodes("Q", spark.range(2), ("id",))
+
+
+def test_whole_nodes_and_relationships(g):
+    m = start(g, "a", "Person").path("a", "KNOWS", "b", 0, 2, "p").nodes_of("p", "ns").relationships_of("p", "rs")
+    rows = m.returns(ids=v("p.nodes"), ns=F.col("ns"), rs=F.col("rs")).collect()
+    assert len(rows) == len(HOME) + len(KNOWS) + sum(x[1] == y[0] and i != j for i, x in enumerate(KNOWS) for j, y in enumerate(KNOWS))
+    for r in rows:
+        assert [(n.id, n.home) for n in r.ns] == [(i, HOME[i]) for i in r.ids]
+        assert [(e.src, e.dst) for e in r.rs] == list(zip(r.ids, r.ids[1:])) and all(KNOWS[e.n] == (e.src, e.dst) for e in r.rs)
+    m = start(g, "a", "Person").out("a", "KNOWS", "b", rel="r").end_of("r", "start", "s").end_of("r", "end", "e")
+    assert all(r.a == r.s and r.b == r.e and r.h == HOME[r.b] for r in m.returns(a=v("a.id"), b=v("b.id"), s=v("s.id"), e=v("e.id"), h=v("e.home")).collect())
+    assert {r.x for r in start(g, "x", "Being").returns(x=start(g, "x", "Being").element_id("x")).collect()} == {"Person:1", "Person:2", "Person:3", "Person:4", "Dog:7"}
+    every = start(g, "a", "Person").out("a", "LIVES_IN", "c").unwind(F.array(F.lit(1)), "k").returns_all()
+    assert every.columns == ["a", "c", "k"] and {(r.a.id, r.c.name, r.k) for r in every.collect()} == {(1, "x", 1), (2, "x", 1), (3, "y", 1)}

@@ -383,6 +383,42 @@ class Match:
         n = self.graph.node(self.labels[var])
         return F.array(*map(F.lit, (n.label, *n.labels)))
 
+    def element_id(self, var: str) -> Column:
+        """elementId(var): the label of its table and its id."""
+        label = F.col(f"{var}__label") if f"{var}__label" in self.df.columns else F.lit(self.labels[var])
+        return F.concat_ws(":", label, F.col(f"{var}__id").cast("string"))
+
+    def end_of(self, rel: str, side: str, var: str) -> Match:
+        """startNode(rel) or endNode(rel), side start or end, as a node `var` with its properties."""
+        e = self.graph.edge(self.types[rel])
+        label, column = (e.source, "src") if side == "start" else (e.target, "dst")
+        if self._bound(var):
+            raise ValueError(f"{var} is bound already")
+        df = self.df.join(nodes_as(self.graph, label, var), F.col(f"{rel}__{column}") == F.col(f"{var}__id"))
+        return self._with(df, self.labels | {var: label})
+
+    def nodes_of(self, path: str, var: str) -> Match:
+        """nodes(path) with properties: a column var, the nodes along it as structs (id, properties), in order."""
+        type_ = next(iter(next(u.types for u in self.used if u.column == f"{path}__eids")))
+        nodes = nodes_as(self.graph, self.graph.edge(type_).source, "__n")
+        return self._along(path, f"{path}__nodes", nodes, "__n__id", "__n__", var)
+
+    def relationships_of(self, path: str, var: str) -> Match:
+        """relationships(path) with properties: a column var, those along it as structs (eid, src, dst, properties)."""
+        type_ = next(iter(next(u.types for u in self.used if u.column == f"{path}__eids")))
+        rows = self.graph.edge_rows(type_)
+        return self._along(path, f"{path}__eids", rows.select(*[F.col(c).alias(f"__n__{c}") for c in rows.columns]), "__n__eid", "__n__", var)
+
+    def _along(self, path: str, column: str, rows: DataFrame, key: str, prefix: str, var: str) -> Match:
+        """Each distinct list of ids is looked up once; paths of no relationship have an empty list of them."""
+        lists = self.df.select(F.col(column).alias("__list")).distinct()
+        each = lists.select("__list", F.posexplode("__list").alias("__at", "__one"))
+        own = F.struct(*[F.col(c).alias(c.removeprefix(prefix)) for c in rows.columns])
+        made = each.join(rows, F.col("__one") == F.col(key)).groupBy("__list").agg(F.array_sort(F.collect_list(F.struct("__at", own.alias("row")))).alias("__rows"))
+        made = lists.join(made, "__list", "left").select("__list", F.coalesce(F.col("__rows.row"), F.array()).alias(var))
+        df = self.df.join(made, F.col(column) == F.col("__list")).drop("__list")
+        return self._with(df)
+
     def type_of(self, rel: str) -> Column:
         """type(rel) of a named relationship."""
         if f"{rel}__type" in self.df.columns:
@@ -442,6 +478,12 @@ class Match:
         df = self.df.select(*[c.alias(n) for n, c in items.items()])
         return df.distinct() if distinct else df
 
+    def returns_all(self) -> DataFrame:
+        """RETURN *: every variable that has a name as a struct of its id and properties, in the order of binding."""
+        names = list(dict.fromkeys(_variable(c) for c in self.df.columns if not c.startswith("_")))
+        own = lambda n: [c for c in self.df.columns if _variable(c) == n and c != n]
+        return self.df.select(*[F.struct(*[F.col(c).alias(c.removeprefix(f"{n}__")) for c in own(n)]).alias(n) if own(n) else F.col(n) for n in names])
+
     def returns_grouped(self, keys: dict[str, Column], **aggs: Column) -> DataFrame:
         """RETURN with implicit grouping: the items that are no aggregates are the keys."""
         return self.df.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[a.alias(n) for n, a in aggs.items()])

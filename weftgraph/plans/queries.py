@@ -15,6 +15,7 @@ from weftgraph.operators.match import nulls_first, nulls_last, relationships, st
 from weftgraph.operators.vector_index import build_index
 from weftgraph.operators.versions import End, Graph, Pattern, Versions, delete_edges, merge
 from weftgraph.plans.lineage import materialized
+from weftgraph.sources.catalog import GraphCatalog
 from weftgraph.sources.tables import star_graph, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -826,3 +827,38 @@ def merge_pattern_versions(spark, d):
     g = delete_edges(g, "LIKES", g.edges["LIKES"].at().where("lines % 5 = 0").select("id"))
     a, b = g.nodes["Buyer"].compacted().at().toDF("src", "c"), g.nodes["Brand"].compacted().at().toDF("dst", "brand")
     return g.edges["LIKES"].at().join(a, "src").join(b, "dst").select("id", "c", "brand", "lines", "again")
+
+
+def _named_graph(spark, d):
+    """Parts by name and brand, suppliers by name, brands by name: keys of text, and of two columns."""
+    part, supplier = table(spark, d, "part").dropDuplicates(["p_name", "p_brand"]), table(spark, d, "supplier").dropDuplicates(["s_name"])
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    g = GraphCatalog().add_keyed_nodes("Part", part.select("p_name", "p_brand", "p_size"), ("p_name", "p_brand"))
+    g.add_keyed_nodes("Supplier", supplier.select("s_name", "s_nationkey"), ("s_name",)).add_keyed_nodes("Brand", part.select(F.col("p_brand").alias("name")).distinct(), ("name",))
+    g.add_keyed_edges("SELLS", lines.select("s_name", "p_name", "p_brand").distinct(), "Supplier", "Part", ("s_name",), ("p_name", "p_brand"), key=("s_name", "p_name", "p_brand"))
+    return g.add_keyed_edges("OF_BRAND", part.select("p_name", "p_brand"), "Part", "Brand", ("p_name", "p_brand"), ("p_brand",), key=("p_name", "p_brand"))
+
+
+@query("""WITH x AS (SELECT DISTINCT s_name, p_name, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey) SELECT s_name AS supplier, p_brand AS brand, count(*) AS n FROM x GROUP BY 1, 2""")
+def text_keys_hops(spark, d):
+    m = start(_named_graph(spark, d), "s", "Supplier").out("s", "SELLS", "p").out("p", "OF_BRAND", "b")
+    return m.returns_grouped({"supplier": v("s.s_name"), "brand": v("b.name")}, n=A.count())
+
+
+@query("""WITH x AS (SELECT DISTINCT s_name, p_name, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey), first AS (SELECT min(s_name) AS s FROM supplier)
+SELECT DISTINCT z.s_name AS supplier, CASE WHEN z.s_name = first.s THEN 0 ELSE 2 END AS distance FROM x JOIN first ON x.s_name = first.s JOIN x z ON z.p_name = x.p_name AND z.p_brand = x.p_brand""")
+def text_keys_paths(spark, d):
+    # Suppliers within two hops of the first one by name, over the parts that both sell.
+    g = _named_graph(spark, d)
+    rows = g.edge_rows("SELLS").select("src", (-F.col("dst") - 1).alias("dst"))
+    near = paths.reachable(paths.undirected(rows), spark.range(1), 2).where("node >= 0")
+    names = start(g, "s", "Supplier").returns(node=v("s.id"), supplier=v("s.s_name"))
+    return near.join(names, "node").select("supplier", "distance")
+
+
+@query(f"WITH {_NEXT} SELECT a.event_id AS id, a.event_type || '>' || b.event_type || '>' || c.event_type AS types, round(a.value + b.value + c.value, 6) AS total, 'Event:' || c.event_id AS last FROM events a JOIN e x ON x.src = a.event_id JOIN e y ON y.src = x.dst JOIN events b ON b.event_id = x.dst JOIN events c ON c.event_id = y.dst WHERE a.event_type = 'signup'")
+def path_node_properties(spark, d):
+    m = start(star_graph(spark, d), "a", "Event").where(v("a.event_type") == "signup").path("a", "NEXT", "b", 2, 2, "p")
+    m = m.nodes_of("p", "along")
+    total = F.aggregate("along", F.lit(0.0), lambda s, x: s + x["value"])
+    return m.returns(id=v("a.id"), types=F.array_join("along.event_type", ">"), total=F.round(total, 6), last=m.element_id("b"))

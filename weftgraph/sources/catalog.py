@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ordered import numbered
+from weftgraph.plans.lineage import materialized
 
 #: A table, or what makes it when a query first needs it, so that a large catalog opens only the tables in use.
 Table = DataFrame | Callable[[], DataFrame]
@@ -68,6 +70,7 @@ class EdgeTable:
 class GraphCatalog:
     nodes: dict[str, NodeTable] = field(default_factory=dict)
     edges: dict[str, EdgeTable] = field(default_factory=dict)
+    dictionaries: dict[str, DataFrame] = field(default_factory=dict)
 
     def add_nodes(self, label: str, df: Table, key: str, labels: tuple[str, ...] = ()) -> GraphCatalog:
         """labels: further labels of the same rows. A column named id can only be the key."""
@@ -82,6 +85,23 @@ class GraphCatalog:
         self.edges[type_] = EdgeTable(type_, df, source, target, src, dst, key=tuple(key), by_place=by_place)
         return self
 
+    def add_keyed_nodes(self, label: str, df: DataFrame, key: tuple[str, ...], labels: tuple[str, ...] = ()) -> GraphCatalog:
+        """Nodes whose key is of any type, or of several columns. They get dense longs as ids, in the order of their keys,
+        from a dictionary that is written once; rows with a null in the key have no id and are no nodes, and the key has
+        to be unique. Their columns stay properties, so none may be named id."""
+        if "id" in {c.lower() for c in df.columns}:
+            raise KeyError(f"{label} has a column id beside its key")
+        ids = dense_ids(df, list(key))
+        self.dictionaries[label] = ids
+        return self.add_nodes(label, coded(df, ids, list(key), "id").where("id IS NOT NULL"), "id", labels)
+
+    def add_keyed_edges(self, type_: str, df: DataFrame, source: str, target: str, src: tuple[str, ...], dst: tuple[str, ...], key: tuple[str, ...] = ()) -> GraphCatalog:
+        """Relationships whose ends are named by the keys of add_keyed_nodes, or by one column with the id of other nodes.
+        Those with an unknown end are none. key: columns that tell them apart (all columns, if none are named)."""
+        for column, label, own in (("__src", source, src), ("__dst", target, dst)):
+            df = coded(df, self.dictionaries[label], list(own), column) if label in self.dictionaries else df.withColumn(column, F.col(own[0]).cast("long"))
+        return self.add_edges(type_, df, source, target, "__src", "__dst", key=tuple(key))
+
     def add_foreign_key(self, type_: str, source: str, target: str, column: str, on: str) -> GraphCatalog:
         """The column of the source's (or target's) table that holds the other end's key."""
         own = self.node(source if on == "source" else target)
@@ -156,6 +176,21 @@ class GraphCatalog:
         return nodes.unionByName(edges)
 
 
+def dense_ids(df: DataFrame, key: list[str]) -> DataFrame:
+    """A dictionary (__k0, __k1, ..., __id): each distinct key without nulls and a gapless long from 0, in key order."""
+    names = [f"__k{i}" for i in range(len(key))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)]).dropna().distinct()
+    return materialized(numbered(rows, names, "__id"), "dictionary")
+
+
+def coded(df: DataFrame, ids: DataFrame, key: list[str], name: str) -> DataFrame:
+    """df with the id of its key from dense_ids(), null for a key that is not there."""
+    met = F.lit(True)
+    for i, k in enumerate(key):
+        met &= F.col(k) == F.col(f"__k{i}")
+    return df.join(ids, met, "left").select(*df.columns, F.col("__id").alias(name))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
