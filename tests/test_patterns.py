@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalar as S
-from weftgraph.operators import paths, vector
+from weftgraph.operators import cycles, paths, vector
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import start, v
 from weftgraph.plans.lineage import materialized, remove_table
@@ -273,3 +273,27 @@ def test_whole_nodes_and_relationships(g):
     assert {r.x for r in start(g, "x", "Being").returns(x=start(g, "x", "Being").element_id("x")).collect()} == {"Person:1", "Person:2", "Person:3", "Person:4", "Dog:7"}
     every = start(g, "a", "Person").out("a", "LIVES_IN", "c").unwind(F.array(F.lit(1)), "k").returns_all()
     assert every.columns == ["a", "c", "k"] and {(r.a.id, r.c.name, r.k) for r in every.collect()} == {(1, "x", 1), (2, "x", 1), (3, "y", 1)}
+
+
+def test_triangles(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(16), rnd.randrange(16)) for _ in range(60)] + [(99, i) for i in range(16)] + [(None, 1), (2, None), (5, 5)]
+    near = {frozenset(e) for e in rows if None not in e and e[0] != e[1]}
+    nodes = sorted({x for e in near for x in e})
+    want = {(a, b, c) for a in nodes for b in nodes if a < b for c in nodes if b < c and {frozenset((a, b)), frozenset((b, c)), frozenset((a, c))} <= near}
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    assert Counter(map(tuple, cycles.triangles(edges).collect())) == Counter(want) and want
+    ahead = Counter(r.u for r in cycles.oriented(edges).collect())
+    assert max(ahead.values()) <= (2 * len(near)) ** 0.5 < 17
+    assert {r.node: r.n for r in cycles.triangle_counts(edges).collect()} == Counter(x for t in want for x in t)
+    assert cycles.triangles(edges.limit(0)).collect() == []
+
+
+def test_closing_hops(g):
+    m = start(g, "a", "Person").out("a", "KNOWS", "b").out("b", "KNOWS", "c").out("c", "KNOWS", "a")
+    want = Counter((x[0], y[0], z[0]) for i, x in enumerate(KNOWS) for j, y in enumerate(KNOWS) for k, z in enumerate(KNOWS) if len({i, j, k}) == 3 and x[1] == y[0] and y[1] == z[0] and z[1] == x[0])
+    assert Counter(map(tuple, m.returns(a=v("a.id"), b=v("b.id"), c=v("c.id")).collect())) == want
+    m = start(g, "a", "Person").out("a", "KNOWS", "b").out("a", "LIVES_IN", "c").out("b", "LIVES_IN", "c")
+    assert Counter(map(tuple, m.returns(a=v("a.id"), b=v("b.id")).collect())) == Counter(e for e in KNOWS if HOME[e[0]] == HOME[e[1]] and e[0] != e[1])
+    m = start(g, "c", "City").into("c", "LIVES_IN", "a").out("a", "KNOWS", "b").into("c", "LIVES_IN", "b")
+    assert Counter(map(tuple, m.returns(a=v("a.id"), b=v("b.id")).collect())) == Counter(e for e in KNOWS if HOME[e[0]] == HOME[e[1]] and e[0] != e[1])

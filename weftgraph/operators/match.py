@@ -227,8 +227,14 @@ class Match:
         e = self.graph.edge(type_)
         start, end = (e.source, e.target) if forward else (e.target, e.source)
         m = self._at(from_, (start,), f"{type_} does not {'start' if forward else 'end'}")._reduced()
+        here = (e.on == "source") == forward
+        if e.on and self._bound(to) and not rel and m._df is not None:
+            # A foreign key that closes a cycle is a condition on its column.
+            own, other = (from_, to) if here else (to, from_)
+            key = f"{own}__{e.dst if e.on == 'source' else e.src}"
+            if key in m.df.columns:
+                return m._using(m.df.where(F.col(key) == F.col(f"{other}__id")), m.labels, Used(frozenset([e.type]), f"{own}__id", "key"))
         if e.on and not self._bound(to) and not rel:
-            here = (e.on == "source") == forward
             if not here or m._df is None or f"{from_}__{e.dst if e.on == 'source' else e.src}" in m.df.columns:
                 return m._by_key(e, from_, to, end, key_is_here=here)
         rows = self.graph.edge_rows(type_)
@@ -253,10 +259,14 @@ class Match:
         named = [F.col("src").alias(f"{name}__src"), F.col("dst").alias(f"{name}__dst")] if rel else []
         begun = self._df is not None
         edge = rows.select(near.alias(f"{name}__near" if begun else f"{from_}__id"), far.alias(f"{name}__far"), F.col("eid").alias(f"{name}__eid"), *named, *[F.col(p).alias(f"{name}__{p}") for p in own])
-        df = self._reduced().df.join(edge, F.col(f"{from_}__id") == F.col(f"{name}__near")) if begun else edge
-        if self._bound(to):
-            df = df.where(F.col(f"{to}__id") == F.col(f"{name}__far"))
+        closes = self._bound(to)
+        if begun:
+            # A hop that closes a cycle is looked up by both of its ends, so that the open path is never made.
+            met = F.col(f"{from_}__id") == F.col(f"{name}__near")
+            df = self._reduced().df.join(edge, met & (F.col(f"{to}__id") == F.col(f"{name}__far")) if closes else met)
         else:
+            df = edge.where(F.col(f"{to}__id") == F.col(f"{name}__far")) if closes else edge
+        if not closes:
             df = df.join(nodes_as(self.graph, end, to), F.col(f"{name}__far") == F.col(f"{to}__id"))
         return self._using(df.drop(f"{name}__near", f"{name}__far"), self.labels | {to: end}, Used(frozenset(types), f"{name}__eid"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import aggregates as A
 from weftgraph.functions import scalar as S
-from weftgraph.operators import ordered, paths, schema, text, vector, writes
+from weftgraph.operators import cycles, ordered, paths, schema, text, vector, writes
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import nulls_first, nulls_last, relationships, start, v
 from weftgraph.operators.vector_index import build_index
@@ -862,3 +862,27 @@ def path_node_properties(spark, d):
     m = m.nodes_of("p", "along")
     total = F.aggregate("along", F.lit(0.0), lambda s, x: s + x["value"])
     return m.returns(id=v("a.id"), types=F.array_join("along.event_type", ">"), total=F.round(total, 6), last=m.element_id("b"))
+
+
+@query("SELECT s_nationkey AS nation, count(*) AS n FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) ON s = y.l_suppkey AND p = x.l_partkey JOIN supplier ON s_suppkey = s JOIN orders ON o_orderkey = x.l_orderkey GROUP BY 1")
+def triangle_closed(spark, d):
+    # An order, a part of it, and a supplier of the order who supplies that part: the last hop closes on a bound part.
+    m = start(star_graph(spark, d), "o", "Order").out("o", "CONTAINS", "p").out("o", "SUPPLIED_BY", "s").out("s", "SUPPLIES", "p")
+    return m.returns_grouped({"nation": v("s.s_nationkey")}, n=A.count())
+
+
+@query("SELECT n_name AS nation, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def four_cycle_closed(spark, d):
+    # (c)-[:PLACED]->(o)-[:SUPPLIED_BY]->(s)-[:SUPPLIER_OF]->(n)<-[:CUSTOMER_OF]-(c)
+    m = start(star_graph(spark, d), "c", "Customer").out("c", "PLACED", "o").out("o", "SUPPLIED_BY", "s", rel="l").out("s", "SUPPLIER_OF", "n").into("n", "CUSTOMER_OF", "c")
+    return m.returns_grouped({"nation": v("n.n_name")}, n=A.count(), total=money(v("l.l_extendedprice")))
+
+
+@query("""WITH o AS (SELECT event_id AS x, user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+e AS (SELECT a.x AS s, b.x AS t FROM o a JOIN o b ON b.u = a.u AND b.i > a.i AND b.i <= a.i + 4), t AS (SELECT p.s AS a, p.t AS b, q.t AS c FROM e p JOIN e q ON q.s = p.t JOIN e r ON r.s = p.s AND r.t = q.t)
+SELECT node, count(*) AS n FROM (SELECT unnest([a, b, c]) AS node FROM t) GROUP BY 1""")
+def triangles_of_events(spark, d):
+    # Events at most four steps apart are joined.
+    ids = table(spark, d, "events").select(F.col("event_id").alias("id"))
+    near = paths.reachable(_next(spark, d), ids, 4).where("distance > 0").select(F.col("seed").alias("src"), F.col("node").alias("dst"))
+    return cycles.triangle_counts(near)
