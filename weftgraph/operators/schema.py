@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Farthest edit distance of a suggestion.
 MOST_EDITS = 3
@@ -104,12 +103,6 @@ def property_fill(nodes: DataFrame) -> DataFrame:
     return nodes.agg(*[F.count(c).alias(c) for c in nodes.columns]).unpivot([], nodes.columns, "property", "filled")
 
 
-def last_in_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each group by order, for property tables that hold several versions of a node."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
-
 def ddl(described: DataFrame) -> DataFrame:
     """(name, statement): an index statement for each property that is no vector."""
     rows = described.where("kind = 'node' AND property IS NOT NULL AND type NOT LIKE 'array<%' AND property NOT LIKE '%embedding'")

@@ -225,10 +225,10 @@ def agg_collect_ordered(spark, d):
     return rows.agg(F.array_join(F.reverse(A.collect_ordered(F.col("n_name"), F.col("n_name"))), ";").alias("names"))
 
 
-@query("SELECT CAST(0 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n")
+@query("SELECT c_custkey AS id, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS total, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 GROUP BY 1")
 def sum_empty_zero(spark, d):
-    none = table(spark, d, "orders").where("o_orderkey < 0")
-    return none.agg(A.total(F.col("o_totalprice")).alias("total"), A.count().alias("n"))
+    m = start(star_graph(spark, d), "c", "Customer").optional("c", lambda x: x.out("c", "PLACED", "o").where(v("o.o_totalprice") > 400000))
+    return m.returns_grouped({"id": v("c.id")}, total=A.total(v("o.o_totalprice").cast("decimal(18,2)")).cast("double"), n=A.count(v("o.id")))
 
 
 @query("SELECT o_custkey AS customer, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
@@ -520,18 +520,40 @@ def property_fill(spark, d):
     return schema.property_fill(table(spark, d, "region"))
 
 
-@query("SELECT * FROM (VALUES ('E201', '', 'Custmer', 'Customer'), ('E201', '', 'Zebra', NULL), ('E211', '', 'PLACD', 'PLACED'), ('E301', 'Order', 'o_totalprise', 'o_totalprice'), ('E302', 'CONTAINS', 'l_tx', 'l_tax')) t(code, owner, name, suggestion)")
+@query("""WITH known AS (SELECT DISTINCT p_brand AS known FROM part WHERE p_size <= 3), asked AS (SELECT p_brand AS name FROM part UNION SELECT reverse(p_brand) FROM part UNION SELECT p_type FROM part),
+met AS (SELECT name, known, levenshtein(lower(name), lower(known)) AS edits FROM asked, known)
+SELECT 'E201' AS code, '' AS owner, name, arg_min(known, edits * 100000 + rank) FILTER (edits <= 3) AS suggestion FROM (SELECT *, rank() OVER (ORDER BY known) AS rank FROM met) WHERE name NOT IN (SELECT known FROM known) GROUP BY name""")
 def check_names(spark, d):
-    asked = [("label", "", "Custmer"), ("label", "", "Order"), ("label", "", "Zebra"), ("type", "", "PLACD"), ("type", "", "NEXT"), ("property", "Order", "o_totalprise"), ("property", "CONTAINS", "l_tx"), ("property", "Part", "p_size")]
-    return schema.check_names(spark.createDataFrame(asked, "kind string, owner string, name string"), star_graph(spark, d).describe(spark))
+    # Labels are the brands of small parts; asked for are all brands, brands backwards, and types.
+    part = table(spark, d, "part")
+    described = part.where("p_size <= 3").select(F.lit("node").alias("kind"), F.col("p_brand").alias("name"), *[F.lit(None).cast("string").alias(c) for c in ("source", "target", "property", "type")]).distinct()
+    names = part.select(F.explode(F.array("p_brand", F.reverse("p_brand"), "p_type")).alias("name")).distinct()
+    return schema.check_names(names.select(F.lit("label").alias("kind"), F.lit("").alias("owner"), "name"), described)
+
+
+def _described_customers(spark, d, some: str) -> DataFrame:
+    """A description with segments as labels and nations as properties, typed by how many customers have both."""
+    rows = table(spark, d, "customer").where(some).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    many = F.when(F.count(F.lit(1)) > 1, "many").otherwise("one").alias("type")
+    return rows.groupBy(F.col("c_mktsegment").alias("name"), F.col("n_name").alias("property")).agg(many).select(F.lit("node").alias("kind"), "name", *[F.lit(None).cast("string").alias(c) for c in ("source", "target")], "property", "type")
+
+
+_SEGMENTS = "SELECT c_mktsegment AS name, n_name AS property, CASE WHEN count(*) > 1 THEN 'many' ELSE 'one' END AS type FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE {} GROUP BY 1, 2"
 
 
-@query("SELECT 'node' AS kind, 'Region' AS name, 'r_comment' AS property, 'added' AS change UNION ALL SELECT 'node', 'Region', 'r_name', 'retyped' UNION ALL SELECT 'node', 'Nation', 'n_name', 'removed'")
+@query(f"""WITH a AS ({_SEGMENTS.format("c_acctbal < 0")}), b AS ({_SEGMENTS.format("c_acctbal > 9000")})
+SELECT 'node' AS kind, coalesce(a.name, b.name) AS name, coalesce(a.property, b.property) AS property, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'retyped' END AS change
+FROM a FULL JOIN b ON a.name = b.name AND a.property = b.property WHERE a.name IS NULL OR b.name IS NULL OR a.type <> b.type""")
 def schema_diff(spark, d):
-    old = star_graph(spark, d).describe(spark).where("name IN ('Region', 'Nation') AND kind = 'node'")
-    new = old.where("property != 'n_name'").withColumn("type", F.when(F.col("property") == "r_name", "binary").otherwise(F.col("type")))
-    extra = spark.createDataFrame([("node", "Region", None, None, "r_comment", "string")], old.schema)
-    return schema.schema_diff(old, new.unionByName(extra))
+    return schema.schema_diff(_described_customers(spark, d, "c_acctbal < 0"), _described_customers(spark, d, "c_acctbal > 9000"))
+
+
+@query(f"""WITH a AS ({_SEGMENTS.format("c_acctbal < 0")}), b AS ({_SEGMENTS.format("c_acctbal > 9000")})
+SELECT name, property, type, 'first' AS origin FROM a UNION ALL SELECT name, property, type, 'second' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.name = b.name AND a.property = b.property)""")
+def schema_merge(spark, d):
+    first, second = _described_customers(spark, d, "c_acctbal < 0"), _described_customers(spark, d, "c_acctbal > 9000")
+    both = schema.schema_merge(first.withColumn("origin", F.lit("first")), second.withColumn("origin", F.lit("second")))
+    return both.select("name", "property", "type", "origin")
 
 
 @query("""SELECT 'node' AS kind, name, n FROM (SELECT 'Customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'Nation', count(*) FROM nation
@@ -639,18 +661,34 @@ def node_functions(spark, d):
     return m.returns(id=v("s.id"), labels=F.array_join(m.labels_of("s"), ","), keys=F.array_join(F.array_sort(m.keys_of("s")), ","))
 
 
-@query("SELECT label, count(*) AS n, sum(filled)::BIGINT AS filled FROM (SELECT 'Region' AS label, 2 AS filled FROM region UNION ALL SELECT 'Nation', 3 FROM nation UNION ALL SELECT 'Supplier', 4 FROM supplier) GROUP BY 1")
+#: The tables behind the labels, and their columns.
+_LABELS = {
+    "Region": ("region", "r_regionkey r_name"),
+    "Nation": ("nation", "n_nationkey n_name n_regionkey"),
+    "Customer": ("customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment"),
+    "Supplier": ("supplier", "s_suppkey s_name s_nationkey s_acctbal"),
+    "Part": ("part", "p_partkey p_name p_brand p_type p_size p_retailprice"),
+    "Order": ("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"),
+    "Event": ("events", "event_id ts user_id event_type value props"),
+    "Document": ("documents", "doc_id text lang source n_chars"),
+    "Vector": ("embeddings", "vec_id embedding label"),
+    "User": ("(SELECT DISTINCT user_id FROM events)", "user_id"),
+}
+
+
+@query("SELECT label, count(*) AS n, sum(filled)::BIGINT AS filled FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS label, {' + '.join(f'({c} IS NOT NULL)::INTEGER' for c in cs.split())} AS filled FROM {t}" for k, (t, cs) in _LABELS.items()) + ") GROUP BY 1")
 def nodes_with_properties(spark, d):
-    rows = star_graph(spark, d).all_nodes(properties=True).where("label IN ('Region', 'Nation', 'Supplier')")
+    rows = star_graph(spark, d).all_nodes(properties=True)
     return rows.groupBy("label").agg(A.count().alias("n"), F.sum(F.size(F.json_object_keys("properties"))).cast("long").alias("filled"))
 
 
-@query("SELECT 'CUSTOMER_OF' AS name, 'Customer' AS old_source, 'Nation' AS old_target, 'Customer' AS new_source, 'Region' AS new_target")
+@query("""WITH e AS (SELECT c_name AS name, o_orderstatus AS status, min(p_brand) AS source, max(p_brand) AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+SELECT a.name AS name, a.source AS old_source, a.target AS old_target, b.source AS new_source, b.target AS new_target FROM e a JOIN e b ON a.name = b.name AND a.status = 'F' AND b.status = 'O' WHERE a.source <> b.source OR a.target <> b.target""")
 def schema_moved_ends(spark, d):
-    g = star_graph(spark, d)
-    new = g.to_dict()
-    new["relationships"]["CUSTOMER_OF"][1] = "Region"
-    return schema.moved_ends(schema.described_from(spark, g.to_json()), schema.described_from(spark, new))
+    # For each customer as a type, the first and last brand of its finished orders, and of its open ones.
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    ends = lambda status: lines.where(F.col("o_orderstatus") == status).groupBy(F.col("c_name").alias("name")).agg(F.min("p_brand").alias("source"), F.max("p_brand").alias("target")).withColumn("kind", F.lit("relationship"))
+    return schema.moved_ends(ends("F"), ends("O"))
 
 
 #: Customers and suppliers of one nation, and the orders of the one that the other delivers.
