@@ -92,9 +92,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS) ->
     """pieces (doc first, then piece and length) with sequence_id and offset, by online best fit in each task.
 
     Pieces are dealt by hash to the session's shuffle partitions, which adaptive execution joins where they are small, so
-    that a small table is packed in one task. Each task places its share in the order of (doc, piece); only the bins that
-    close early and the last ones of each task stay part empty (see fill). Offsets are gapless from 0 in each sequence.
-    A lost task repeats its numbers. An empty table gives no rows.
+    that a small table is packed in one task. Each task places its share in the order of (doc, piece), rows that repeat an
+    id by their other columns; only the bins that close early and the last ones of each task stay part empty (see fill).
+    Offsets are gapless from 0 in each sequence. A lost task repeats its numbers. An empty table gives no rows.
     """
     schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = pieces.columns
@@ -111,7 +111,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS) ->
             cols += [pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    spread = pieces.repartition(F.xxhash64(doc, "piece")).sortWithinPartitions(doc, "piece")
+    spread = pieces.repartition(F.xxhash64(doc, "piece")).sortWithinPartitions(doc, "piece", *[c for c in names if c not in (doc, "piece")])
     return spread.withColumn("__task", F.spark_partition_id().cast("long")).mapInArrow(place, schema)
 
 

@@ -45,27 +45,28 @@ def shard_records(
     Slots need no task that sees a whole shard: rows are numbered in (shard, bucket) groups, and the groups' starts are
     prefix sums over at most len(weights) * buckets counts, a bound that makes the broadcast safe at any input size.
     Rows with the same key share a shard and get slots next to each other, ordered by order_by. Null keys form one key.
-    An empty table gives no rows. Columns named shard, slot or grown_shard raise an error; others pass, whatever their names.
+    An empty table gives no rows. Columns named shard, slot or grown_shard give way to the results (a key of such a name is
+    read first); others pass, whatever their names.
     """
-    clash = {"shard", "slot", "grown_shard"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are in the input; rename them first")
+    out = [c for c in df.columns if c.lower() not in ("shard", "slot", "grown_shard")]
     own = "__"  # before the names of helper columns, so that no column of df has one
     while any(c.lower().startswith(own) for c in df.columns):
         own += "_"
-    n_bucket, n_row, n_rows, n_start, n_shard, n_of = (own + x for x in ("bucket", "row", "n", "start", "shard", "b"))
-    text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    grown = rendezvous_shard(text_key, [*weights, grown_weight]) if grown_weight else F.lit(None).cast("int")
-    bucket = F.pmod(F.xxhash64(text_key), F.lit(buckets)).cast("int")
-    placed = df.withColumns({"shard": rendezvous_shard(text_key, weights), n_bucket: bucket})
+    n_bucket, n_row, n_rows, n_start, n_shard, n_of, n_key, n_text = (own + x for x in ("bucket", "row", "n", "start", "shard", "b", "key", "text"))
+    ties = [f"{own}o{i}" for i in range(len(order_by))]
+    text_key = F.coalesce(df[key].cast("string"), F.lit(""))
+    read = df.select(*[df[c] for c in out], df[key].alias(n_key), text_key.alias(n_text), *[df[c].alias(t) for c, t in zip(order_by, ties)])
+    grown = rendezvous_shard(F.col(n_text), [*weights, grown_weight]) if grown_weight else F.lit(None).cast("int")
+    bucket = F.pmod(F.xxhash64(n_text), F.lit(buckets)).cast("int")
+    placed = read.withColumns({"shard": rendezvous_shard(F.col(n_text), weights), n_bucket: bucket})
     counts = placed.groupBy("shard", n_bucket).agg(F.count(F.lit(1)).alias(n_rows))
     before = Window.partitionBy("shard").orderBy(n_bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col("shard").alias(n_shard), F.col(n_bucket).alias(n_of), F.coalesce(F.sum(n_rows).over(before), F.lit(0)).alias(n_start)
     )
-    in_bucket = Window.partitionBy("shard", n_bucket).orderBy(key, *order_by)
+    in_bucket = Window.partitionBy("shard", n_bucket).orderBy(n_key, *ties)
     numbered = placed.withColumn(n_row, F.row_number().over(in_bucket) - 1)
     joined = numbered.join(F.broadcast(starts), (F.col("shard") == F.col(n_shard)) & (F.col(n_bucket) == F.col(n_of)))
     return joined.select(
-        *[df[c] for c in df.columns], F.col("shard"), (F.col(n_start) + F.col(n_row)).cast("long").alias("slot"), grown.alias("grown_shard")
+        *[df[c] for c in out], F.col("shard"), (F.col(n_start) + F.col(n_row)).cast("long").alias("slot"), grown.alias("grown_shard")
     )
