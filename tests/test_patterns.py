@@ -12,11 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalar as S
-from weftgraph.operators import cycles, paths, vector
+from weftgraph.operators import cycles, paths, vector, writes
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import start, v
+from weftgraph.operators.procedures import call_procedure, procedures, register
+from weftgraph.operators.vector_index import build_index
 from weftgraph.plans.lineage import materialized, remove_table
 from weftgraph.sources.catalog import GraphCatalog
+from weftgraph.sources.sinks import write_nodes
 
 KNOWS = [(1, 2), (2, 3), (3, 1), (1, 2), (3, 3)]
 HOME = {1: 10, 2: 10, 3: 11, 4: None}
@@ -297,3 +300,55 @@ def test_closing_hops(g):
     assert Counter(map(tuple, m.returns(a=v("a.id"), b=v("b.id")).collect())) == Counter(e for e in KNOWS if HOME[e[0]] == HOME[e[1]] and e[0] != e[1])
     m = start(g, "c", "City").into("c", "LIVES_IN", "a").out("a", "KNOWS", "b").into("c", "LIVES_IN", "b")
     assert Counter(map(tuple, m.returns(a=v("a.id"), b=v("b.id")).collect())) == Counter(e for e in KNOWS if HOME[e[0]] == HOME[e[1]] and e[0] != e[1])
+
+
+def test_procedures(g, spark):
+    assert {(r.label, r.n) for r in call_procedure(g, "db.labels").collect()} == {("City", 2), ("Place", 2), ("Person", 4), ("Dog", 1), ("Being", 5)}
+    assert {r.t: r.n for r in call_procedure(g, "db.relationshipTypes", t="relationshipType", n="n").collect()} == {"KNOWS": 5, "LIVES_IN": 3, "BORN_IN": 1, "OWNS": 2}
+    assert ("nick", "Person", 3) in {tuple(r) for r in call_procedure(g, "db.propertyKeys").collect()}
+    index = build_index(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, e array<float>"), "id", "e")
+    asked = spark.createDataFrame([(9, [2.0, 0.1])], "query long, vector array<float>")
+    assert [tuple(r) for r in call_procedure(g, "db.index.vector.queryNodes", index, 1, asked, q="query", node="node").collect()] == [(9, 1)]
+    with pytest.raises(KeyError, match="did you mean db.labels"):
+        call_procedure(g, "db.label")
+    with pytest.raises(KeyError, match="does not yield"):
+        call_procedure(g, "db.labels", x="y")
+    with pytest.raises(ValueError, match="already"):
+        register("db.labels", "label")(lambda graph: None)
+    assert "db.propertyKeys" in procedures()
+
+
+def test_temporal_constructors(spark):
+    texts = ["P1Y2M10DT2H30M1.5S", "-P1D", "P2W", "PT0S", "PT", "P", "1D", "P1YT", None, "PT-5M"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(S.duration_from(F.col("t")).cast("string").alias("x")).collect()]
+    assert got == ["1 years 2 months 10 days 2 hours 30 minutes 1.5 seconds", "-1 days", "14 days", "0 seconds", None, None, None, None, None, "-5 minutes"]
+    row = spark.range(1).select(
+        S.date_of({"year": 2024}).alias("y"), S.date_of({"year": 2024, "month": 2, "day": 30}).alias("no"), S.date_of({"year": 2021, "week": 1, "dayOfWeek": 7}).alias("w"), S.date_of({"year": 2024, "ordinalDay": 60}).alias("o"),
+        S.datetime_of({"year": 2024, "month": 5, "hour": 3, "millisecond": 250}).cast("string").alias("t"), (S.time_of({"hour": 2}) < S.time_of_day(F.lit("2020-01-01 03:00:00").cast("timestamp"))).alias("less"),
+        S.duration_of({"years": 1, "minutes": 2}).cast("string").alias("d"),
+    ).first()
+    assert (str(row.y), row.no, str(row.w), str(row.o), row.t, row.less, row.d) == ("2024-01-01", None, "2021-01-10", "2024-02-29", "2024-05-01 03:00:00.25", True, "1 years 2 minutes")
+
+
+def test_bulk_writes_and_files(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2, "x")], "src long, dst long, p string")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    made = writes.create_edges(edges, spark.createDataFrame([(2, 3, "y"), (2, 9, "z"), (8, 3, "z")], "src long, dst long, p string"), nodes, nodes)
+    assert {tuple(r) for r in made.collect()} == {(1, 2, "x"), (2, 3, "y")}
+    labels = spark.range(1).select(writes.add_label(F.array(F.lit("A")), "B").alias("more"), writes.add_label(F.array(F.lit("A")), "A").alias("same"), writes.remove_label(F.array(F.lit("A"), F.lit("B")), "A").alias("less")).first()
+    assert (labels.more, labels.same, labels.less) == (["A", "B"], ["A"], ["B"])
+    assert Counter(r.x for r in writes.for_each(nodes, F.sequence(F.lit(1), F.col("id")), "x").collect()) == Counter({1: 3, 2: 2, 3: 1})
+    write_nodes(nodes.withColumn("x", F.lit(1)), str(tmp_path / "n"), partition_by=["id"])
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "n")).collect()) == [1, 2, 3]
+
+
+def test_text_package_that_cannot_be_imported(tmp_path):
+    """The graph queries stay where a module of the text operators is missing."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "weftgraph", tmp_path / "weftgraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "weftgraph/llm").mkdir()
+    (tmp_path / "weftgraph/llm/__init__.py").write_text("import a_module_that_is_nowhere\n")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and not any(n.startswith('op1_') for n in q) and e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=True, timeout=60, capture_output=True, text=True)
+    assert "a_module_that_is_nowhere" in done.stderr

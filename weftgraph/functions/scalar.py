@@ -183,6 +183,56 @@ def local_time(value: Column | None = None) -> Column:
     return F.date_format(F.current_timestamp() if value is None else value, "HH:mm:ss.SSS")
 
 
+def date_of(parts: dict[str, Value]) -> Column:
+    """date({year, month, day}), or {year, week, dayOfWeek}, {year, ordinalDay}; what is missing is the first. A date that
+    does not exist is null."""
+    year = lit(parts["year"]).cast("int")
+    if "week" in parts:
+        monday = F.date_trunc("week", F.make_date(year, lit(1), lit(4))).cast("date")
+        return F.date_add(monday, ((lit(parts["week"]) - 1) * 7 + lit(parts.get("dayOfWeek", 1)) - 1).cast("int"))
+    if "ordinalDay" in parts:
+        return F.date_add(F.make_date(year, lit(1), lit(1)), (lit(parts["ordinalDay"]) - 1).cast("int"))
+    made = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), *[F.lpad(lit(parts.get(p, 1)).cast("string"), 2, "0") for p in ("month", "day")])
+    return F.try_to_date(made, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.try_to_timestamp(made, lit("yyyy-MM-dd")).cast("date")
+
+
+def datetime_of(parts: dict[str, Value]) -> Column:
+    """datetime({year, month, day, hour, minute, second, millisecond}), in the session's zone."""
+    at = lambda p, unit: lit(parts.get(p, 0)).cast("double") * unit
+    seconds = at("hour", 3600) + at("minute", 60) + at("second", 1) + at("millisecond", 0.001)
+    return date_of(parts).cast("timestamp") + F.make_interval(secs=seconds)
+
+
+def time_of(parts: dict[str, Value]) -> Column:
+    """A time of day as an interval from midnight, which orders, adds and subtracts."""
+    at = lambda p, unit: lit(parts.get(p, 0)).cast("double") * unit
+    return F.make_dt_interval(lit(0), lit(0), lit(0), at("hour", 3600) + at("minute", 60) + at("second", 1) + at("millisecond", 0.001))
+
+
+def time_of_day(value: Column) -> Column:
+    """The time of day of a timestamp, as time_of() has it."""
+    return F.make_dt_interval(lit(0), lit(0), lit(0), F.hour(value) * 3600 + F.minute(value) * 60 + F.date_part(lit("second"), value))
+
+
+#: The parts of an ISO 8601 duration, in order.
+_ISO_PARTS = (("years", "Y"), ("months", "M"), ("weeks", "W"), ("days", "D"), ("hours", "H"), ("mins", "M"), ("secs", "S"))
+_ISO = r"^(-)?P(?:(-?\d+)Y)?(?:(-?\d+)M)?(?:(-?\d+)W)?(?:(-?\d+)D)?(?:T(?:(-?\d+)H)?(?:(-?\d+)M)?(?:(-?\d+(?:\.\d+)?)S)?)?$"
+
+
+def duration_from(text: Column) -> Column:
+    """duration('P1Y2M10DT2H30M1.5S') as an interval; null for another text, as for one without any part."""
+    sign = F.when(F.regexp_extract(text, _ISO, 1) == "-", -1).otherwise(1)
+    part = lambda i, kind: F.coalesce(F.nullif(F.regexp_extract(text, _ISO, i + 2), lit("")).cast(kind), lit(0).cast(kind)) * sign
+    made = F.make_interval(**{name: part(i, "decimal(18,6)" if name == "secs" else "int") for i, (name, _) in enumerate(_ISO_PARTS)})
+    return F.when(text.rlike(_ISO) & ~text.rlike("^-?PT?$|T$"), made)
+
+
+def duration_of(parts: dict[str, Value]) -> Column:
+    """duration({years, months, weeks, days, hours, minutes, seconds})."""
+    names = {"minutes": "mins", "seconds": "secs"}
+    return F.make_interval(**{names.get(k, k): lit(x) for k, x in parts.items()})
+
+
 def timestamp() -> Column:
     """Milliseconds since 1970."""
     return F.unix_millis(F.current_timestamp())
@@ -266,6 +316,12 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "time": local_time,
     "localtime": local_time,
     "duration": duration,
+    "duration_from": duration_from,
+    "duration_of": duration_of,
+    "date_of": date_of,
+    "datetime_of": datetime_of,
+    "time_of": time_of,
+    "time_of_day": time_of_day,
     "point": point,
     "distance": distance,
     "geo_distance": geo_distance,

@@ -12,6 +12,7 @@ from weftgraph.functions import scalar as S
 from weftgraph.operators import cycles, ordered, paths, schema, text, vector, writes
 from weftgraph.operators.counting import Hop, times
 from weftgraph.operators.match import nulls_first, nulls_last, relationships, start, v
+from weftgraph.operators.procedures import call_procedure
 from weftgraph.operators.vector_index import build_index
 from weftgraph.operators.versions import End, Graph, Pattern, Versions, delete_edges, merge
 from weftgraph.plans.lineage import materialized
@@ -924,3 +925,23 @@ def triangles_of_events(spark, d):
     ids = table(spark, d, "events").select(F.col("event_id").alias("id"))
     near = paths.reachable(_next(spark, d), ids, 4).where("distance > 0").select(F.col("seed").alias("src"), F.col("node").alias("dst"))
     return cycles.triangle_counts(near)
+
+
+@query("SELECT label AS name, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS label FROM {t}" for k, (t, _) in _LABELS.items()) + " UNION ALL SELECT 'Party' FROM customer UNION ALL SELECT 'Party' FROM supplier) GROUP BY 1 HAVING count(*) > 5")
+def call_labels(spark, d):
+    return call_procedure(star_graph(spark, d), "db.labels", name="label", n="n").where("n > 5")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS propertyKey, '{k}' AS label, count({c}) AS n FROM {t}" for k, (t, cs) in _LABELS.items() for c in cs.split()))
+def call_property_keys(spark, d):
+    return call_procedure(star_graph(spark, d), "db.propertyKeys")
+
+
+@query("""SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) + INTERVAL 14 MONTH + INTERVAL 10 DAY AS VARCHAR)[:10] AS later, CAST(make_date(year(o_orderdate), month(o_orderdate), 1) AS VARCHAR) AS first,
+CAST(make_date(year(o_orderdate), 1, 1) + CAST(dayofyear(o_orderdate) - 1 AS INTEGER) AS VARCHAR)[:10] AS same, CAST(CAST(make_date(year(o_orderdate), 1, 4) - CAST(isodow(make_date(year(o_orderdate), 1, 4)) - 1 AS INTEGER) + 7 AS DATE) AS VARCHAR) AS second_week FROM orders""")
+def temporal_constructors(spark, d):
+    at = v("o.o_orderdate")
+    return start(star_graph(spark, d), "o", "Order").returns(
+        id=v("o.id"), later=S.date(S.date(at) + S.duration_from(F.lit("P1Y2M10D"))).cast("string"), first=S.date_of({"year": F.year(at), "month": F.month(at)}).cast("string"),
+        same=S.date_of({"year": F.year(at), "ordinalDay": F.dayofyear(at)}).cast("string"), second_week=S.date_of({"year": F.year(at), "week": 2}).cast("string"),
+    )
