@@ -7,11 +7,12 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import langid, toxicity
-from weftgraph.llm.common import stretches
+from weftgraph.llm.common import gathered, sliced, stretches
 from weftgraph.llm.substring import remove_duplicate_spans
 
 
@@ -99,3 +100,16 @@ def test_sources_of_factors_are_ids(spark):
     found = {r.doc_id: {f.source for f in r.factors} for r in out if r.doc_id not in (70, None)}
     assert found[90] == {70} and 70 in found[95] and found[99] <= {90, 95} and found[99]
     assert all(f.source in (70, 90, 95, 99, None) for r in out for f in r.factors)
+
+
+def test_batches_joined_and_cut_keep_all_rows():
+    texts = [None, "", "a" * 50, "b", *["c" * i for i in range(40)], "d" * 900]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7], pa.string())], names=["text"]) for i in range(0, len(texts), 7)]
+    batches.insert(2, batches[0].slice(0, 0))
+    joined = list(gathered(iter(batches), 0, 100))
+    assert [x for b in joined for x in b.column(0).to_pylist()] == texts
+    assert len(joined) < len(batches)
+    assert all(len("".join(t or "" for t in b.column(0).to_pylist())) >= 100 for b in joined[:-1])
+    again = list(sliced(gathered(iter(batches), 0, 100), 0, 100))
+    assert [x for b in again for x in b.column(0).to_pylist()] == texts
+    assert not list(gathered(iter([]), 0, 100))

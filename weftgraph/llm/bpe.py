@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import kept, sliced
+from weftgraph.llm.common import gathered, kept, sliced
 
 #: Fixed value: the public pattern that splits a text before merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,6 +52,10 @@ _PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[.,;:!?]?$"
 #: Entries of a worker's cache of encoded words (the first to come, so the frequent ones), and the longest it keeps.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
 
+#: Bytes of text that are encoded at once. An index of pairs and a lookup in the cache cost much the same for few words as
+#: for many, so small blocks pay them more often.
+BLOCK_BYTES = 8_000_000
+
 
 def byte_symbols() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next of U+0100 ff."""
@@ -301,6 +305,11 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined or cut so that their texts hold about BLOCK_BYTES."""
+    return sliced(gathered(batches, column, BLOCK_BYTES), column, BLOCK_BYTES)
+
+
 def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str, decoded: bool = False) -> DataFrame:
     """keep columns and ids (array<int>): every whole text encoded without special tokens added; with decoded also the
     text of these ids, as decode_column gives it, made in the same task.
@@ -317,7 +326,7 @@ def encode_column(df: DataFrame, text: str, keep: list[str], tokenizer: str, dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in sliced(batches, len(keep)):
+        for batch in text_blocks(batches, len(keep)):
             made = enc.encode(batch.column(len(keep)).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(made), np.int32), pa.int32())

@@ -95,6 +95,21 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2_0
     give_back()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Following batches joined while a text or list column holds less than about most_bytes, for work whose cost is mostly
+    one for each batch."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += int(_sizes(batch.column(column)).sum()) if batch.num_rows else 0
+        if size >= most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def stretches(text: str, most: int) -> Iterator[str]:
     """The text in parts of about so many characters, cut before blanks, so that what is made of a very long text at once
     stays small. A longer word stays whole."""

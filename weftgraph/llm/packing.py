@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.bpe import encoder
-from weftgraph.llm.common import sliced
+from weftgraph.llm.bpe import encoder, text_blocks
 
 #: Bins that a task keeps open. More do not fill sequences better: 98.7 to 99.1 % of the places with 64 as with 8192.
 OPEN_BINS = 128
@@ -71,7 +70,7 @@ def token_pieces(df: DataFrame, doc: str, text: str, tokenizer: str, capacity: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in sliced(batches, 1):
+        for batch in text_blocks(batches, 1):
             rows: list[tuple[int, int, int, int, int]] = []
             for i, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
                 ids += end
