@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +27,16 @@ SAMPLE_ROWS, MOST_LISTS, BLOCK_ROWS = 20_000, 4096, 1024
 PROBE_ROWS, PROBE_K, PROBE_SHARE = 256, 20, 0.97
 
 
+def _nearest(units: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector, in blocks: the product of a whole sample and all centroids is large."""
+    return np.concatenate([np.argmax(units[i : i + BLOCK_ROWS] @ book.T, axis=1) for i in range(0, len(units), BLOCK_ROWS)])
+
+
 def centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids of unit vectors, by spherical k-means; the first are spread over the sample in its order."""
     book = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)].copy()
     for _ in range(rounds):
-        nearest = np.argmax(sample @ book.T, axis=1)
+        nearest = _nearest(sample, book)
         sums = np.zeros_like(book)
         np.add.at(sums, nearest, sample)
         sizes = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -41,12 +47,15 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
 
 def lists_to_probe(units: np.ndarray, book: np.ndarray, share: float = PROBE_SHARE) -> int:
     """How many lists, in the order of a query's nearest centroids, hold this share of its nearest rows in the sample."""
-    of, asked = np.argmax(units @ book.T, axis=1), units[:: max(1, len(units) // PROBE_ROWS)]
-    scores = asked @ units.T
-    scores[np.arange(len(asked)), np.arange(0, len(units), max(1, len(units) // PROBE_ROWS))] = -2
-    near = np.argsort(-scores, axis=1)[:, : min(PROBE_K, len(units) - 1)]
-    place = np.argsort(np.argsort(-(asked @ book.T), axis=1, kind="stable"), axis=1)
-    places = np.take_along_axis(place, of[near], axis=1).ravel()
+    of, own = _nearest(units, book), np.arange(0, len(units), max(1, len(units) // PROBE_ROWS))
+    found = []
+    for at in np.array_split(own, -(-len(own) // 64)):
+        scores = units[at] @ units.T
+        scores[np.arange(len(at)), at] = -2
+        near = np.argsort(-scores, axis=1)[:, : min(PROBE_K, len(units) - 1)]
+        place = np.argsort(np.argsort(-(units[at] @ book.T), axis=1, kind="stable"), axis=1)
+        found.append(np.take_along_axis(place, of[near], axis=1).ravel())
+    places = np.concatenate(found)
     return 1 + int(np.quantile(places, share, method="higher")) if places.size else 1
 
 
@@ -143,12 +152,13 @@ def build_index(rows: DataFrame, key: str, vector: str, lists: int | None = None
     dealt by range of (list, hash of key), so that a list with a large share of them is split. Repeated keys stay apart.
     """
     fit = usable(rows, vector)
-    drawn = [r[0] for r in fit.orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()]
-    if not drawn:
+    # Arrow buffers: as Python objects the sample takes several times its size.
+    drawn = fit.orderBy(F.xxhash64(key), key).limit(sample).select(vector).toArrow().column(0).combine_chunks()
+    if not len(drawn):
         return None
-    width = len(drawn[0])
-    units = np.array([x for x in drawn if len(x) == width], np.float64)
-    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    sizes = drawn.value_lengths()
+    width = sizes[0].as_py()
+    units = _unit(drawn.filter(pa.compute.equal(sizes, width)), width)
     fit = usable(rows, vector, width)
     count = lists or int(fit.count() ** 0.5)
     book = centroids(units, max(1, min(count, MOST_LISTS, max(1, len(units) // 4))))
