@@ -75,9 +75,13 @@ def create_edges(edges: DataFrame, pairs: DataFrame, nodes_src: DataFrame, nodes
 
 
 def merge_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """MERGE (a)-[]->(b): pairs that have no relationship yet get one."""
-    new = pairs.dropDuplicates(["src", "dst"]).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    return edges.unionByName(new, allowMissingColumns=True)
+    """MERGE (a)-[]->(b): pairs that have no relationship yet get one.
+
+    The relationships that pairs meet are found first, so that only the pairs have to be looked up, never all relationships.
+    """
+    asked = pairs.dropDuplicates(["src", "dst"])
+    met = edges.select("src", "dst").join(asked.select("src", "dst"), ["src", "dst"], "left_semi").distinct()
+    return edges.unionByName(asked.join(met, ["src", "dst"], "left_anti"), allowMissingColumns=True)
 
 
 def for_each(rows: DataFrame, values: Column, name: str) -> DataFrame:
