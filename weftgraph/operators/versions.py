@@ -1,7 +1,7 @@
 """A graph in versions: tables as their first rows with later changes, and writes of whole patterns as one more version.
 
 Nothing is changed in place. A write adds rows that replace those of their key, or tombstones, as a table of its own; reading
-joins the changed keys away from the first rows and takes each key's last change; compacted() writes that as first rows.
+joins the keys of later changes away from the rows before them; compacted() writes that as first rows.
 """
 
 from __future__ import annotations
@@ -33,13 +33,17 @@ class Versions:
         changes = self.changes[: self.version if version is None else version]
         if not changes:
             return self.base
-        every = None
-        for i, c in enumerate(changes):
-            part = c.withColumn("__v", F.lit(i))
-            every = part if every is None else every.unionByName(part)
-        last = every.groupBy(self.key).agg(F.max_by(F.struct(*self.base.columns, "__gone"), "__v").alias("__row"))
-        kept = self.base.join(last.select(F.col(self.key).alias("__key")), F.col(self.key) == F.col("__key"), "left_anti")
-        return kept.unionByName(last.where("NOT __row.__gone").select("__row.*").drop("__gone"))
+        # From the last change back, the rows whose keys no later one has; tables of few changes are not grouped.
+        parts, later = [], None
+        for c in reversed(changes):
+            own = c.where("NOT __gone").drop("__gone")
+            parts.append(own if later is None else own.join(later, F.col(self.key) == F.col("__key"), "left_anti"))
+            keys = c.select(F.col(self.key).alias("__key"))
+            later = keys if later is None else later.unionByName(keys)
+        out = self.base.join(later, F.col(self.key) == F.col("__key"), "left_anti")
+        for part in reversed(parts):
+            out = out.unionByName(part)
+        return out
 
     def _changed(self, rows: DataFrame, gone: bool) -> Versions:
         columns = [rows[c] if c in rows.columns else F.lit(None) for c in self.base.columns]
@@ -47,7 +51,7 @@ class Versions:
         return replace(self, changes=(*self.changes, materialized(typed, "change")))
 
     def put(self, rows: DataFrame) -> Versions:
-        """Another version with these rows in place of those of the same key; columns that they lack are null."""
+        """Another version with these rows, of a key each, in place of those of the same key; columns that they lack are null."""
         return self._changed(rows, False)
 
     def drop(self, keys: DataFrame) -> Versions:
@@ -131,7 +135,8 @@ def _next_id(table: Versions) -> int:
 
 def _created(graph: Graph, rows: DataFrame, p: Pattern, order: list[str], values: Mapping[str, Column]) -> Graph:
     """A relationship for each row, with new nodes where an end is not bound. New ids follow the largest, gapless, in order."""
-    new = materialized(numbered(rows, order, "__n"), "created")
+    # The numbered rows lie in a table already; each write reads them from there.
+    new = numbered(rows, order, "__n")
     ends = {}
     for end, side in ((p.a, "a"), (p.b, "b")):
         table = graph.nodes[end.label]
