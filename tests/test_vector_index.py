@@ -57,3 +57,16 @@ def test_lists_to_probe():
     units = np.eye(8).repeat(3, axis=0)
     assert lists_to_probe(units, np.eye(8)) >= 1
     assert lists_to_probe(units[:1], np.eye(8)[:1]) == 1
+
+
+def test_blocks_are_not_broadcast(spark):
+    """Copies compress to next to nothing, so that Spark took their blocks through the driver."""
+    vectors = [r[1] for r in rows(40, 0.2)]
+    df = spark.createDataFrame([(i, vectors[i % 40]) for i in range(4000)], SCHEMA)
+    found = build_index(df, "id", "e").search(asked(df), 20)
+    assert found.count() == 1600
+    got = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    # 100 copies of each: the 20 smallest of a query's own.
+    assert {(r["query"], r["id"]) for r in got} == {(q, q % 40 + 40 * k) for q in range(0, 4000, 50) for k in range(20)}

@@ -125,7 +125,8 @@ class VectorIndex:
         asked = usable(queries, "vector", width).dropDuplicates(["query"])
         dealt = _dealt(asked, "query", "vector", self.book, min(probes or self.probes, len(self.book)))
         asked = _blocks(dealt.repartition("list").sortWithinPartitions("list"), BLOCK_ROWS).toDF("__list", "asked", "questions")
-        met = self.lists.join(asked, F.col("list") == F.col("__list")).select("keys", "block", "asked", "questions")
+        # Blocks of near copies look small, compressed, and take many times that in the driver that would broadcast them.
+        met = self.lists.hint("merge").join(asked, F.col("list") == F.col("__list")).select("keys", "block", "asked", "questions")
         schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField(self.key, k_type), T.StructField("score", T.DoubleType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
